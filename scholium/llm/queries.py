@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, neighbours, splitting, survivors, unicode_forms
+from . import components, encoding_repair, neighbours, splitting, survivors, unicode_forms
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -75,4 +75,23 @@ def p6_recall(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall)}
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    chapters = table(spark, d, "chapters").select(
+        F.lit("chapter").alias("record_kind"), F.concat_ws(":", "textbook_id", "chapter_id").alias("record_key"), F.col("content").alias("text")
+    )
+    books = table(spark, d, "textbooks").select(F.lit("textbook").alias("record_kind"), F.col("textbook_id").alias("record_key"), F.col("title").alias("text"))
+    return chapters.unionByName(books)
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and content with its restored text and the spans that were damaged."""
+    texts = _damaged(spark, d)
+    counts = encoding_repair.collect_counts(encoding_repair.character_counts(texts, "text"))
+    return encoding_repair.repair(texts, "text", counts)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).where(F.size("spans") > 0).select("record_kind", "record_key").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored)}
