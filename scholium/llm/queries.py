@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, encoding_repair, neighbours, splitting, survivors, unicode_forms
+from . import components, encoding_repair, leakage, neighbours, page_noise, splitting, survivors, unicode_forms
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,16 @@ def p1_names(spark: SparkSession, d: str) -> DataFrame:
     return unicode_forms.normalise(_names(spark, d).distinct(), "value")
 
 
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every chapter with its clean title and continuous content, and the kinds of traces found."""
+    return page_noise.clean_chapters(table(spark, d, "chapters"), table(spark, d, "textbooks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = p2_clean(spark, d).where((F.size("title_traces") > 0) | (F.size("content_traces") > 0))
+    return found.select("textbook_id", "chapter_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.decision_groups(table(spark, d, "decisions"))
 
@@ -94,4 +104,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_restored(spark, d).where(F.size("spans") > 0).select("record_kind", "record_key").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and part of an evaluation item that it gives away, with the share of the part that it repeats."""
+    return leakage.leaks(table(spark, d, "documents"), leakage.eval_texts(table(spark, d, "eval_items")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "question_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each evaluation item, in how many documents it leaked."""
+    return p9_found(spark, d).groupBy("question_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p9_found, p9_leaks, p9_items)}
