@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, encoding_repair, leakage, neighbours, page_noise, splitting, survivors, unicode_forms
+from . import components, encoding_repair, leakage, neighbours, packing, page_noise, personal_data, splitting, survivors, unicode_forms
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +104,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_restored(spark, d).where(F.size("spans") > 0).select("record_kind", "record_key").distinct()
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "size_limits"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p8_packed(spark, d), 2048)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Each document and part of an evaluation item that it gives away, with the share of the part that it repeats."""
     return leakage.leaks(table(spark, d, "documents"), leakage.eval_texts(table(spark, d, "eval_items")))
@@ -118,4 +126,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("question_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p9_found, p9_leaks, p9_items)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.kinds(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders in the place of personal data, and the spans replaced."""
+    return personal_data.find(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
