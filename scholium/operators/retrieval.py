@@ -18,8 +18,11 @@ TOP_K = 5
 
 def _tagged(**tokens: Column) -> Column:
     """One array of (kind, token) of several token arrays, so that they are exploded, joined and summed together."""
-    parts = [F.transform(array, lambda t, k=kind: F.named_struct(F.lit("kind"), F.lit(k), F.lit("token"), t)) for kind, array in tokens.items()]
-    return F.concat(*parts)
+
+    def tag(kind: str, array: Column) -> Column:
+        return F.transform(array, lambda t: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("token"), t))
+
+    return F.concat(*[tag(kind, array) for kind, array in tokens.items()])
 
 
 def overlaps(questions: DataFrame, chunks: DataFrame, question_tokens: Column, chunk_tokens: Column) -> DataFrame:

@@ -1,3 +1,223 @@
-"""SQL for DuckDB that checks the registered queries."""
+"""SQL for DuckDB that checks the registered queries: written on its own, not derived from the Spark plans."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NUMERAL = r"[一二三四五六七八九十百千万零〇两\d]"
+LOW = "(?i)(前言|序|目录|版权|编委|主编|副主编|简介|封面|扉页|致谢|附录|索引|参考文献|数字版)"
+
+
+def latest(name: str, *keys: str) -> str:
+    return f"(select * from {name} qualify row_number() over (partition by {', '.join(keys)} order by ingested_at desc) = 1)"
+
+
+CHAPTERS = latest("chapters", "textbook_id", "chapter_id")
+BOOKS = latest("textbooks", "textbook_id")
+CHUNKS = "(select * from chunks qualify row_number() over (partition by chunk_id order by chunk_index) = 1)"
+NODES = latest("nodes", "textbook_id", "node_id")
+EDGES = latest("edges", "textbook_id", "edge_id")
+DECISIONS = latest("decisions", "decision_id")
+
+
+def squeeze(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^{WS}+|{WS}+\z', '', 'g')"
+
+
+def heading(c: str) -> str:
+    return f"regexp_replace(coalesce({c}, ''), '({WS}|[|｜])+', '', 'g')"
+
+
+def query_key(c: str) -> str:
+    return f"lower(regexp_replace(coalesce({c}, ''), '{WS}+', '', 'g'))"
+
+
+def title(c: str) -> str:
+    extracted = squeeze(rf"regexp_replace(regexp_replace({c}, '[\x{{feff}}\x{{200b}}-\x{{200d}}]', '', 'g'), '[\x{{fffd}}\x08]+', ' ', 'g')")
+    no_page = squeeze(rf"regexp_replace({extracted}, '{WS}+[0-9]+{WS}*\z', '', 'g')")
+    return strip(rf"regexp_replace({no_page}, '^#+|#+\z', '', 'g')")
+
+
+def level(c: str) -> str:
+    h = heading(c)
+    return (
+        f"case when {h} = '绪论' or regexp_matches({h}, '^第{NUMERAL}+章') then 'primary' when regexp_matches({h}, '^第{NUMERAL}+节') or regexp_matches({h}, '^[一二三四五六七八九十]+、') "
+        f"or regexp_matches({h}, '^（[一二三四五六七八九十]+）') then 'secondary' else 'content' end"
+    )
+
+
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def body(c: str) -> str:
+    lines = f"string_split(regexp_replace(coalesce({c}, ''), '{LINE_END}', chr(10), 'g'), chr(10))"
+    clean = strip(r"regexp_replace(x, '[ \t]+', ' ', 'g')")
+    return f"array_to_string(list_filter(list_transform({lines}, lambda x: {clean}), lambda x: x <> ''), chr(10))"
+
+
+def low_chapter(t: str, c: str) -> str:
+    return f"(({strip(f"coalesce({t}, '')")} = '' and {body(c)} = '') or regexp_matches({strip(f"coalesce({t}, '')")}, '{LOW}') or (length({body(c)}) < 120 and regexp_matches(substring({body(c)}, 1, 80), '{LOW}')))"
+
+
+def grams(k: str, n: int) -> str:
+    return f"(case when length({k}) >= {n} then list_transform(range(1, length({k}) - {n} + 2), lambda i: substring({k}, i::int, {n})) else [] end)"
+
+
+def terms(c: str) -> str:
+    """Terms of a text as a list: a CJK run and its grams, Latin words of two or more letters."""
+    run = "regexp_matches(r, '^[一-鿿]')"
+    return (
+        f"flatten(list_transform(regexp_extract_all(lower(coalesce({c}, '')), '[一-鿿]+|[a-z0-9]+'), lambda r: case when {run} and length(r) > 2 then list_concat(list_concat([r], {grams('r', 2)}), list_concat({grams('r', 3)}, {grams('r', 4)})) "
+        f"when {run} then [r] when length(r) > 1 then [r] else [] end))"
+    )
+
+
+STOPS = "'什么','哪些','为何','为什么','如何','有何','根据','内容','概括','定义','人体','不同','部位'"
+
+
+def pages(s: str, e: str) -> str:
+    return f"case when {s} > 0 and {e} > 0 and {s} <> {e} then '第 ' || {s} || '-' || {e} || ' 页' when {s} > 0 then '第 ' || {s} || ' 页' else '页码未知' end"
+
+
+_PLACED = f"""
+ c as (select *, {level('title')} as lvl, {heading('title')} as h from {CHAPTERS}),
+ p as (select *, case when lvl = 'primary' then first_value(textbook_id || '_' || chapter_id || '_primary') over (partition by textbook_id, lvl, h order by chapter_ord) end as pid,
+        case when lvl = 'primary' then row_number() over (partition by textbook_id, lvl, h order by chapter_ord) end as nth from c),
+ q as (select *, last_value(pid ignore nulls) over (partition by textbook_id order by chapter_ord rows between unbounded preceding and current row) as parent from p),
+ b as (select * from q where lvl <> 'primary' and parent is not null and h not in ('', '正文', '本章数字资源', '推荐阅读', '中英文名词对照索引') and char_count >= 80
+        and not regexp_matches(h, '^\\d+(主编|副主编)') and not regexp_matches({strip('title')}, '^[A-Za-z ]+\\z'))
+"""
+
+_DICE = f"""
+ ch as materialized (select chunk_id, chapter_title, page_start, text, {terms('text')} as ts, {terms('chapter_title')} as tt, {query_key('text')} as k from {CHUNKS}),
+ qs as materialized (select question_id, {terms('question')} as ts, {query_key('question')} as k from eval_items)
+"""
+
+
+def _search(mode: str) -> str:
+    """The whole search as SQL: token tables, overlaps, measures, ranks."""
+    return f"""
+with {_DICE},
+ qt as (select question_id, unnest(ts) as t from qs), qc as (select question_id, t, count(*) as n from qt group by all),
+ ct as (select chunk_id, unnest(ts) as t from ch), cc as (select chunk_id, t, count(*) as n from ct where t in (select t from qt) group by all),
+ ht as (select chunk_id, unnest(tt) as t from ch), hc as (select chunk_id, t, count(*) as n from ht where t in (select t from qt) group by all),
+ qg0 as (select question_id, unnest(list_concat({grams('k', 2)}, {grams('k', 3)})) as t from qs), qg as (select question_id, t, count(*) as n from qg0 group by all),
+ cg0 as (select chunk_id, unnest(list_concat({grams('k', 2)}, {grams('k', 3)})) as t from ch), cg as (select chunk_id, t, count(*) as n from cg0 group by all),
+ qn as (select question_id, sqrt(sum(n * n)) as norm from qg group by 1), cn as (select chunk_id, sqrt(sum(n * n)) as norm from cg group by 1),
+ o1 as (select question_id, chunk_id, sum(least(a.n, b.n)) as s from qc a join cc b using (t) group by all),
+ o2 as (select question_id, chunk_id, sum(least(a.n, b.n)) as s from qc a join hc b using (t) group by all),
+ o3 as (select question_id, chunk_id, sum(a.n * b.n) as s from qg a join cg b using (t) group by all),
+ pr as (select question_id, chunk_id from o1 union select question_id, chunk_id from o2 union select question_id, chunk_id from o3),
+ m as (select pr.question_id, pr.chunk_id, coalesce(o1.s, 0) as s1, coalesce(o2.s, 0) as s2, coalesce(o3.s, 0) as s3, len(qs.ts) as qn, len(ch.ts) as dn, len(ch.tt) as tn, qn.norm as qnorm, cn.norm as cnorm,
+    case when qs.k <> '' and contains(ch.k, qs.k) then 0.15 else 0.0 end as w,
+    case when regexp_matches({strip("coalesce(ch.chapter_title, '')")}, '{LOW}') or (coalesce(ch.page_start, 0) <= 15 and length({strip('ch.text')}) < 320) then 0.12 else 0.0 end as low
+   from pr left join o1 using (question_id, chunk_id) left join o2 using (question_id, chunk_id) left join o3 using (question_id, chunk_id) join qs using (question_id) join ch using (chunk_id) left join qn using (question_id) left join cn using (chunk_id)),
+ x as (select question_id, chunk_id, case when qn = 0 or dn = 0 then 0.0 else s1::double / (qn + dn - s1) end as kw, case when qn = 0 or tn = 0 then 0.0 else s2::double / (qn + tn - s2) end as ti,
+    case when coalesce(qnorm, 0) = 0 or coalesce(cnorm, 0) = 0 then 0.0 else s3::double / (qnorm * cnorm) end as ng, w, low from m),
+ s as (select question_id, chunk_id, greatest(0.0, least(1.0, {'kw + ti * 0.18 + w - low' if mode == 'keyword' else 'ng + ti * 0.12 + w - low'})) as score from x),
+ r as (select question_id, chunk_id, score, row_number() over (partition by question_id order by score desc, chunk_id) as rank from s where score > 0 and score >= 0.02)
+select question_id, chunk_id, round(score, 4) as score, rank::int as rank from r where rank <= 5"""
+
+
+SQL: dict[str, str] = {
+    "chapter_quality": f"""
+with c as {CHAPTERS}, t as {BOOKS},
+ a as (select textbook_id, count(*) as chapter_count, count(*) filter (where char_count = 0) as empty_chapter_count, count(*) filter (where char_count between 1 and 79) as short_chapter_count,
+        count(*) filter (where page_start > page_end) as page_span_inversions from c group by 1),
+ d as (select textbook_id, count(*) as duplicate_title_count from (select textbook_id, lower({squeeze('title')}) as k from c where {squeeze('title')} <> '' group by 1, 2 having count(*) > 1) group by 1),
+ j as (select t.textbook_id, t.total_chars, t.total_pages, coalesce(chapter_count, 0) as chapter_count, coalesce(empty_chapter_count, 0) as empty_chapter_count, coalesce(short_chapter_count, 0) as short_chapter_count,
+        coalesce(page_span_inversions, 0) as page_span_inversions, coalesce(duplicate_title_count, 0) as duplicate_title_count from t left join a using (textbook_id) left join d using (textbook_id)),
+ f as (select *, chapter_count = 0 as r1, total_chars = 0 as r2, empty_chapter_count > 0 as r3, chapter_count > 0 and short_chapter_count / greatest(chapter_count, 1) > 0.4 as r4, duplicate_title_count > 0 as r5,
+        page_span_inversions > 0 as r6, coalesce(total_pages <= 0, false) as r7 from j),
+ s as (select *, greatest(0.0::double, round(1.0::double - r1::int * 0.45::double - r2::int * 0.45::double - r3::int * least(0.2::double, empty_chapter_count * 0.04::double) - r4::int * 0.12::double
+        - r5::int * least(0.12::double, duplicate_title_count * 0.03::double) - r6::int * 0.18::double - r7::int * 0.08::double, 2)) as score from f)
+select textbook_id, chapter_count, empty_chapter_count, short_chapter_count, page_span_inversions, duplicate_title_count,
+ case when chapter_count > 0 then round(total_chars::double / chapter_count, 2) else 0.0::double end as avg_chars_per_chapter, score,
+ case when score >= 0.85 then 'good' when score >= 0.6 then 'warning' else 'poor' end as level, (r1::int + r2::int + r3::int + r4::int + r5::int + r6::int + r7::int)::int as warnings from s""",
+    "clean_titles": f"""
+select textbook_id, chapter_id, {title('title')} as clean, {heading('title')} as heading, {level('title')} as level,
+ case when {heading('title')} in ('', '正文') then 'front' when {level('title')} = 'primary' then 'level1' when {level('title')} = 'secondary' then 'level2' else 'other' end as kind from {CHAPTERS}""",
+    "content_normalised": f"""
+select textbook_id, chapter_id, sha1({body('content')}) as body_hash, length({body('content')})::int as body_length, sha1({query_key('content')}) as key_hash from {CHAPTERS}""",
+    "store_chunks": f"""
+with c as (select textbook_id, chapter_id, {strip("coalesce(content, '')")} as b from {CHAPTERS}),
+ o as (select *, unnest(range(0, length(b), 1040)) as s from c where b <> ''),
+ x as (select *, least(length(b), s + 1200) as e, {strip('substring(b, (s + 1)::int, 1200)')} as text from o),
+ n as (select *, row_number() over (partition by textbook_id, chapter_id order by s) as i from x where text <> '')
+select textbook_id || ':' || chapter_id || ':chunk_' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as chunk_id, i::int as chunk_index, s::int as char_start, e::int as char_end, sha1(text) as text_hash from n""",
+    "search_chunks": rf"""
+with recursive c as (select textbook_id, chapter_id, {body('content')} as b from {CHAPTERS} where not {low_chapter('title', 'content')}),
+ w(textbook_id, chapter_id, b, n, i, s, e) as (
+  select textbook_id, chapter_id, b, length(b), 0, 0, case when length(b) <= 800 then length(b) else
+    case when length(regexp_extract(substring(b, 501, 300), '[^。！？!?；;\n]*\z')) < 300 then 800 - length(regexp_extract(substring(b, 501, 300), '[^。！？!?；;\n]*\z')) else 800 end end from c where b <> ''
+  union all
+  select textbook_id, chapter_id, b, n, i + 1, s2, case when n - s2 <= 800 then n else s2 + case when length(regexp_extract(substring(b, s2 + 501, 300), '[^。！？!?；;\n]*\z')) < 300
+    then 800 - length(regexp_extract(substring(b, s2 + 501, 300), '[^。！？!?；;\n]*\z')) else 800 end end
+  from (select *, greatest(e - 80, s + 1) as s2 from w where e < n))
+select textbook_id || ':' || chapter_id || ':chunk_' || lpad((i + 1)::varchar, greatest(4, length((i + 1)::varchar))::int, '0') as chunk_id, (i + 1)::int as chunk_index, s::int as char_start, e::int as char_end,
+ sha1({strip('substring(b, s + 1, e - s)')}) as text_hash from w where {strip('substring(b, s + 1, e - s)')} <> ''""",
+    "chunk_estimates": f"""
+select textbook_id, sum(greatest(1, ceil((length({body('content')}) - 80) / 720.0)))::bigint as chunks from {CHAPTERS} where not {low_chapter('title', 'content')} and length({body('content')}) > 0 group by 1""",
+    "term_statistics": f"""
+with t as (select chunk_id, unnest({terms('text')}) as term from {CHUNKS}) select chunk_id, count(*) as terms, count(distinct term) as distinct_terms, max(term) as last_term from t group by 1""",
+    "gram_statistics": f"""
+with k as (select chunk_id, {query_key('text')} as k from {CHUNKS}), g as (select chunk_id, list_concat({grams('k', 2)}, {grams('k', 3)}) as g from k)
+select chunk_id, len(g)::int as grams, len(list_distinct(g))::int as distinct_grams from g""",
+    "salient_terms": rf"""
+with k as (select question_id, {query_key('question')} as k from eval_items),
+ g as (select distinct question_id, unnest(list_concat(list_concat({grams('k', 4)}, {grams('k', 3)}), {grams('k', 2)})) as g from k),
+ r as (select *, row_number() over (partition by question_id order by length(g) desc, g) as n from g where regexp_matches(g, '^([一-鿿]+|[a-z0-9]+)\z') and g not in ({STOPS}))
+select question_id, string_agg(g, ' ' order by n) as salient from r where n <= 6 group by 1""",
+    "opening_sentences": rf"""
+select chunk_id, {strip(f"array_to_string(list_transform(list_slice(regexp_extract_all(coalesce(text, ''), '[^。！？!?；;\n]+[。！？!?；;]?'), 1, 2), lambda x: {strip('x')}), ' ')")} as opening from {CHUNKS}""",
+    "citation_labels": f"""
+select chunk_id, '[' || concat_ws(', ', textbook_title, chapter_title, {pages('page_start', 'page_end')}) || ']' as citation from {CHUNKS}""",
+    "token_estimates": f"""
+with x as (select textbook_id, text, length(regexp_replace(text, '[^一-鿿]+', '', 'g')) as han, len(regexp_extract_all(text, '[a-zA-Z0-9_]+')) as words, length(regexp_replace(text, '[^a-zA-Z0-9_]+', '', 'g')) as letters from {CHUNKS})
+select textbook_id, sum(case when text = '' then 0 else greatest(1, round_even(han * 0.7::double + words * 1.1::double + greatest(0, length(text) - han - letters) * 0.15::double, 0)) end)::bigint as tokens, count(*) as chunks from x group by 1""",
+    "embedding_texts": f"""
+select textbook_id, node_id, substring({strip("concat_ws(chr(10), nullif(coalesce(name, ''), ''), nullif(array_to_string(coalesce(aliases, []), ' '), ''), nullif(coalesce(definition, ''), ''), nullif(coalesce(category, ''), ''), nullif(coalesce(chapter_title, ''), ''))")}, 1, 1200) as embedding_text,
+ (length(coalesce(name, '')) + length(coalesce(definition, '')) + coalesce(list_sum(list_transform(aliases, lambda x: length(x))), 0))::int as char_count from {NODES}""",
+    "textbook_signatures": f"""
+with c as (select textbook_id, string_agg(sha1(chapter_id || chr(0) || title || chr(0) || coalesce(content, '')), chr(0) order by chapter_ord) as h from {CHAPTERS} group by 1)
+select textbook_id, sha1(coalesce(filename, '') || chr(0) || coalesce(title, '') || chr(0) || coalesce(h, '') || chr(0)) as signature from {BOOKS} left join c using (textbook_id)""",
+    "low_signal_chapters": f"select textbook_id, chapter_id from {CHAPTERS} where {low_chapter('title', 'content')}",
+    "graph_edges": f"""
+with {_PLACED},
+ n as (select *, textbook_id || '_' || chapter_id || '_block' as id, row_number() over (partition by textbook_id order by chapter_ord) as i, lead(textbook_id || '_' || chapter_id || '_block') over (partition by textbook_id order by chapter_ord) as nxt from b)
+select textbook_id, i::int as edge_ord, textbook_id || '_' || chapter_id || '_parent_' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') as edge_id, parent as source, id as target, 'contains' as relation, 1.0::double as weight from n
+union all select textbook_id, i::int, textbook_id || '_chapter_prereq_' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0'), id, nxt, 'prerequisite', 0.8::double from n where nxt is not null""",
+    "distinct_edges": f"""
+with e as (select textbook_id, least(source, target) as source, greatest(source, target) as target, lower(relation) as relation, weight, evidence from {EDGES} where source <> target),
+ v as (select distinct textbook_id, source, target, relation, {strip('x')} as x from (select *, unnest(evidence) as x from e)),
+ l as (select textbook_id, source, target, relation, string_agg(x, chr(10) order by x) as evidence from v where x <> '' group by all),
+ g as (select textbook_id, source, target, relation, round(avg(weight), 4) as weight, count(*) as source_edge_count from e group by all)
+select g.*, coalesce(l.evidence, '') as evidence from g left join l using (textbook_id, source, target, relation)""",
+    "node_degrees": f"select textbook_id, node_id, count(*) as degree from (select textbook_id, unnest([source, target]) as node_id from {EDGES}) group by all",
+    "graph_statistics": f"""
+select textbook_id, 'nodes:' || level as measure, count(*) as n from {NODES} group by all union all select textbook_id, 'edges:' || lower(relation), count(*) from {EDGES} group by all""",
+    "graph_union": f"select textbook_id || ':' || edge_id as edge_id, textbook_id || ':' || source as source, textbook_id || ':' || target as target, relation, weight from {EDGES}",
+    "keyword_search": _search("keyword"),
+    "ngram_search": _search("char_ngram"),
+    "eval_coverage": """
+select 'question_type' as dimension, question_type as value, count(*) as n from eval_items group by 2 union all select 'difficulty', difficulty, count(*) from eval_items group by 2
+union all select 'textbook', c.textbook_id, count(*) from (select unnest(expected_citations) as c from eval_items) group by 2""",
+    "decision_counts": f"""
+select action, coalesce(reason, '') as reason, count(*) as n, round(avg(confidence), 4) as confidence, sum(coalesce(len(node_ids), 0))::bigint as nodes from {DECISIONS} group by 1, 2""",
+    "node_search": f"""
+select textbook_id, node_id, name, case when level = 'primary' or node_type = 'chapter' then 'hexagon' when category = '内容块' then 'square' when category in ('疾病', '方法') then 'diamond' else 'circle' end as shape
+from {NODES} where contains(lower(concat_ws(chr(10), name, definition, chapter_title, textbook_id, array_to_string(coalesce(aliases, []), chr(10)))), 'lpk')""",
+    "visible_edges": f"""
+with n as {NODES}, e as {EDGES}, p as (select min(parent_id) as id from n), s as (select distinct textbook_id, node_id from n, p where level = 'primary' or parent_id = p.id)
+select textbook_id, edge_id, source, target from e where (textbook_id, source) in (select textbook_id, node_id from s) and (textbook_id, target) in (select textbook_id, node_id from s)""",
+    "node_layout": f"""
+with n as {NODES}, d as (select textbook_id, node_id, count(*) as degree from (select textbook_id, unnest([source, target]) as node_id from {EDGES}) group by all),
+ r as (select n.textbook_id, n.node_id, n.frequency, row_number() over (partition by n.textbook_id order by coalesce(degree, 0) desc, coalesce(n.frequency, 0) desc, n.node_id) - 1 as i from n left join d using (textbook_id, node_id)),
+ a as (select *, case when i = 0 then 0.0::double else 92 + 46 * ceil(sqrt(i)) end as ring, i * (pi() * (3 - sqrt(5))) as angle from r)
+select textbook_id, node_id, i::int as i, round(600 + cos(angle) * ring, 3) as x, round(380 + sin(angle) * ring * 0.72::double, 3) as y, round(least(42.0::double, greatest(17.0::double, 15 + 3.2::double * sqrt(greatest(1, coalesce(frequency, 1))))), 3) as r from a""",
+    "chat_history": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5",
+    "event_windows": "select date_trunc('hour', ts)::timestamp as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
+}
