@@ -47,24 +47,31 @@ def _squares(tokens: Column) -> Column:
     return F.sqrt(F.aggregate(ordered, start, step, lambda s: s["s"]))
 
 
-def lexical_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every pair with a term, title term or n-gram in common, with all the measures that scores are made of."""
+#: The token kinds that a mode's score is made of; "key" finds the texts that hold a whole question.
+KINDS = {"keyword": ("body", "head", "key"), "char_ngram": ("head", "gram"), "vector": ("head", "key"), "hybrid": ("body", "head", "gram")}
+
+
+def lexical_pairs(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Every pair with a token of the mode's kinds in common, with all the measures that its score is made of."""
     q = questions.select(
         "question_id", "question", T.terms(F.col("question")).alias("_qt"), T.grams(F.col("question")).alias("_qg"), T.query_key(F.col("question")).alias("_qk")
     )
     q = q.withColumn("_qn", F.size("_qt")).withColumn("_qnorm", _squares(F.col("_qg")))
     title = F.coalesce("chapter_title", F.lit(""))
-    ask = _tagged(body=T.terms(F.col("question")), head=T.terms(F.col("question")), gram=T.grams(F.col("question")))
-    have = _tagged(body=T.terms(F.col("text")), head=T.terms(title), gram=T.grams(F.col("text")))
+    start = lambda c: F.when(F.length(c) > 0, F.array(F.substring(c, 1, 3))).otherwise(F.array().cast("array<string>"))
+    whole = lambda c: T.let(T.letters(T.query_key(F.col(c))), lambda x: F.array_distinct(F.concat(T.windows(x, 1), T.windows(x, 2), T.windows(x, 3))))
+    asked = {"body": T.terms(F.col("question")), "head": T.terms(F.col("question")), "gram": T.grams(F.col("question")), "key": start(T.query_key(F.col("question")))}
+    held = {"body": T.terms(F.col("text")), "head": T.terms(title), "gram": T.grams(F.col("text")), "key": whole("text")}
+    ask, have = (_tagged(**{k: side[k] for k in KINDS[mode]}) for side in (asked, held))
     keys = ["question_id", "chunk_id"]
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, F.col(value)).otherwise(0))
     pairs = overlaps(questions, chunks, ask, have).groupBy(*keys).agg(of("body", "shared").alias("body"), of("head", "shared").alias("head"), of("gram", "dot").alias("dot"))
     c = chunks.select(
-        "chunk_id", "chapter_title", "page_start", "text",
+        "chunk_id", T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("_low"),
         F.size(T.terms(F.col("text"))).alias("_dn"), F.size(T.terms(title)).alias("_tn"), _squares(T.grams(F.col("text"))).alias("_dnorm"), T.query_key(F.col("text")).alias("_dk"),
     )
     rows = pairs.join(c, "chunk_id").join(q.select("question_id", "_qn", "_qnorm", "_qk"), "question_id")
-    low = F.when(T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")), 0.12).otherwise(0.0)
+    low = F.when(F.col("_low"), 0.12).otherwise(0.0)
     within = F.when((F.col("_qk") != "") & F.col("_dk").contains(F.col("_qk")), 0.15).otherwise(0.0)
     return rows.select(
         *keys,
@@ -99,7 +106,7 @@ def top(scored: DataFrame, k: int, min_score: float) -> DataFrame:
 
 
 def lexical_top(questions: DataFrame, chunks: DataFrame, mode: str = "keyword", k: int = TOP_K, min_score: float = 0.0) -> DataFrame:
-    scored = lexical_pairs(questions, chunks).withColumn("score", mode_score(mode))
+    scored = lexical_pairs(questions, chunks, mode).withColumn("score", mode_score(mode))
     return top(scored, min(k, TOP_K), min_score).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -124,7 +131,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, group: str | None
 def reranked(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, mode: str, k: int = TOP_K, min_score: float = 0.0) -> DataFrame:
     """Second stage of vector and hybrid search: the candidates (question_id, chunk_id, similarity) under the full score."""
     some = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    lexical = lexical_pairs(questions, some)
+    lexical = lexical_pairs(questions, some, mode)
     rows = candidates.join(lexical, ["question_id", "chunk_id"], "left").fillna(0.0, ["keyword", "title", "ngram", "within", "low"])
     scored = rows.withColumn("score", mode_score(mode, F.col("similarity")))
     return top(scored, min(k, TOP_K), min_score).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
