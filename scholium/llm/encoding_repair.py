@@ -280,8 +280,8 @@ def repair(texts: DataFrame, column: str, counts: dict[int, int], restored: str
                 rows.append((after, [{"char_start": s, "char_end": e, "kind": k} for s, e, _, k in found]))
             yield pd.DataFrame(rows, columns=["restored", "spans"])
 
-    out = texts.withColumn("_r", run(F.col(column)))
-    return out.withColumn(restored, F.col("_r.restored")).withColumn(spans, F.col("_r.spans")).drop("_r")
+    out = texts.withColumn("__repair", run(F.col(column)))
+    return out.withColumn(restored, F.col("__repair.restored")).withColumn(spans, F.col("__repair.spans")).drop("__repair")
 
 
 def collect_counts(counts: DataFrame) -> dict[int, int]:

@@ -353,8 +353,8 @@ def find(documents: DataFrame, column: str, redacted: str = "redacted", spans: s
         ]
         return pd.DataFrame(rows, columns=["redacted", "spans"])
 
-    out = documents.withColumn("_p", run(F.col(column)))
-    return out.withColumn(redacted, F.col("_p.redacted")).withColumn(spans, F.col("_p.spans")).drop("_p")
+    out = documents.withColumn("__pii", run(F.col(column)))
+    return out.withColumn(redacted, F.col("__pii.redacted")).withColumn(spans, F.col("__pii.spans")).drop("__pii")
 
 
 def kinds(documents: DataFrame, key: str, column: str) -> DataFrame:

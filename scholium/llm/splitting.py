@@ -109,7 +109,8 @@ def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
         "item_kind", F.col("max_size").alias("_limit"), F.coalesce("overlap", F.lit(0)).alias("_overlap")
     )
     over = (
-        items.where(F.col("text").isNotNull())
+        items.select("item_kind", "item_key", "text")
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(sizes), "item_kind")
         .where(F.length("text") > F.col("_limit"))
         .select("item_kind", "item_key", "text", "_limit", "_overlap")

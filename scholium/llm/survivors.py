@@ -31,6 +31,9 @@ STAND_INS = (
     "无 空 暂无 未知 未定 不详 待定 待补 待补充 待填 缺 缺失 未填 未命名 没有 略 同上"
 ).split()
 BLOCK = 4_096
+NODE_COLUMNS = (
+    "textbook_id node_id name definition aliases source_textbook_id chapter_id node_type level category chapter_title page_start page_end frequency source_excerpt extractor updated_at".split()
+)
 COMPARED = ("definition", "chapter_title", "page_start", "page_end", "frequency", "source_excerpt")
 
 
@@ -44,9 +47,9 @@ def filled(column: str, stand_ins: bool = False) -> Column:
 def members(groups: DataFrame, nodes: DataFrame, extractors: DataFrame) -> DataFrame:
     """One row a group member with its node's fields, what is filled, and its trust (null and unknown rank lowest)."""
     key = F.concat_ws(":", "textbook_id", "node_id")
-    rows = nodes.withColumn("node_key", key).dropDuplicates(["node_key"])
+    rows = nodes.select(*NODE_COLUMNS, key.alias("node_key")).dropDuplicates(["node_key"])
     trust = extractors.groupBy("extractor").agg(F.max("trust").alias("trust"))
-    joined = groups.join(rows, "node_key", "left").join(F.broadcast(trust), "extractor", "left")
+    joined = groups.select("group_key", "node_key").join(rows, "node_key", "left").join(F.broadcast(trust), "extractor", "left")
     flags = {
         "definition": filled("definition", stand_ins=True),
         "chapter_title": filled("chapter_title"),
