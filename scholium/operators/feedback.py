@@ -94,7 +94,7 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def next_number(ids: DataFrame, column: str) -> int:
-    return (ids.agg(F.max(F.try_to_number(F.regexp_extract(column, r"(\d+)$", 1), F.lit("999999999999")))).first()[0] or 0) + 1
+    return int(ids.agg(F.max(F.try_to_number(F.regexp_extract(column, r"(\d+)$", 1), F.lit("999999999999")))).first()[0] or 0) + 1
 
 
 def apply(graph: Graph, text: str) -> Graph:
