@@ -69,7 +69,7 @@ def segments(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) ->
 
 def fill(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """The container of each item by the dot-product heuristic; size is (items, dimensions)."""
-    share = size / limit
+    share = np.minimum(size / limit, 1.0)  # what exceeds a limit by itself fills a container by itself
     order = np.lexsort((np.arange(len(size)), -share.sum(1)))
     share = share[order]
     container = np.full(len(size), -1)
