@@ -3,7 +3,8 @@
 Vectors are scaled to length 1. Coarse centroids split them into lists; within a list the residual to the centroid
 is stored as one code a subspace. A query visits its nearest lists, ranks their entries by asymmetric distance
 tables (exact query, coded entries), and the best of each list are reranked by their exact cosine. Only the
-quantisers are fitted on a bounded sample (``TRAIN_ROWS``); every vector is indexed.
+quantisers are fitted on a bounded sample (``TRAIN_ROWS``); every vector is indexed. How many lists a query visits is
+measured for the fitted lists, on rows they weren't fitted on if the table has more, so that those left out cost no more than a stated share.
 
 Scale: copies of one vector are collapsed before indexing and expanded afterwards; a list is cut into blocks of
 at most ``BLOCK`` entries and ``BLOCK`` queries, so that no task holds more however hot a list is. The index is a table in
@@ -27,11 +28,15 @@ from ..session import stage
 
 DIM = 64
 TRAIN_ROWS = 16_384
+#: Rows kept out of the fitting of a larger table, on which the number of lists to visit is measured.
+TEST_ROWS = 8_192
 MAX_LISTS = 1_024
 ROWS_A_LIST = 64
 SUBSPACES = 8
 CODES = 256
 BLOCK = 4_096
+#: Share of the pairs at exactly the least similarity, and of the k nearest, that the lists not visited may cost.
+PAIR_LOSS, NEAREST_LOSS = 0.001, 0.01
 #: Lists share a call of the scoring function until they hold about so many rows.
 ROWS_A_CALL = 8_192
 FLOAT = np.float32
@@ -82,17 +87,67 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool) -> np.ndarray:
     return centres.astype(FLOAT)
 
 
-def fit(reps: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coarse centroids and residual codebooks (SUBSPACES, CODES, DIM / SUBSPACES), from about TRAIN_ROWS rows by hash.
+def _visits(ranks: np.ndarray, loss: float, lists: int) -> int:
+    """The least number of lists with which no more than that share of the ranks (from 0) is left out."""
+    if not len(ranks):
+        return lists
+    return int(min(lists, np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(len(ranks) * (1 - loss))) - 1)] + 1))
+
+
+def _rank_of(near: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return (near > np.take_along_axis(near, of, 1)).sum(1)
+
+
+def pair_probes(min_similarity: float, loss: float = PAIR_LOSS):
+    """Lists to visit for pairs of that similarity, either side visiting: random partners of sampled vectors are ranked."""
+
+    def probes(x: np.ndarray, grp: np.ndarray, coarse: np.ndarray) -> int:
+        rng = np.random.default_rng(11)
+        x = np.resize(x, (max(len(x), 4_096), DIM))[:8_192].astype(np.float64)
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = min_similarity * x + np.sqrt(1 - min_similarity**2) * z
+        a, b = x @ coarse.T, y @ coarse.T
+        ranks = np.minimum(_rank_of(a, b.argmax(1)[:, None]), _rank_of(b, a.argmax(1)[:, None]))
+        return _visits(ranks, loss, len(coarse))
+
+    return probes
+
+
+def nearest_probes(k: int, loss: float = NEAREST_LOSS):
+    """Lists to visit for the k nearest; those within the sample are no nearer than those of the table, so it's enough."""
+
+    def probes(x: np.ndarray, grp: np.ndarray, coarse: np.ndarray) -> int:
+        own = (x @ coarse.T).argmax(1)
+        ranks = []
+        for start in range(0, min(len(x), 1_024), 128):
+            q = np.arange(start, min(len(x), start + 128))
+            near = np.where(grp[q][:, None] == grp[None, :], x[q] @ x.T, -np.inf)
+            near[np.arange(len(q)), q] = -np.inf
+            top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            for j in range(top.shape[1]):
+                some = np.isfinite(near[np.arange(len(q)), top[:, j]])
+                ranks.append(_rank_of(x[q] @ coarse.T, own[top[:, j]][:, None])[some])
+        return _visits(np.concatenate(ranks), loss, len(coarse)) if ranks else len(coarse)
+
+    return probes
+
+
+def fit(reps: DataFrame, rows: int, probes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Coarse centroids, residual codebooks (SUBSPACES, CODES, DIM / SUBSPACES), from about TRAIN_ROWS rows by hash, and probes.
 
     The share of hashes is set from the number of rows, so the driver gets no more at any size than at this one.
     """
-    share = min(1.0, TRAIN_ROWS / rows)
+    share = min(1.0, (TRAIN_ROWS + TEST_ROWS) / rows)
     kept = F.pmod(F.xxhash64("id", "grp"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
-    sample = reps.where(kept).select("unit").toPandas()
+    sample = reps.where(kept).select("grp", "unit").toPandas()
     if not len(sample):  # a handful of rows whose hashes all lie outside
-        sample = reps.select("unit").limit(TRAIN_ROWS).toPandas()
-    x = _matrix(sample["unit"])
+        sample = reps.select("grp", "unit").limit(TRAIN_ROWS).toPandas()
+    sample = sample.sample(frac=1.0, random_state=7)
+    every, grp = _matrix(sample["unit"]), sample["grp"].to_numpy(dtype=object)
+    # of a table that is fitted whole, every row lies as near to its centroid as the fitted ones
+    x, test = (every, slice(None)) if rows <= TRAIN_ROWS else (every[:TRAIN_ROWS], slice(min(TRAIN_ROWS, max(0, len(every) - TEST_ROWS)), None))
     lists = int(min(MAX_LISTS, max(1, rows // ROWS_A_LIST)))
     coarse = _kmeans(x, lists, 6, spherical=True)
     residual = x - coarse[(x @ coarse.T).argmax(1)]
@@ -101,26 +156,29 @@ def fit(reps: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
         book = _kmeans(np.ascontiguousarray(part), CODES, 4, spherical=False)
         books[m, : len(book)] = book
         books[m, len(book) :] = book[0]
-    return coarse, books
+    return coarse, books, probes(every[test], grp[test], coarse) if callable(probes) else probes
+
 
+def build_index(vectors: DataFrame, probes) -> tuple[DataFrame, DataFrame, object]:
+    """(index table, membership of copies, broadcast quantisers); index rows: grp, id, unit, code, lists.
 
-def build_index(vectors: DataFrame, probes: int) -> tuple[DataFrame, DataFrame, object]:
-    """(index table, membership of copies, broadcast quantisers); index rows: grp, id, unit, code, lists."""
+    ``probes`` is a number of lists or what tells it from the sample: pair_probes or nearest_probes.
+    """
     spark = vectors.sparkSession
     base = stage(vectors, "vectors")
     reps, members = collapse(base)
     reps = stage(reps, "representatives")
     rows = reps.count()
-    quantisers = spark.sparkContext.broadcast(fit(reps, rows) if rows else None)
+    quantisers = spark.sparkContext.broadcast(fit(reps, rows, probes) if rows else None)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coarse, books = quantisers.value
+        coarse, books, visited = quantisers.value
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch["unit"])
             near = x @ coarse.T
-            n = min(probes, len(coarse))
+            n = min(visited, len(coarse))
             top = np.argpartition(-near, n - 1, axis=1)[:, :n]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
             residual = (x - coarse[top[:, 0]]).reshape(len(x), SUBSPACES, -1)
@@ -166,7 +224,7 @@ def search(
     right = right.select(spread.alias("call"), "grp", "list", "id", "unit", "code")
 
     def score(queries_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
-        coarse, books = quantisers.value
+        coarse, books, _ = quantisers.value
         out = []
         if len(queries_) and len(entries_):
             by_list = {key: frame for key, frame in entries_.groupby(["grp", "list"], sort=False)}
@@ -209,9 +267,9 @@ def _score_list(key, some, entries, coarse, books, k, min_similarity, shortlist)
     return pd.DataFrame({"grp": key[0], "query": query, "id": ident, "similarity": similarity})
 
 
-def similar_pairs(vectors: DataFrame, min_similarity: float, k: int = 10, probes: int = 4) -> DataFrame:
+def similar_pairs(vectors: DataFrame, min_similarity: float, k: int = 10, probes: int | None = None) -> DataFrame:
     """(a, b): each pair of one group with at least that cosine, a < b, as far as k neighbours within the probes give."""
-    index, members, quantisers = build_index(vectors, probes)
+    index, members, quantisers = build_index(vectors, probes or pair_probes(min_similarity))
     found = search(index, index, quantisers, k, min_similarity).select("grp", F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct()
     alike = members.alias("l").join(members.alias("r"), ["grp", "rep"]).where(F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     copies = lambda side: members.select("grp", F.col("rep").alias(side), F.col("id").alias(f"_{side}"))
@@ -221,9 +279,9 @@ def similar_pairs(vectors: DataFrame, min_similarity: float, k: int = 10, probes
     return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(alike).distinct()
 
 
-def neighbours(vectors: DataFrame, is_query, k: int = 10, probes: int = 256) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query, k: int = 10, probes: int | None = None) -> DataFrame:
     """(grp, query, id, similarity) of the k nearest distinct vectors for the rows of a query set, against all rows."""
-    index, _, quantisers = build_index(vectors, probes)
+    index, _, quantisers = build_index(vectors, probes or nearest_probes(k))
     return search(index, index.where(is_query), quantisers, k, shortlist=64)
 
 

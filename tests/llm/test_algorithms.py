@@ -129,6 +129,32 @@ def test_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_probes_grow_with_the_lists():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(12_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coarse = neighbours._kmeans(x, 1_024, 2, spherical=True)
+    grp = np.array(["m"] * len(x), dtype=object)
+    near, own = x[-500:] @ coarse.T, (x @ coarse.T).argmax(1)
+    y = 0.9 * x[-500:] + np.sqrt(0.19) * _across(r, x[-500:])
+    to, back = (y @ coarse.T), near.argmax(1)
+    probes = neighbours.pair_probes(0.9)(x, grp, coarse)
+    rank = lambda m, c: (m > m[np.arange(len(m)), c][:, None]).sum(1)
+    assert (np.minimum(rank(near, to.argmax(1)), rank(to, back)) < probes).mean() >= 0.995 and 4 < probes < 100
+    exact = x[-500:] @ x.T
+    exact[np.arange(500), np.arange(len(x) - 500, len(x))] = -9
+    top = np.argsort(-exact, axis=1)[:, :10]
+    probes = neighbours.nearest_probes(10)(x, grp, coarse)
+    ranks = np.stack([rank(near, own[top[:, j]]) for j in range(10)])
+    assert (ranks < 256).mean() < 0.9 and (ranks < probes).mean() >= 0.97
+
+
+def _across(r, x):
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(0, 100)), min_size=1, max_size=60))
 def test_fill_respects_all_limits(items):
