@@ -37,6 +37,8 @@ CODES = 256
 BLOCK = 4_096
 #: Share of the pairs at exactly the least similarity, and of the k nearest, that the lists not visited may cost.
 PAIR_LOSS, NEAREST_LOSS = 0.001, 0.01
+#: Similarities of neighbours that are equal so far tie and rank by id.
+DIGITS = 6
 #: Lists share a call of the scoring function until they hold about so many rows.
 ROWS_A_CALL = 8_192
 FLOAT = np.float32
@@ -279,33 +281,54 @@ def similar_pairs(vectors: DataFrame, min_similarity: float, k: int = 10, probes
     return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(alike).distinct()
 
 
+def _expanded(base: DataFrame, members: DataFrame, found: DataFrame, is_query, k: int) -> DataFrame:
+    """Neighbours of classes of equal vectors as neighbours of rows: each query row gets its copies and every member of a class.
+
+    No more than the k + 1 smallest ids of a class can be among the answers, one of them being the query itself.
+    """
+    by_id = Window.partitionBy("grp", "rep").orderBy("id")
+    few = members.withColumn("_m", F.row_number().over(by_id)).where(F.col("_m") <= k + 1).drop("_m")
+    own = few.select("grp", F.col("rep").alias("query"), "id", F.lit(1.0).alias("similarity"))
+    copies = few.select("grp", F.col("rep").alias("id"), F.col("id").alias("_id"))
+    others = found.join(copies, ["grp", "id"], "left").select("grp", "query", F.coalesce("_id", "id").alias("id"), "similarity")
+    best = Window.partitionBy("grp", "query").orderBy(F.desc("similarity"), "id")
+    answers = own.union(others).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    asked = base.where(is_query).select("grp", "id").join(members, ["grp", "id"], "left").select("grp", F.coalesce("rep", "id").alias("query"), F.col("id").alias("_query"))
+    rows = asked.join(answers, ["grp", "query"]).where(F.col("id") != F.col("_query")).select("grp", F.col("_query").alias("query"), "id", "similarity")
+    return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
 def neighbours(vectors: DataFrame, is_query, k: int = 10, probes: int | None = None) -> DataFrame:
-    """(grp, query, id, similarity) of the k nearest distinct vectors for the rows of a query set, against all rows."""
-    index, _, quantisers = build_index(vectors, probes or nearest_probes(k))
-    return search(index, index.where(is_query), quantisers, k, shortlist=64)
+    """(grp, query, id, similarity) of the k nearest other rows, copies included, for the rows of a query set, against all rows."""
+    base = stage(vectors, "asked")
+    index, members, quantisers = build_index(base, probes or nearest_probes(k))
+    members = stage(members, "members")
+    # a class is searched if any of its rows is asked for
+    asked = base.where(is_query).select("grp", "id").join(members, ["grp", "id"], "left").select("grp", F.coalesce("rep", "id").alias("id")).distinct()
+    found = search(index, index.join(asked, ["grp", "id"], "left_semi"), quantisers, k, shortlist=64)
+    return _expanded(base, members, found.withColumn("similarity", F.round("similarity", DIGITS)), is_query, k)
 
 
 def brute_force(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
-    """The same by comparing with every row, for measuring recall: queries are collected and scored in blocks."""
+    """The same by comparing every row with every row, for measuring recall: queries are collected and scored in blocks."""
     spark = vectors.sparkSession
-    reps, _ = collapse(vectors)
-    reps = stage(reps, "exact")
-    asked = reps.where(is_query).toPandas()
+    base = stage(vectors, "exact")
+    asked = base.where(is_query).toPandas()
     held = spark.sparkContext.broadcast({g: (f["id"].to_numpy(dtype=object), _matrix(f["unit"])) for g, f in asked.groupby("grp")})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for grp, some in batch.groupby("grp"):
+            for grp, some in batch.sort_values("id").groupby("grp"):  # ties rank by id
                 if grp not in held.value:
                     continue
                 names, q = held.value[grp]
                 ids = some["id"].to_numpy(dtype=object)
-                exact = q.astype(np.float64) @ _matrix(some["unit"]).astype(np.float64).T
+                exact = np.round(q.astype(np.float64) @ _matrix(some["unit"]).astype(np.float64).T, DIGITS)
                 exact[names[:, None] == ids[None, :]] = -np.inf
                 top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
                 i = np.repeat(np.arange(len(names)), top.shape[1])
                 yield pd.DataFrame({"grp": grp, "query": names[i], "id": ids[top.ravel()], "similarity": exact[i, top.ravel()]})
 
-    found = reps.mapInPandas(score, "grp string, query string, id string, similarity double").where(F.col("similarity") > float("-inf"))
+    found = base.mapInPandas(score, "grp string, query string, id string, similarity double").where(F.col("similarity") > float("-inf"))
     best = Window.partitionBy("grp", "query").orderBy(F.desc("similarity"), "id")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")

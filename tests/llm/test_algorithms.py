@@ -129,6 +129,23 @@ def test_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_neighbours_give_copies_back(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    base = r.normal(size=(60, 64)).tolist()
+    rows = [(f"a{i:02d}", v) for i, v in enumerate(base)] + [(f"b{i:02d}", v) for i, v in enumerate(base[:30])] + [(f"c{i:02d}", base[0]) for i in range(8)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    used = neighbours.usable(vectors, vectors.select("chunk_id", F.lit("m").alias("embedding_model")))
+    keys = sorted(dict(rows))
+    unit = np.array([np.array(dict(rows)[k]) / np.linalg.norm(dict(rows)[k]) for k in keys])
+    exact = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(exact, -9)
+    want = {(keys[i], keys[j]) for i in range(len(keys)) for j in np.argsort(-exact[i], kind="stable")[:5] if keys[i] > "b"}
+    for of in (neighbours.neighbours, neighbours.brute_force):
+        assert {(x["query"], x["id"]) for x in of(used, F.col("id") > "b", 5).collect()} == want
+
+
 def test_probes_grow_with_the_lists():
     r = np.random.default_rng(2)
     x = r.normal(size=(12_000, 64)).astype(np.float32)
