@@ -118,3 +118,9 @@ def test_personal_data_rows(spark):
     found = {r["id"]: r["redacted"] for r in personal_data.find(rows, "value").collect()}
     assert found[1] is None and found[2] == "" and found[3] == "Tel. [PHONE]." and len(found[4]) == 200_000
     assert personal_data.kinds(rows.limit(0), "id", "value").count() == 0
+
+
+def test_misreads_are_judged_by_ratio_at_any_size():
+    for times in (1, 10, 1000):
+        cleaner = page_noise.Cleaner({"number": 471 * times, "niimber": 6 * times, "band": 60 * times, "hand": 90 * times}, {}, set())
+        assert cleaner._fix_words("The niimber and the band.")[0] == "The number and the band."
