@@ -1,8 +1,8 @@
 """Problem 2: what page layout and recognition left in the text of scanned books.
 
 Three passes. The first counts, over the whole corpus, words, the neighbours of characters that recognition mixes up,
-and the folded short lines of every book. Lines that come back within a book, but aren't sub-headings that many
-books share, are its running headers and footers, as are lines that fold to nearly the chapter's or the book's
+and the folded short lines of every book. Lines that come back at page edges of a book, and stand there more often than
+elsewhere, are its running headers and footers, as are lines that fold to nearly the chapter's or the book's
 title. The last pass removes these and the page numbers (marked ones, and bare ones that fit the chapter's pages or run in
 sequence), corrects misread words and characters towards what the corpus says, and joins lines: a word cut by a
 hyphen is joined by the corpus vocabulary.
@@ -78,7 +78,25 @@ def is_short(line: str) -> bool:
     return 1 < len(line.strip()) <= 100 and line.count("|") < 2 and not _terminal.search(line)
 
 
-STATS = "kind string, textbook_id string, chapter_id string, key string, n bigint"
+STATS = "kind string, textbook_id string, chapter_id string, key string, n bigint, edges bigint"
+
+
+def at_edge(lines: list[str], i: int) -> bool:
+    """Whether a line stands at a page edge: beside a form feed, a page number or an end of the text, or within a sentence."""
+    before, after = i - 1, i + 1
+    while before >= 0 and not lines[before].strip():
+        before -= 1
+    while after < len(lines) and not lines[after].strip():
+        after += 1
+    beside = lines[max(before, 0) : after + 1]
+    if any("\f" in line for line in beside):
+        return True
+    if before < 0 or after >= len(lines):
+        return True
+    last = lines[before].rstrip()
+    if _number(last)[1] or _number(lines[after])[1]:
+        return True
+    return not _terminal.search(last) and not _table.search(last) and (_goes_on(last) or not _heading_like(last))
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,10 +113,15 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 i, c = match.start(), match.group()
                 near["l" + content[i - 1 : i] + c] += 1
                 near["r" + content[i + 1 : i + 2] + c] += 1
-            keys = Counter(k for line in split_lines(content) if is_short(line) for k in (fold(line),) if k)
-            rows += [("line", book, chapter, k, n) for k, n in keys.items()]
-        rows += [("word", None, None, w, n) for w, n in words.items()] + [("near", None, None, w, n) for w, n in near.items()]
-        yield pd.DataFrame(rows, columns=["kind", "textbook_id", "chapter_id", "key", "n"])
+            lines, keys, edges = split_lines(content), Counter(), Counter()
+            for i, line in enumerate(lines):
+                key = fold(line) if is_short(line) else ""
+                if key:
+                    keys[key] += 1
+                    edges[key] += at_edge(lines, i)
+            rows += [("line", book, chapter, k, n, edges[k]) for k, n in keys.items()]
+        rows += [("word", None, None, w, n, 0) for w, n in words.items()] + [("near", None, None, w, n, 0) for w, n in near.items()]
+        yield pd.DataFrame(rows, columns=["kind", "textbook_id", "chapter_id", "key", "n", "edges"])
 
 
 def statistics(chapters: DataFrame) -> tuple[dict[str, int], dict[str, int], set[str], DataFrame]:
@@ -112,10 +135,12 @@ def statistics(chapters: DataFrame) -> tuple[dict[str, int], dict[str, int], set
         (vocabulary if row["kind"] == "word" else near)[row["key"]] = row["n"]
     lines = counted.where("kind = 'line'")
     books = lines.select("textbook_id").distinct().count()
-    in_book = lines.groupBy("textbook_id", "key").agg(F.sum("n").alias("n"))
+    # repeated deliveries of a chapter count once
+    in_chapter = lines.groupBy("textbook_id", "chapter_id", "key").agg(F.max("n").alias("n"), F.max("edges").alias("edges"))
+    in_book = in_chapter.groupBy("textbook_id", "key").agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"))
     shared = in_book.groupBy("key").agg(F.count("*").alias("books")).where(F.col("books") > max(3, books * BOOK_SHARE))
     headings = {r["key"] for r in shared.select("key").collect()}
-    repeated = in_book.where("n >= 3").join(shared, "key", "left_anti").select(F.col("textbook_id").alias("_b"), F.col("key").alias("_k"))
+    repeated = in_book.where("edges >= 3 and 2 * edges > n").select(F.col("textbook_id").alias("_b"), F.col("key").alias("_k"))
     running = lines.join(repeated, (F.col("textbook_id") == F.col("_b")) & (F.col("key") == F.col("_k")))
     return vocabulary, near, headings, running.groupBy("textbook_id", "chapter_id").agg(F.collect_set("key").alias("running"))
 
@@ -236,10 +261,12 @@ class Cleaner:
 
     def _running(self, line: str, titles: list[str], running: set[str]) -> bool:
         key = fold(line)
-        if not key or key in self.headings:
+        if not key:
             return False
         if key in running and not _block.search(line):
             return True
+        if key in self.headings:
+            return False
         for k in titles:
             if key == k:
                 return True

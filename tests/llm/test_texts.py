@@ -124,3 +124,17 @@ def test_misreads_are_judged_by_ratio_at_any_size():
     for times in (1, 10, 1000):
         cleaner = page_noise.Cleaner({"number": 471 * times, "niimber": 6 * times, "band": 60 * times, "hand": 90 * times}, {}, set())
         assert cleaner._fix_words("The niimber and the band.")[0] == "The number and the band."
+
+
+def test_running_lines_stand_at_page_edges(spark):
+    def content(i, head):
+        return f"The first layer of the cornea is clear.\n{head}\nIt was described early in this book.\nThe second layer, which is thinner, goes on over\nPrinted in the blue series\nthe whole of the page number {'abcdefgh'[i]} and ends here."
+
+    rows = [(f"b{b}", f"c{i}", "T", content(i, "Remember"), 1, 9) for b in range(5) for i in range(4)]
+    rows += [("b9", "c0", "T", content(0, "Remember also"), 1, 9)] * 3
+    chapters = spark.createDataFrame(rows, "textbook_id string, chapter_id string, title string, content string, page_start int, page_end int")
+    books = spark.createDataFrame([(f"b{b}", "Quite Another Thing") for b in (0, 1, 2, 3, 4, 9)], "textbook_id string, title string")
+    counted = page_noise.statistics(chapters)[3].collect()
+    assert {k for r in counted for k in r["running"]} == {page_noise.fold("Printed in the blue series")}
+    out = page_noise.clean_chapters(chapters, books).where("textbook_id = 'b1'").first()
+    assert "Remember" in out["clean_content"] and "blue series" not in out["clean_content"]
