@@ -5,8 +5,9 @@ cut into shingles of SHINGLE code points. Shingles of an item are ordered by the
 document can only hold a share t of an item's n shingles if it has one of the n - ceil(t n) + 1 rarest, the necessary
 prefix. Documents that hit a prefix are bounded by the number of the item's shingles (length) and by how many of them
 lie within one item-sized window (position); what is left is verified exactly: at least COVERED of the item in runs of
-RUN or more characters in running order within the window, among them enough of what only this item says, so that
-texts of the same pattern about other things are no case.
+RUN or more characters in running order within the window. Half of the item with one interruption at most is a case,
+whoever else says it; more scattered runs must hold enough of what only this item says, so that texts of the same
+pattern about other things are no case.
 
 The corpus is read twice, once for the rarities, and never shuffled; the items travel to the documents. They are held-out
 test sets of a bounded size, taken in blocks of ITEM_BLOCK, one pass over the corpus each.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 SHINGLE, RUN = 4, 4
 CONTAINED = 0.3
 COVERED = 0.5
-#: Share of the shingles that no other item has which a case must hold.
+#: Share of the shingles that no other item has which a case of more than two runs must hold.
 OWN = 0.2
 ITEM_BLOCK = 4_096
 _BITS = 22
@@ -129,16 +130,13 @@ class Items:
         return doc[which].astype(np.int64) * len(self.names) + self.item[entry], entry, which
 
     def _likely(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The pairs that hold enough of what only the item says: rare shingles alone, so few lookups."""
-        rare = self.own[self.begin[key]] if len(key) else np.zeros(0, bool)
-        pair, entry, _ = self._expand(doc[rare], key[rare])
-        once = np.unique(pair * len(self.hash) + entry) // len(self.hash)
-        pairs, own = np.unique(once, return_counts=True)
-        likely = pairs[own >= OWN * self.own_size[pairs % len(self.names)]]
-        plain = np.flatnonzero(self.own_size == 0)  # an item without a shingle of its own is looked up everywhere
-        if len(plain):
-            likely = np.union1d(likely, (np.unique(doc)[:, None].astype(np.int64) * len(self.names) + plain).ravel())
-        return likely
+        """The pairs that hold a shingle of the necessary prefix and enough shingles, each counted once."""
+        once = np.unique(doc.astype(np.int64) * len(self.keys) + key)
+        pair, entry, _ = self._expand(once // len(self.keys), once % len(self.keys))
+        pairs, index = np.unique(pair, return_inverse=True)
+        total = np.bincount(index, minlength=len(pairs))
+        prefix = np.bincount(index, weights=self.prefix[entry], minlength=len(pairs)) > 0
+        return pairs[prefix & (total >= CONTAINED * self.size[pairs % len(self.names)])]
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(text, item, share covered) of every verified case."""
@@ -147,16 +145,11 @@ class Items:
         if not len(where):
             return []
         doc = np.searchsorted(starts, where, side="right") - 1
-        likely = self._likely(doc, key)
-        near = np.isin(doc, likely // len(self.names))
+        pairs = self._likely(doc, key)
+        near = np.isin(doc, pairs // len(self.names))
         pair, entry, which = self._expand(doc[near], key[near])
-        chosen = np.isin(pair, likely)
+        chosen = np.isin(pair, pairs)
         pair, entry, position = pair[chosen], entry[chosen], where[near][which[chosen]]
-        once = np.unique(pair * len(self.hash) + entry, return_index=True)[1]
-        pairs, index = np.unique(pair[once], return_inverse=True)
-        total = np.bincount(index, minlength=len(pairs))
-        prefix = np.bincount(index, weights=self.prefix[entry[once]], minlength=len(pairs)) > 0
-        pairs = pairs[prefix & (total >= CONTAINED * self.size[pairs % len(self.names)])]
         order = np.argsort(pair, kind="stable")
         low, high = np.searchsorted(pair[order], pairs), np.searchsorted(pair[order], pairs, side="right")
         bounds = np.r_[starts, len(codes) + 1]
@@ -183,14 +176,17 @@ class Items:
                 continue
             done = at[i]
             own = len(set(entry[i : until[i]][self.own[entry[i : until[i]]]]))
-            if own < OWN * self.own_size[item]:
-                continue
             window = "".join(map(chr, codes[max(start, at[i] - 8) : min(end, at[i] + width)]))
             blocks = SequenceMatcher(None, window, text, False).get_matching_blocks()
-            best = max(best, sum(b.size for b in blocks if b.size >= RUN) / max(1, len(text)))
+            best = max(best, _held([b.size for b in blocks if b.size >= RUN], own >= OWN * self.own_size[item]) / max(1, len(text)))
         return best
 
 
+def _held(runs: list[int], own: bool) -> int:
+    """Characters in runs that count: all, or those of two runs that follow each other if little of it is the item's own."""
+    return sum(runs) if own else max((sum(runs[i : i + 2]) for i in range(len(runs))), default=0)
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, question_id, part, share): documents that hold at least half of an item's question or answer.
 

@@ -229,3 +229,10 @@ def test_prefix_loses_nothing():
 def test_folding(text):
     codes, _ = leakage.folded([text])
     assert "".join(map(chr, codes)) == "abc123"
+
+
+def test_half_of_an_item_is_a_case_whoever_else_says_it():
+    shared, one, two = "whether the inner layer of the cornea swells after repeated strain", "in young adults only", "among older patients"
+    index = leakage.Items([("a", shared + one), ("b", shared + two), ("c", "quite another question about the healing of bones")])
+    found = index.matches(["He asked " + shared + " and left.", "Nothing of that kind is said here."])
+    assert {(d, index.names[i]) for d, i, _ in found} == {(0, "a"), (0, "b")}
