@@ -4,7 +4,7 @@ A prefix-filtered set join. Texts are folded to their letters and digits (case,
 cut into shingles of SHINGLE code points. Shingles of an item are ordered by their rarity in the whole corpus; a
 document can only hold a share t of an item's n shingles if it has one of the n - ceil(t n) + 1 rarest, the necessary
 prefix. Documents that hit a prefix are bounded by the number of the item's shingles (length) and by how many of them
-lie within one item-sized window (position); what is left is verified exactly: at least COVERED of the item in runs of
+lie within one item-sized window (position); every window that is left is verified exactly: at least COVERED of the item in runs of
 RUN or more characters in running order within the window. Half of the item with one interruption at most is a case,
 whoever else says it; more scattered runs must hold enough of what only this item says, so that texts of the same
 pattern about other things are no case.
@@ -163,22 +163,43 @@ class Items:
         return out
 
     def _verify(self, codes: np.ndarray, start: int, end: int, at: np.ndarray, entry: np.ndarray, item: int) -> float:
-        """Share of the item in running order within the item-sized windows with the most of its shingles."""
+        """A share of the item in running order within an item-sized window that reaches COVERED, if there is one.
+
+        Runs are made of shingles, so what the shingles of a window cover bounds its share: windows are verified by that
+        bound, largest first, until none that is left can reach COVERED. The share of a case is the best of the
+        window that first reaches it and the three next.
+        """
         text = self.texts[item]
         width = int(1.6 * len(text)) + 20
         at, first = np.unique(at, return_index=True)
         entry = entry[first]
+        place = self.at[entry]
+        before = np.searchsorted(at, at - 8)
         until = np.searchsorted(at, at + width, side="right")
-        counts = until - np.arange(len(at))
-        best, done = 0.0, -1
-        for i in np.argsort(-counts, kind="stable")[:4]:
-            if counts[i] < CONTAINED * self.size[item] or at[i] == done:
-                continue
-            done = at[i]
-            own = len(set(entry[i : until[i]][self.own[entry[i : until[i]]]]))
+        # a shingle that the item repeats is known by its first place only
+        repeats = SHINGLE * (len(text) - SHINGLE + 1 - int(self.size[item]))
+        # of two runs that hold half of the item, one holds a quarter of it, its shingles side by side in both
+        chain = np.lexsort((at, at - place))
+        breaks = np.flatnonzero((np.diff(at[chain]) != 1) | (np.diff((at - place)[chain]) != 0)) + 1
+        longest = np.diff(np.r_[0, breaks, len(at)]).max() + SHINGLE - 1
+        few_runs = repeats > 0 or longest >= COVERED / 2 * len(text)
+        bounds, own = np.zeros(len(at)), np.zeros(len(at), dtype=bool)
+        for i in np.flatnonzero(until - before >= CONTAINED * self.size[item]):
+            held = entry[before[i] : until[i]]
+            own[i] = len(np.unique(held[self.own[held]])) >= OWN * self.own_size[item]
+            if own[i] or few_runs:
+                covered = np.zeros(len(text) + SHINGLE, dtype=bool)
+                for k in range(SHINGLE):
+                    covered[place[before[i] : until[i]] + k] = True
+                bounds[i] = (covered.sum() + repeats) / max(1, len(text))
+        best, more = 0.0, 3
+        for i in np.argsort(-bounds, kind="stable"):
+            if bounds[i] < COVERED or min(bounds[i], 1.0) <= best or best >= COVERED and not more:
+                break
+            more -= best >= COVERED
             window = "".join(map(chr, codes[max(start, at[i] - 8) : min(end, at[i] + width)]))
             blocks = SequenceMatcher(None, window, text, False).get_matching_blocks()
-            best = max(best, _held([b.size for b in blocks if b.size >= RUN], own >= OWN * self.own_size[item]) / max(1, len(text)))
+            best = max(best, _held([b.size for b in blocks if b.size >= RUN], own[i]) / max(1, len(text)))
         return best
 
 

@@ -236,3 +236,13 @@ def test_half_of_an_item_is_a_case_whoever_else_says_it():
     index = leakage.Items([("a", shared + one), ("b", shared + two), ("c", "quite another question about the healing of bones")])
     found = index.matches(["He asked " + shared + " and left.", "Nothing of that kind is said here."])
     assert {(d, index.names[i]) for d, i, _ in found} == {(0, "a"), (0, "b")}
+
+
+def test_every_window_of_a_document_is_verified():
+    text = "whether the inner layer of the cornea swells after repeated strain in young adults"
+    plain = text.replace(" ", "")
+    pieces = [plain[i : i + 7] for i in range(0, len(plain), 7)]
+    index = leakage.Items([("a", text)])
+    mixed = "zq".join(reversed(pieces)) + "".join(chr(0x4E00 + i) for i in range(400))
+    assert not index.matches([mixed])
+    assert [index.names[i] for _, i, _ in index.matches([mixed + plain[: int(0.6 * len(plain))]])] == ["a"]
