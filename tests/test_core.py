@@ -215,3 +215,14 @@ def test_stream_ingest(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("# 甲\nx")
     ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert [r["title"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["甲"]
+
+
+def test_nearest_scores_every_node(spark):
+    names = ["cell wall", "wall of bone", "bone marrow", "thin marrow", "acid", "nerve root", "root canal"]
+    rows = [(f"b{i}", i, "n", n, f"part {i % 3} of the {n[:4]} tissue", [], None, None, "concept", "content") for i, n in enumerate(names)]
+    valid = integration.cut(integration.prepared(spark.createDataFrame(rows, NODES)))
+    merged = valid.select(F.col("qid").alias("component"), F.lit(1).alias("source_count"))
+    pairs = valid.select(F.col("qid").alias("l")).crossJoin(valid.select(F.col("qid").alias("r"))).where("l <> r")
+    exact = integration.scored_pairs(valid, pairs).groupBy("l").agg(F.max("similarity.final_score").alias("near")).where("near > 0")
+    got = integration.nearest(valid, merged)
+    assert {tuple(r) for r in got.where("near > 0").collect()} == {tuple(r) for r in exact.collect()} and exact.count() == len(rows)
