@@ -163,7 +163,7 @@ def eval_plans(spark: S, d: str) -> D:
 
 
 def eval_leaderboard(spark: S, d: str) -> D:
-    return evaluation.leaderboard(table(spark, d, "eval_items"), _titled(spark, d), evaluation.GRID[3:5])
+    return evaluation.leaderboard(table(spark, d, "eval_items"), _titled(spark, d), evaluation.GRID)
 
 
 def decision_ranking(spark: S, d: str) -> D:

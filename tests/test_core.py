@@ -226,3 +226,12 @@ def test_nearest_scores_every_node(spark):
     exact = integration.scored_pairs(valid, pairs).groupBy("l").agg(F.max("similarity.final_score").alias("near")).where("near > 0")
     got = integration.nearest(valid, merged)
     assert {tuple(r) for r in got.where("near > 0").collect()} == {tuple(r) for r in exact.collect()} and exact.count() == len(rows)
+
+def test_registered_leaderboard_takes_the_whole_grid(monkeypatch):
+    from scholium.operators import evaluation
+    from scholium.plans import queries
+
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    monkeypatch.setattr(queries, "_titled", lambda *a: None)
+    monkeypatch.setattr(evaluation, "leaderboard", lambda items, chapters, configs=evaluation.GRID: configs)
+    assert queries.eval_leaderboard(None, "") == evaluation.GRID
