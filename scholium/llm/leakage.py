@@ -1,16 +1,19 @@
 """Problem 9: evaluation texts that turn up in corpus documents.
 
 A prefix-filtered set join. Texts are folded to their letters and digits (case, width, spacing and punctuation go) and
-cut into shingles of SHINGLE code points. Shingles of an item are ordered by their rarity in the whole corpus; a
-document can only hold a share t of an item's n shingles if it has one of the n - ceil(t n) + 1 rarest, the necessary
-prefix. Documents that hit a prefix are bounded by the number of the item's shingles (length) and by how many of them
-lie within one item-sized window (position); every window that is left is verified exactly: at least COVERED of the item in runs of
-RUN or more characters in running order within the window. Half of the item with one interruption at most is a case,
-whoever else says it; more scattered runs must hold enough of what only this item says, so that texts of the same
-pattern about other things are no case.
+cut into shingles of SHINGLE code points. The corpus is read once: of every document the places of its shingles that some
+item has are kept as a staged table of numbers, and how many documents have each shingle is counted on the way. Shingles
+of an item are then ordered by their rarity in the corpus; a document can only hold a share t of an item's n shingles if
+it has one of the n - ceil(t n) + 1 rarest, the necessary prefix, so documents and items are joined on those alone. Pairs
+that meet are bounded by the number of the item's shingles that the document holds (length) and by what lies within one
+item-sized window (position); every window that is left is verified exactly.
 
-The corpus is read twice, once for the rarities, and never shuffled; the items travel to the documents. They are held-out
-test sets of a bounded size, taken in blocks of ITEM_BLOCK, one pass over the corpus each.
+A case holds at least COVERED of the item in running order, in runs of RUN or more characters: as two runs with one
+interruption of any length, or as several runs within an item-sized window (a few altered words). Several runs must hold
+some of what only this item says (OWN), as texts of the same pattern about other things share as many.
+
+Nothing of the corpus is shuffled but counts; the items travel to the documents. They are held-out test sets of a
+bounded size, taken in blocks of ITEM_BLOCK, one pass over the corpus each.
 
 Defined results: null and blank texts give nothing; items shorter than a shingle never match; copies of a document
 give a row each; repeated rows give one.
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from math import ceil
 
 import numpy as np
@@ -28,9 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SHINGLE, RUN = 4, 4
 CONTAINED = 0.3
 COVERED = 0.5
+#: Of two runs with a long interruption between them each holds at least this share of the item.
+APART = 0.125
 #: Share of the shingles that no other item has which a case of more than two runs must hold.
 OWN = 0.2
 ITEM_BLOCK = 4_096
@@ -75,43 +81,55 @@ def hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared_shingles(rows: list[tuple[str, str]]) -> np.ndarray:
+    """The shingles that items of more than one name have, in order."""
+    owners = {name: i for i, name in enumerate(dict.fromkeys(name for name, _ in rows))}
+    codes, starts = folded([text for _, text in rows])
+    every = hashes(codes)
+    owner = np.array([owners[name] for name, _ in rows], dtype=np.uint64)[np.searchsorted(starts, np.arange(len(every)), side="right") - 1]
+    pairs = np.unique(np.stack([every, owner])[:, every != 0], axis=1)[0]
+    keys, n = np.unique(pairs, return_counts=True)
+    return keys[n > 1]
+
+
 class Items:
     """The shingles of a block of items, as arrays that documents are looked up in."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, rows: list[tuple[str, str]], shared: np.ndarray | None = None):
         self.names = [name for name, _ in rows]
         codes, starts = folded([text for _, text in rows])
-        bounds = np.r_[starts, len(codes) + 1]
-        self.texts = ["".join(map(chr, codes[a : b - 1])) for a, b in zip(bounds[:-1], bounds[1:])]
+        self.length = np.diff(np.r_[starts, len(codes) + 1]) - 1
         every = hashes(codes)
         item = np.searchsorted(starts, np.arange(len(every)), side="right") - 1
-        at = np.arange(len(every)) - starts[item]
-        ok = every != 0
-        every, item, at = every[ok], item[ok], at[ok]
-        _, first = np.unique(np.stack([every, item.astype(np.uint64)]), axis=1, return_index=True)
-        order = first[np.lexsort((item[first], every[first]))]
-        self.hash, self.item, self.at = every[order], item[order].astype(np.int32), at[order].astype(np.int32)
+        order = np.lexsort((np.arange(len(every)), item, every))
+        order = order[every[order] != 0]
+        # one entry for each place of a shingle; an entry is first if it is the first of its shingle and item
+        self.hash, self.item, self.at = every[order], item[order].astype(np.int32), (order - starts[item[order]]).astype(np.int32)
+        self.first = np.r_[True, (self.hash[1:] != self.hash[:-1]) | (self.item[1:] != self.item[:-1])][: len(order)]
         self.keys, self.begin = np.unique(self.hash, return_index=True)
-        self.end = np.r_[self.begin[1:], len(self.hash)]
-        self.size = np.bincount(self.item, minlength=len(rows))
-        owner = np.array([hash(n) for n in self.names], dtype=np.int64)[self.item] if len(self.item) else np.zeros(0, np.int64)
-        alone = np.array([len(set(owner[a:b])) == 1 for a, b in zip(self.begin, self.end)], dtype=bool)
-        self.own = np.repeat(alone, self.end - self.begin)
-        self.own_size = np.bincount(self.item[self.own], minlength=len(rows))
+        self.end = np.r_[self.begin[1:], len(self.hash)].astype(np.int64)
+        self.key = np.repeat(np.arange(len(self.keys)), self.end - self.begin)
+        self.size = np.bincount(self.item[self.first], minlength=len(rows))
+        shared = shared_shingles(rows) if shared is None else shared
+        self.own = ~np.isin(self.hash, shared)
+        self.own_size = np.bincount(self.item[self.own & self.first], minlength=len(rows))
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[self.keys >> np.uint64(64 - _BITS)] = True
+        self.least = int(np.ceil(CONTAINED * self.size[self.size > 0]).min()) if len(self.keys) else 1
         self.prefix = np.ones(len(self.hash), dtype=bool)
+        self.leading = np.ones(len(self.keys), dtype=bool)
 
-    def order(self, frequency: dict[int, int]) -> None:
-        """Mark the necessary prefix of each item, rarest shingles first."""
-        n = np.array([frequency.get(i, 0) for i in range(len(self.keys))], dtype=np.int64)
-        df = np.repeat(n, self.end - self.begin)
-        rank = np.lexsort((self.hash, df, self.item))
+    def order(self, frequency: np.ndarray) -> None:
+        """Mark the necessary prefix of each item, by how many documents have each key, rarest shingles first."""
+        entry = np.flatnonzero(self.first)
+        df = np.repeat(frequency, self.end - self.begin)[entry]
+        rank = entry[np.lexsort((self.hash[entry], df, self.item[entry]))]
         start = np.r_[0, np.cumsum(self.size)[:-1]]
-        place = np.empty(len(rank), dtype=np.int64)
-        place[rank] = np.arange(len(rank)) - start[self.item[rank]]
+        place = np.arange(len(rank)) - start[self.item[rank]]
         needed = np.array([s - ceil(CONTAINED * s) + 1 for s in self.size], dtype=np.int64)
-        self.prefix = place < needed[self.item]
+        self.prefix = np.zeros(len(self.hash), dtype=bool)
+        self.prefix[rank[place < needed[self.item[rank]]]] = True
+        self.leading = np.add.reduceat(self.prefix, self.begin) > 0 if len(self.keys) else self.leading
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, index of key) of every window of codes that is a shingle of an item."""
@@ -122,90 +140,110 @@ class Items:
         ok = self.keys[found] == h if len(self.keys) else np.zeros(len(h), bool)
         return where[ok], found[ok]
 
+    def lookup(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(positions, keys) of the shingles of items in each text."""
+        codes, starts = folded(texts)
+        where, key = self.hits(codes)
+        cut = np.searchsorted(where, np.r_[starts, len(codes) + 1])
+        return [((where[a:b] - start).astype(np.int32), key[a:b].astype(np.int32)) for start, a, b in zip(starts, cut[:-1], cut[1:])]
+
     def _expand(self, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document and item as one number, entry, index of the hit) for each item that has the shingle of a hit."""
+        """(document and item as one number, entry, index of the hit) for each place of the shingle of a hit in an item."""
         many = self.end[key] - self.begin[key]
         which = np.repeat(np.arange(len(key)), many)
         entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.begin[key[which]]
         return doc[which].astype(np.int64) * len(self.names) + self.item[entry], entry, which
 
-    def _likely(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The pairs that hold a shingle of the necessary prefix and enough shingles, each counted once."""
-        once = np.unique(doc.astype(np.int64) * len(self.keys) + key)
-        pair, entry, _ = self._expand(once // len(self.keys), once % len(self.keys))
-        pairs, index = np.unique(pair, return_inverse=True)
-        total = np.bincount(index, minlength=len(pairs))
-        prefix = np.bincount(index, weights=self.prefix[entry], minlength=len(pairs)) > 0
-        return pairs[prefix & (total >= CONTAINED * self.size[pairs % len(self.names)])]
-
-    def matches(self, texts: list[str]) -> list[tuple[int, int, float]]:
-        """(text, item, share covered) of every verified case."""
-        codes, starts = folded(texts)
-        where, key = self.hits(codes)
-        if not len(where):
+    def matches(self, found: list[tuple[np.ndarray, np.ndarray]], prefix: bool = True) -> list[tuple[int, int, float]]:
+        """(document, item, share covered) of every verified case, of the hits of documents."""
+        n = len(self.names)
+        doc = np.repeat(np.arange(len(found)), [len(where) for where, _ in found])
+        if not len(doc):
             return []
-        doc = np.searchsorted(starts, where, side="right") - 1
-        pairs = self._likely(doc, key)
-        near = np.isin(doc, pairs // len(self.names))
+        where, key = (np.concatenate(x) for x in zip(*found))
+        lead = self.leading[key] if prefix else np.ones(len(key), dtype=bool)
+        met, entry, _ = self._expand(doc[lead], key[lead])
+        met = np.unique(met[self.prefix[entry]] if prefix else met)
+        # all shingles of the documents that met an item
+        near = np.isin(doc, met // n)
         pair, entry, which = self._expand(doc[near], key[near])
-        chosen = np.isin(pair, pairs)
-        pair, entry, position = pair[chosen], entry[chosen], where[near][which[chosen]]
-        order = np.argsort(pair, kind="stable")
-        low, high = np.searchsorted(pair[order], pairs), np.searchsorted(pair[order], pairs, side="right")
-        bounds = np.r_[starts, len(codes) + 1]
+        chosen = np.isin(pair, met)
+        pair, entry, where = pair[chosen], entry[chosen], where[near][which[chosen]]
+        if not len(pair):
+            return []
+        # runs: hits side by side in both texts
+        at, place = where.astype(np.int64), self.at[entry].astype(np.int64)
+        order = np.lexsort((at, at - place, pair))
+        pair, entry, at, place = pair[order], entry[order], at[order], place[order]
+        low = np.flatnonzero(np.r_[True, (np.diff(pair) != 0) | (np.diff(at) != 1) | (np.diff(place) != 1)])
+        size = np.diff(np.r_[low, len(at)]) + SHINGLE - 1
+        of = pair[low]
+        heads = np.flatnonzero(np.r_[True, np.diff(of) != 0])
+        pairs, tails = of[heads], np.r_[heads[1:], len(of)]
+        item = (pairs % n).astype(np.int64)
+        # bounds of every pair: distinct shingles, its own ones among them, what runs can cover
+        once, back = np.unique(np.searchsorted(pairs, pair) * len(self.keys) + self.key[entry], return_index=True)
+        held = np.bincount(once // len(self.keys), minlength=len(pairs))
+        owned = np.bincount(once // len(self.keys), weights=self.own[entry[back]], minlength=len(pairs))
+        ranked = size[np.lexsort((-size, of))]
+        two = ranked[heads] + np.where(tails - heads > 1, ranked[np.minimum(heads + 1, len(ranked) - 1)], 0)
+        every = np.add.reduceat(size, heads)
+        need = COVERED * self.length[item]
+        likely = (held >= CONTAINED * self.size[item]) & ((two >= need) | (every >= need) & (owned >= OWN * self.own_size[item]))
         out = []
-        for p, a, b in zip(pairs, low, high):
-            d, i = divmod(int(p), len(self.names))
-            rows = order[a:b]
-            share = self._verify(codes, int(bounds[d]), int(bounds[d + 1]) - 1, position[rows], entry[rows], i)
+        ends = np.r_[low[1:], len(at)]
+        for p in np.flatnonzero(likely):
+            d, i = divmod(int(pairs[p]), n)
+            runs = slice(heads[p], tails[p])
+            by = np.lexsort((place[low[runs]], at[low[runs]]))
+            share = self.share(at[low[runs]][by], place[low[runs]][by], size[runs][by], [entry[a:b] for a, b in zip(low[runs][by], ends[runs][by])], i)
             if share >= COVERED:
                 out.append((d, i, share))
         return out
 
-    def _verify(self, codes: np.ndarray, start: int, end: int, at: np.ndarray, entry: np.ndarray, item: int) -> float:
-        """A share of the item in running order within an item-sized window that reaches COVERED, if there is one.
-
-        Runs are made of shingles, so what the shingles of a window cover bounds its share: windows are verified by that
-        bound, largest first, until none that is left can reach COVERED. The share of a case is the best of the
-        window that first reaches it and the three next.
-        """
-        text = self.texts[item]
-        width = int(1.6 * len(text)) + 20
-        at, first = np.unique(at, return_index=True)
-        entry = entry[first]
-        place = self.at[entry]
-        before = np.searchsorted(at, at - 8)
-        until = np.searchsorted(at, at + width, side="right")
-        # a shingle that the item repeats is known by its first place only
-        repeats = SHINGLE * (len(text) - SHINGLE + 1 - int(self.size[item]))
-        # of two runs that hold half of the item, one holds a quarter of it, its shingles side by side in both
-        chain = np.lexsort((at, at - place))
-        breaks = np.flatnonzero((np.diff(at[chain]) != 1) | (np.diff((at - place)[chain]) != 0)) + 1
-        longest = np.diff(np.r_[0, breaks, len(at)]).max() + SHINGLE - 1
-        few_runs = repeats > 0 or longest >= COVERED / 2 * len(text)
-        bounds, own = np.zeros(len(at)), np.zeros(len(at), dtype=bool)
-        for i in np.flatnonzero(until - before >= CONTAINED * self.size[item]):
-            held = entry[before[i] : until[i]]
-            own[i] = len(np.unique(held[self.own[held]])) >= OWN * self.own_size[item]
-            if own[i] or few_runs:
-                covered = np.zeros(len(text) + SHINGLE, dtype=bool)
-                for k in range(SHINGLE):
-                    covered[place[before[i] : until[i]] + k] = True
-                bounds[i] = (covered.sum() + repeats) / max(1, len(text))
-        best, more = 0.0, 3
-        for i in np.argsort(-bounds, kind="stable"):
-            if bounds[i] < COVERED or min(bounds[i], 1.0) <= best or best >= COVERED and not more:
-                break
-            more -= best >= COVERED
-            window = "".join(map(chr, codes[max(start, at[i] - 8) : min(end, at[i] + width)]))
-            blocks = SequenceMatcher(None, window, text, False).get_matching_blocks()
-            best = max(best, _held([b.size for b in blocks if b.size >= RUN], own[i]) / max(1, len(text)))
-        return best
-
-
-def _held(runs: list[int], own: bool) -> int:
-    """Characters in runs that count: all, or those of two runs that follow each other if little of it is the item's own."""
-    return sum(runs) if own else max((sum(runs[i : i + 2]) for i in range(len(runs))), default=0)
+    def share(self, start: np.ndarray, begin: np.ndarray, size: np.ndarray, entries: list[np.ndarray], item: int) -> float:
+        """The largest share of the item in running order, of runs from a place of the document and one of the item on."""
+        text = int(self.length[item])
+        best = self._two(start, begin, size, text)
+        width = int(1.6 * text) + 20
+        until = np.searchsorted(start, start + width, side="right")
+        total = np.r_[0, np.cumsum(size)]
+        for i in np.flatnonzero(total[until] - total[np.arange(len(start))] >= COVERED * text):
+            some = slice(i, until[i])
+            held = np.unique(np.concatenate(entries[some]))
+            covered = np.zeros(text + SHINGLE, dtype=bool)
+            for k in range(SHINGLE):
+                covered[self.at[held] + k] = True
+            own = len(np.unique(self.key[held[self.own[held]]]))
+            if covered.sum() >= max(COVERED * text, best * text) and own >= OWN * self.own_size[item]:
+                best = max(best, _in_order(start[some], begin[some], size[some]) / max(1, text))
+        return min(best, 1.0)
+
+    @staticmethod
+    def _two(start: np.ndarray, begin: np.ndarray, size: np.ndarray, text: int) -> float:
+        """The most that one run, or two that follow each other, hold of the item."""
+        best = int(size.max())
+        keep = np.flatnonzero(size >= min(COVERED * text - best, COVERED * text / 2))
+        start, begin, size = start[keep], begin[keep], size[keep]
+        long_ = size >= APART * text
+        for j in range(len(start)):  # overlaps count once
+            over = np.maximum(np.maximum(start + size - start[j], begin + size - begin[j]), 0)
+            ok = (start < start[j]) & (begin < begin[j]) & (size[j] - over >= RUN)
+            ok &= (start[j] - start - size <= 0.6 * text + 20) | long_ & long_[j]
+            if ok.any():
+                best = max(best, int((size + size[j] - over)[ok].max()))
+        return best / max(1, text)
+
+
+def _in_order(start: np.ndarray, begin: np.ndarray, size: np.ndarray) -> int:
+    """The most characters that a chain of runs holds which follow each other in both texts; overlaps count once."""
+    best = size.astype(np.int64).copy()
+    for j in range(1, len(start)):
+        over = np.maximum(np.maximum(start[:j] + size[:j] - start[j], begin[:j] + size[:j] - begin[j]), 0)
+        ok = (start[:j] < start[j]) & (begin[:j] < begin[j]) & (size[j] - over >= RUN)
+        if ok.any():
+            best[j] = max(best[j], int((best[:j] + size[j] - over)[ok].max()))
+    return int(best.max())
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -218,9 +256,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").where(F.length("text") >= SHINGLE)
     empty = "doc_id bigint, question_id string, part string, share double"
     out = spark.createDataFrame([], empty)
+    shared = shared_shingles([(r["question_id"], r["text"]) for r in rows]) if rows else None
     for start in range(0, len(rows), ITEM_BLOCK):
         block = rows[start : start + ITEM_BLOCK]
-        index = Items([(r["question_id"], r["text"]) for r in block])
+        index = Items([(r["question_id"], r["text"]) for r in block], shared)
         if len(index.keys):
             out = out.unionByName(_scan(texts, index, [(r["question_id"], r["part"]) for r in block], empty))
     return out.groupBy("doc_id", "question_id", "part").agg(F.max("share").alias("share"))
@@ -230,29 +269,46 @@ def _scan(texts: DataFrame, index: Items, names: list[tuple[str, str]], schema:
     context = texts.sparkSession.sparkContext
     plain = context.broadcast(index)
 
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = plain.value.lookup(list(batch["text"]))
+            n = np.zeros(len(plain.value.keys), dtype=np.int32)
+            rows = []
+            for doc, (where, key) in zip(batch["doc_id"], found):
+                distinct = np.unique(key)
+                n[distinct] += 1
+                if len(distinct) >= plain.value.least:  # fewer are a case of no item
+                    rows.append((doc, where.tobytes(), key.tobytes()))
+            some = np.flatnonzero(n).astype(np.int32)
+            rows.append((None, n[some].tobytes(), some.tobytes()))  # in how many documents of the batch a shingle is
+            yield pd.DataFrame(rows, columns=["doc_id", "places", "shingles"])
+
+    seen = stage(texts.mapInPandas(look, "doc_id bigint, places binary, shingles binary"), "shingles")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(plain.value.keys), dtype=np.int64)
         for batch in batches:
-            codes, starts = folded(list(batch["text"]))
-            where, key = plain.value.hits(codes)
-            doc = np.searchsorted(starts, where, side="right") - 1
-            seen = np.unique(np.stack([doc, key]), axis=1)[1] if len(key) else key
-            k, n = np.unique(seen, return_counts=True)
-            yield pd.DataFrame({"k": k.astype(np.int64), "n": n.astype(np.int64)})
-
-    # document frequencies: no more rows than the items have shingles
-    frequency = texts.mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    index.order({r["k"]: r["n"] for r in frequency.collect()})
+            for n, key in zip(batch["places"], batch["shingles"]):
+                total[np.frombuffer(key, dtype=np.int32)] += np.frombuffer(n, dtype=np.int32)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"k": some.astype(np.int64), "n": total[some]})
+
+    # document frequencies over all documents: no more rows than the items have shingles
+    counts = seen.where("doc_id is null").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(len(index.keys), dtype=np.int64)
+    frequency[counts["k"].to_numpy()] = counts["n"].to_numpy()
+    index.order(frequency)
     ordered = context.broadcast(index)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            found = ordered.value.matches(list(batch["text"]))
+            found = ordered.value.matches([(np.frombuffer(w, dtype=np.int32), np.frombuffer(k, dtype=np.int32)) for w, k in zip(batch["places"], batch["shingles"])])
             yield pd.DataFrame(
                 [(int(ids[d]), *names[i], share) for d, i, share in found], columns=["doc_id", "question_id", "part", "share"]
             )
 
-    return texts.mapInPandas(match, schema)
+    return seen.where("doc_id is not null").mapInPandas(match, schema)
 
 
 def eval_texts(items: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Problems 3, 4, 5, 6, 8 and 9 against brute force."""
 
+import math
 import random
 from datetime import datetime
 
@@ -219,10 +220,34 @@ def test_leaks(spark):
 
 
 def test_prefix_loses_nothing():
-    index = leakage.Items([("a", "abcdefghijklmnop"), ("b", "qrstuvwxyzabcdef")])
-    index.order({})
-    share = [index.prefix[index.item == i].mean() for i in (0, 1)]
-    assert all(s >= 1 - leakage.CONTAINED for s in share)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    pattern = " ".join(word() for _ in range(6))
+    rows = [(f"q{i}", f"{pattern} " + " ".join(word() for _ in range(r.randint(2, 14)))) for i in range(40)]
+    docs = []
+    for _ in range(300):
+        text = r.choice(rows)[1]
+        a, b = sorted((r.randint(0, len(text)), r.randint(0, len(text))))
+        docs.append(" ".join(word() for _ in range(20)) + text[a:b] + r.choice(("", word())) + text[b:][: r.randint(0, 30)])
+    index = leakage.Items(rows)
+    found = index.lookup(docs)
+    frequency = np.zeros(len(index.keys), dtype=np.int64)
+    for _, key in found:
+        frequency[np.unique(key)] += 1
+    index.order(frequency)
+    assert index.leading.mean() < 1 and all(index.prefix[index.item == i].sum() == s - math.ceil(leakage.CONTAINED * s) + 1 for i, s in enumerate(index.size))
+    got = index.matches(found)
+    assert len(got) > 50 and set(got) == set(index.matches(found, prefix=False))
+
+
+def test_an_interruption_may_be_long():
+    text = "whether the inner layer of the cornea swells after repeated strain in young adults"
+    plain = text.replace(" ", "")
+    index = leakage.Items([("a", text)])
+    for gap in (1, 200, 20_000):
+        between = "".join(chr(0x4E00 + i % 900) for i in range(gap))
+        assert [i for _, i, _ in index.matches(index.lookup([plain[:20] + between + plain[20:45]]))] == [0]
+    assert not index.matches(index.lookup([plain[25:45] + plain[:20], plain[:16], ""]))
 
 
 @pytest.mark.parametrize("text", ["ＡＢＣ，１２３", "abc 123"])
@@ -234,7 +259,7 @@ def test_folding(text):
 def test_half_of_an_item_is_a_case_whoever_else_says_it():
     shared, one, two = "whether the inner layer of the cornea swells after repeated strain", "in young adults only", "among older patients"
     index = leakage.Items([("a", shared + one), ("b", shared + two), ("c", "quite another question about the healing of bones")])
-    found = index.matches(["He asked " + shared + " and left.", "Nothing of that kind is said here."])
+    found = index.matches(index.lookup(["He asked " + shared + " and left.", "Nothing of that kind is said here."]))
     assert {(d, index.names[i]) for d, i, _ in found} == {(0, "a"), (0, "b")}
 
 
@@ -244,5 +269,5 @@ def test_every_window_of_a_document_is_verified():
     pieces = [plain[i : i + 7] for i in range(0, len(plain), 7)]
     index = leakage.Items([("a", text)])
     mixed = "zq".join(reversed(pieces)) + "".join(chr(0x4E00 + i) for i in range(400))
-    assert not index.matches([mixed])
-    assert [index.names[i] for _, i, _ in index.matches([mixed + plain[: int(0.6 * len(plain))]])] == ["a"]
+    assert not index.matches(index.lookup([mixed]))
+    assert [index.names[i] for _, i, _ in index.matches(index.lookup([mixed + plain[: int(0.6 * len(plain))]]))] == ["a"]
