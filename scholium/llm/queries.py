@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stage, table
 from . import components, encoding_repair, leakage, neighbours, packing, page_noise, personal_data, splitting, survivors, unicode_forms
 
 
@@ -105,11 +105,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "size_limits"))
+    """Every document in its container; the first line is the prompt, which bears no loss, if there are more lines."""
+    prompt = F.length(F.regexp_extract("text", r"^\s*[^\n]*\n(?=\s*\S)", 0))
+    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "size_limits"), loss_from=prompt)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.report(p8_packed(spark, d), 2048)
+    return packing.report(p8_packed(spark, d), table(spark, d, "size_limits"))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers break a limit, and how many texts were cut though they fit: none."""
+    return packing.violations(stage(p8_packed(spark, d), "packed"), table(spark, d, "size_limits"))
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -135,4 +142,4 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.find(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p8_limits, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
