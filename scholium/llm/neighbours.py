@@ -1,14 +1,18 @@
 """Problem 6: the k most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
-Vectors are scaled to length 1. Coarse centroids split them into lists; within a list the residual to the centroid
-is stored as one code a subspace. A query visits its nearest lists, ranks their entries by asymmetric distance
-tables (exact query, coded entries), and the best of each list are reranked by their exact cosine. Only the
-quantisers are fitted on a bounded sample (``TRAIN_ROWS``); every vector is indexed. How many lists a query visits is
-measured for the fitted lists, on rows they weren't fitted on if the table has more, so that those left out cost no more than a stated share.
-
-Scale: copies of one vector are collapsed before indexing and expanded afterwards; a list is cut into blocks of
-at most ``BLOCK`` entries and ``BLOCK`` queries, so that no task holds more however hot a list is. The index is a table in
-the shared checkpoint folder. Broadcast are the quantisers alone (at most MAX_LISTS and 256 vectors).
+Vectors are scaled to length 1. A quantiser of two levels splits them into lists: the nearest of up to COARSE centroids, then
+the nearest of the FINE centroids that the residuals of all lists share, as many as keep a list at about ROWS_A_LIST vectors
+however many there are. What is left of a vector is stored as one code a subspace. A query visits its nearest lists and ranks their
+entries by asymmetric distance tables (the query against coded entries); what passes is reranked by its cosine, first on
+vectors of one byte a number, at the end exactly. Only the quantisers are fitted, on a bounded sample (TRAIN_ROWS); every
+vector is indexed. How many lists a query visits, and how far the tables may err, is measured for the fitted quantisers,
+on rows they weren't fitted on if the table has more, so that what is left out costs no more than a stated share.
+
+Scale: copies of one vector are collapsed before indexing. Through the shuffle go no vectors but their bytes of one a number (64
+for a visit, 72 for an entry) and 8-byte row hashes; a hash that two rows share costs a comparison, as the end is exact. A list
+that is longer than BLOCK is cut into blocks of at most BLOCK entries and BLOCK queries, so that no task holds more
+however hot it is. The index is a table in the shared checkpoint folder. Broadcast are the quantisers alone: at most COARSE +
+TRAIN_ROWS / 4 + SUBSPACES * CODES vectors. Beyond COARSE * TRAIN_ROWS / 4 * ROWS_A_LIST rows lists grow with the table.
 
 Defined results: null, zero and cut-off vectors and vectors with a blank group never match; repeated rows count once;
 ties rank by id; an empty table gives no rows.
@@ -30,7 +34,7 @@ DIM = 64
 TRAIN_ROWS = 16_384
 #: Rows kept out of the fitting of a larger table, on which the number of lists to visit is measured.
 TEST_ROWS = 8_192
-MAX_LISTS = 1_024
+COARSE = 1_024
 ROWS_A_LIST = 64
 SUBSPACES = 8
 CODES = 256
@@ -39,6 +43,8 @@ BLOCK = 4_096
 PAIR_LOSS, NEAREST_LOSS = 0.001, 0.01
 #: Similarities of neighbours that are equal so far tie and rank by id.
 DIGITS = 6
+#: Candidates of a query that are compared exactly for the k nearest, for each of the k.
+EXACT = 2
 #: Lists share a call of the scoring function until they hold about so many rows.
 ROWS_A_CALL = 8_192
 FLOAT = np.float32
@@ -96,183 +102,316 @@ def _visits(ranks: np.ndarray, loss: float, lists: int) -> int:
     return int(min(lists, np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(len(ranks) * (1 - loss))) - 1)] + 1))
 
 
-def _rank_of(near: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return (near > np.take_along_axis(near, of, 1)).sum(1)
+class Quantisers:
+    """The fitted centroids, the codebooks (SUBSPACES, CODES, DIM / SUBSPACES), and what was measured for them."""
+
+    def __init__(self, coarse: np.ndarray, fine: np.ndarray, books: np.ndarray):
+        self.coarse, self.fine, self.books = coarse, fine, books
+        self.lists = len(coarse) * len(fine)
+        self.visits, self.reach, self.slack = self.lists, len(coarse), 2.0
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        first = (x @ self.coarse.T).argmax(1)
+        if len(self.fine) == 1:
+            return first
+        rest = x - self.coarse[first]
+        return first * len(self.fine) + (rest @ self.fine.T - (self.fine**2).sum(1) / 2).argmax(1)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, nearness) of the lists under the ``reach`` nearest coarse centroids of each vector."""
+        near = x @ self.coarse.T
+        reach = min(self.reach, len(self.coarse))
+        top = np.argpartition(-near, reach - 1, axis=1)[:, :reach]
+        if len(self.fine) == 1:
+            return top, np.take_along_axis(near, top, 1)
+        # |x - c - f|^2 with one value less for all lists of x
+        cross = self.coarse @ self.fine.T + (self.fine**2).sum(1) / 2 + ((self.coarse**2).sum(1) / 2)[:, None]
+        score = np.take_along_axis(near, top, 1)[:, :, None] + (x @ self.fine.T)[:, None, :] - cross[top]
+        lists = top[:, :, None] * len(self.fine) + np.arange(len(self.fine))
+        return lists.reshape(len(x), -1), score.reshape(len(x), -1)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The lists that each vector visits, the nearest first."""
+        out = []
+        for start in range(0, len(x), 1_024):
+            lists, score = self.scores(x[start : start + 1_024])
+            n = min(self.visits, lists.shape[1])
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+            out.append(np.take_along_axis(lists, top, 1))
+        return np.concatenate(out).astype(np.int32) if out else np.zeros((0, 1), dtype=np.int32)
+
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        residual = (x - self.centre(lists)).reshape(len(x), SUBSPACES, -1)
+        code = np.empty((len(x), SUBSPACES), dtype=np.uint8)
+        for m in range(SUBSPACES):
+            code[:, m] = (residual[:, m] @ self.books[m].T - (self.books[m] ** 2).sum(1) / 2).argmax(1)
+        return code
+
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, SUBSPACES, CODES): the products of each vector with every code."""
+        return np.einsum("qmd,mcd->qmc", x.reshape(len(x), SUBSPACES, -1), self.books)
+
+    def estimate(self, x: np.ndarray, code: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The cosine of each vector with the coded entry beside it, by its table."""
+        table = self.tables(x)
+        return (x * self.centre(lists)).sum(1) + table[np.arange(len(x))[:, None], np.arange(SUBSPACES), code].sum(1)
+
+    def rank(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The rank of a list among those of each vector; past all lists if it isn't under the ``reach`` coarse centroids."""
+        out = []
+        for start in range(0, len(x), 512):
+            lists, score = self.scores(x[start : start + 512])
+            hit = lists == own[start : start + 512, None]
+            mine = np.where(hit, score, -np.inf).max(1)
+            out.append(np.where(hit.any(1), (score > mine[:, None]).sum(1), self.lists))
+        return np.concatenate(out)
+
+
+def _rank_coarse(x: np.ndarray, coarse: np.ndarray, own: np.ndarray) -> np.ndarray:
+    near = x @ coarse.T
+    return (near > near[np.arange(len(x)), own][:, None]).sum(1)
 
 
 def pair_probes(min_similarity: float, loss: float = PAIR_LOSS):
-    """Lists to visit for pairs of that similarity, either side visiting: random partners of sampled vectors are ranked."""
+    """What pairs of that similarity need, either side visiting, measured on random partners of sampled vectors."""
 
-    def probes(x: np.ndarray, grp: np.ndarray, coarse: np.ndarray) -> int:
+    def measure(q: Quantisers, x: np.ndarray, grp: np.ndarray) -> None:
         rng = np.random.default_rng(11)
-        x = np.resize(x, (max(len(x), 4_096), DIM))[:8_192].astype(np.float64)
+        x = np.resize(x, (max(len(x), 4_096), DIM))[: 4_096 if len(q.fine) > 1 else 8_192].astype(np.float64)
         z = rng.normal(size=x.shape)
         z -= (z * x).sum(1, keepdims=True) * x
         z /= np.linalg.norm(z, axis=1, keepdims=True)
         y = min_similarity * x + np.sqrt(1 - min_similarity**2) * z
-        a, b = x @ coarse.T, y @ coarse.T
-        ranks = np.minimum(_rank_of(a, b.argmax(1)[:, None]), _rank_of(b, a.argmax(1)[:, None]))
-        return _visits(ranks, loss, len(coarse))
+        own_x, own_y = q.assign(x), q.assign(y)
+        n = len(q.fine)
+        if n > 1:
+            both = np.minimum(_rank_coarse(x, q.coarse, own_y // n), _rank_coarse(y, q.coarse, own_x // n))
+            q.reach = _visits(both, loss / 4, len(q.coarse))
+        q.visits = _visits(np.minimum(q.rank(x, own_y), q.rank(y, own_x)), loss, q.lists)
+        missed = min_similarity - np.maximum(q.estimate(x, q.encode(y, own_y), own_y), q.estimate(y, q.encode(x, own_x), own_x))
+        q.slack = float(np.quantile(missed, 1 - loss / 4))
 
-    return probes
+    return measure
 
 
 def nearest_probes(k: int, loss: float = NEAREST_LOSS):
-    """Lists to visit for the k nearest; those within the sample are no nearer than those of the table, so it's enough."""
+    """What the k nearest need; those within the sample are no nearer than those of the table, so it's enough."""
 
-    def probes(x: np.ndarray, grp: np.ndarray, coarse: np.ndarray) -> int:
-        own = (x @ coarse.T).argmax(1)
-        ranks = []
+    def measure(q: Quantisers, x: np.ndarray, grp: np.ndarray) -> None:
+        own, n = q.assign(x), len(q.fine)
+        pairs = []
         for start in range(0, min(len(x), 1_024), 128):
-            q = np.arange(start, min(len(x), start + 128))
-            near = np.where(grp[q][:, None] == grp[None, :], x[q] @ x.T, -np.inf)
-            near[np.arange(len(q)), q] = -np.inf
+            asked = np.arange(start, min(len(x), start + 128))
+            near = np.where(grp[asked][:, None] == grp[None, :], x[asked] @ x.T, -np.inf)
+            near[np.arange(len(asked)), asked] = -np.inf
             top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            for j in range(top.shape[1]):
-                some = np.isfinite(near[np.arange(len(q)), top[:, j]])
-                ranks.append(_rank_of(x[q] @ coarse.T, own[top[:, j]][:, None])[some])
-        return _visits(np.concatenate(ranks), loss, len(coarse)) if ranks else len(coarse)
+            i, j = np.nonzero(np.isfinite(np.take_along_axis(near, top, 1)))
+            pairs.append(np.stack([asked[i], top[i, j]]))
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=int)
+        if len(a):
+            if n > 1:
+                q.reach = _visits(_rank_coarse(x[a], q.coarse, own[b] // n), loss / 4, len(q.coarse))
+            q.visits = _visits(q.rank(x[a], own[b]), loss, q.lists)
 
-    return probes
+    return measure
 
 
-def fit(reps: DataFrame, rows: int, probes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coarse centroids, residual codebooks (SUBSPACES, CODES, DIM / SUBSPACES), from about TRAIN_ROWS rows by hash, and probes.
+def fit(base: DataFrame, rows: int, measure) -> Quantisers:
+    """The quantisers, from about TRAIN_ROWS rows by hash, and what is measured for them.
 
     The share of hashes is set from the number of rows, so the driver gets no more at any size than at this one.
+    ``measure`` may be a number of lists to visit instead.
     """
     share = min(1.0, (TRAIN_ROWS + TEST_ROWS) / rows)
-    kept = F.pmod(F.xxhash64("id", "grp"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
-    sample = reps.where(kept).select("grp", "unit").toPandas()
+    kept = F.pmod(F.xxhash64("unit", "grp"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
+    sample = base.where(kept).select("grp", "unit").distinct().toPandas()
     if not len(sample):  # a handful of rows whose hashes all lie outside
-        sample = reps.select("grp", "unit").limit(TRAIN_ROWS).toPandas()
-    sample = sample.sample(frac=1.0, random_state=7)
+        sample = base.select("grp", "unit").limit(TRAIN_ROWS).toPandas()
+    sample = sample.sort_values(["grp", "unit"]).sample(frac=1.0, random_state=7)
     every, grp = _matrix(sample["unit"]), sample["grp"].to_numpy(dtype=object)
     # of a table that is fitted whole, every row lies as near to its centroid as the fitted ones
     x, test = (every, slice(None)) if rows <= TRAIN_ROWS else (every[:TRAIN_ROWS], slice(min(TRAIN_ROWS, max(0, len(every) - TEST_ROWS)), None))
-    lists = int(min(MAX_LISTS, max(1, rows // ROWS_A_LIST)))
-    coarse = _kmeans(x, lists, 6, spherical=True)
+    coarse = _kmeans(x, int(min(COARSE, max(1, rows // ROWS_A_LIST))), 6, spherical=True)
     residual = x - coarse[(x @ coarse.T).argmax(1)]
-    books = np.zeros((SUBSPACES, CODES, DIM // SUBSPACES), dtype=FLOAT)
+    levels = int(min(TRAIN_ROWS // 4, max(1, -(-rows // (COARSE * ROWS_A_LIST)))))
+    fine = _kmeans(residual, levels, 4, spherical=False) if levels > 1 else np.zeros((1, DIM), dtype=FLOAT)
+    q = Quantisers(coarse, fine, np.zeros((SUBSPACES, CODES, DIM // SUBSPACES), dtype=FLOAT))
+    residual = x - q.centre(q.assign(x))
     for m, part in enumerate(np.split(residual, SUBSPACES, axis=1)):
         book = _kmeans(np.ascontiguousarray(part), CODES, 4, spherical=False)
-        books[m, : len(book)] = book
-        books[m, len(book) :] = book[0]
-    return coarse, books, probes(every[test], grp[test], coarse) if callable(probes) else probes
+        q.books[m, : len(book)] = book
+        q.books[m, len(book) :] = book[0]
+    if callable(measure):
+        measure(q, every[test], grp[test])
+    else:
+        q.visits = min(measure, q.lists)
+    return q
 
 
-def build_index(vectors: DataFrame, probes) -> tuple[DataFrame, DataFrame, object]:
-    """(index table, membership of copies, broadcast quantisers); index rows: grp, id, unit, code, lists.
+INDEX = "grp string, h long, id string, unit binary, small binary, code binary, list int, lists array<int>"
 
-    ``probes`` is a number of lists or what tells it from the sample: pair_probes or nearest_probes.
-    """
+
+def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of one byte, their scale) of each vector; no number is off by more than half the scale."""
+    scale = np.maximum(np.abs(x).max(1), 1e-12).astype(FLOAT) / FLOAT(127)
+    return np.rint(x / scale[:, None]).astype(np.int8), scale
+
+
+def build_index(vectors: DataFrame, measure) -> tuple[DataFrame, DataFrame, object]:
+    """(index table, membership of copies, broadcast quantisers); ``vectors`` is a staged table of usable()."""
     spark = vectors.sparkSession
-    base = stage(vectors, "vectors")
-    reps, members = collapse(base)
-    reps = stage(reps, "representatives")
-    rows = reps.count()
-    quantisers = spark.sparkContext.broadcast(fit(reps, rows, probes) if rows else None)
+    reps, members = collapse(vectors)
+    rows = vectors.count()
+    quantisers = spark.sparkContext.broadcast(fit(vectors, rows, measure) if rows else None)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coarse, books, visited = quantisers.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch["unit"])
-            near = x @ coarse.T
-            n = min(visited, len(coarse))
-            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-            residual = (x - coarse[top[:, 0]]).reshape(len(x), SUBSPACES, -1)
-            code = np.empty((len(x), SUBSPACES), dtype=np.uint8)
-            for m in range(SUBSPACES):
-                code[:, m] = (residual[:, m] @ books[m].T - (books[m] ** 2).sum(1) / 2).argmax(1)
-            yield batch.assign(code=[c.tobytes() for c in code], lists=list(top.astype(np.int32)))
-
-    index = reps.mapInPandas(encode, "grp string, id string, unit binary, code binary, lists array<int>") if rows else (
-        reps.select("grp", "id", "unit", F.col("unit").alias("code"), F.array().cast("array<int>").alias("lists"))
-    )
-    return stage(index, "index"), members, quantisers
+            if len(batch):
+                q, x = quantisers.value, _matrix(batch["unit"])
+                own, (small, scale) = q.assign(x), _small(x)
+                packed = [v.tobytes() + s.tobytes() for v, s in zip(small, scale)]
+                yield batch.assign(small=packed, code=[c.tobytes() for c in q.encode(x, own)], list=own.astype(np.int32), lists=list(q.nearest(x)))
 
+    hashed = reps.select("grp", F.xxhash64("grp", "id").alias("h"), "id", "unit")
+    return stage(hashed.mapInPandas(encode, INDEX), "index"), members, quantisers
 
-def search(
-    index: DataFrame, queries: DataFrame, quantisers: object, k: int, min_similarity: float = -1.0, shortlist: int = 32
-) -> DataFrame:
-    """(grp, query, id, similarity): the k best other entries of each query row of the index, within its lists."""
+
+def candidates(index: DataFrame, queries: DataFrame, quantisers: object, k: int | None, min_similarity: float = -1.0, shortlist: int = 64) -> DataFrame:
+    """(q, e, near): hashes of query and entry, and about their similarity, for what the lists of each query hold.
+
+    With k, the shortlist of each list by the tables and of these the EXACT * k best; without, everything that may
+    reach min_similarity.
+    """
     spark: SparkSession = index.sparkSession
-    entries = index.select("grp", F.col("lists")[0].alias("list"), "id", "unit", "code")
-    visits = queries.select(F.col("grp").alias("grp"), F.explode("lists").alias("list"), F.col("id").alias("query"), F.col("unit").alias("unit"))
-    size = entries.groupBy("grp", "list").agg(F.count("*").alias("n"))
-    visited = visits.groupBy("grp", "list").agg(F.count("*").alias("q"))
-    # at most one row a group and list: lists are bounded, so this plan of the blocks stays small
-    plan = size.join(visited, ["grp", "list"]).select(
-        "grp",
-        "list",
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"),
-        F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"),
-        F.abs(F.xxhash64("grp", "list")).alias("_h"),
-        (F.col("n") + F.col("q")).alias("_rows"),
-    )
-    plan = stage(plan, "blocks")
-    calls = max(1, int((plan.agg(F.sum("_rows")).first()[0] or 0) // ROWS_A_CALL))
-    plan = plan.withColumn("call", F.when((F.col("nb") > 1) | (F.col("qb") > 1), F.lit(-1)).otherwise((F.col("_h") % calls).cast("int")))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    salt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = visits.join(plan, ["grp", "list"]).withColumn("_q", salt("query", "qb")).withColumn("_n", every("nb"))
-    right = entries.join(plan, ["grp", "list"]).withColumn("_n", salt("id", "nb")).withColumn("_q", every("qb"))
-    spread = F.when(F.col("call") >= 0, F.col("call").cast("long")).otherwise(-F.abs(F.xxhash64("grp", "list", "_n", "_q")) - 1)
-    own = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  # new columns: both sides come from the index
-    left = left.select(spread.alias("call"), *own("grp", "list", "query", "unit"))
-    right = right.select(spread.alias("call"), "grp", "list", "id", "unit", "code")
-
-    def score(queries_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
-        coarse, books, _ = quantisers.value
+    new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  # both sides come from the index
+    entries = index.select(*new("list", "h", "small", "code"))
+    visits = queries.select(F.explode("lists").alias("list"), *new("h", "small"))
+    # lists longer than a block are cut; all others go whole to a call by their hash
+    size = entries.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("q")), "list")
+    size = stage(size, "sizes")
+    total = size.agg(F.sum(F.col("n") + F.col("q"))).first()[0] or 0
+    calls = max(1, int(total // ROWS_A_CALL))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    hot = size.where((F.col("n") > BLOCK) | (F.col("q") > BLOCK)).select("list", blocks("n").alias("nb"), blocks("q").alias("qb"))
+    own = F.pmod(F.xxhash64("list"), F.lit(calls))
+
+    def spread(side: DataFrame, mine: str, other: str) -> DataFrame:
+        cut = side.join(hot, "list", "left")
+        block = F.pmod(F.col("h"), F.coalesce(mine, F.lit(1))).cast("int")
+        copy = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        cut = cut.withColumn("_m", block).withColumn("_o", copy)
+        n, q = ("_m", "_o") if mine == "nb" else ("_o", "_m")
+        return cut.withColumn("call", F.when(F.col("nb").isNull(), own).otherwise(-1 - F.pmod(F.xxhash64("list", n, q), F.lit(1 << 62)))).drop("nb", "qb", "_m", "_o")
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(queries_) and len(entries_):
-            by_list = {key: frame for key, frame in entries_.groupby(["grp", "list"], sort=False)}
-            for key, some in queries_.groupby(["grp", "list"], sort=False):
+        if len(asked) and len(held):
+            by_list = {key: frame for key, frame in held.groupby("list", sort=False)}
+            for key, some in asked.groupby("list", sort=False):
                 if key in by_list:
-                    out.append(_score_list(key, some, by_list[key], coarse, books, k, min_similarity, shortlist))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("grp", "query", "id", "similarity")})
+                    out += _score_list(key, some, by_list[key], quantisers.value, k, min_similarity, shortlist)
+        if not out:
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "e": np.zeros(0, np.int64), "near": np.zeros(0, FLOAT)})
+        q, e, near = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"q": q, "e": e, "near": near})
 
-    found = left.groupBy("call").cogroup(right.groupBy("call")).applyInPandas(score, "grp string, query string, id string, similarity double")
-    best = Window.partitionBy("grp", "query").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    left = spread(visits, "qb", "nb").repartition(calls_parts(spark, calls), "call")
+    right = spread(entries, "nb", "qb").repartition(calls_parts(spark, calls), "call")
+    return left.groupBy("call").cogroup(right.groupBy("call")).applyInPandas(score, "q long, e long, near float")
+
+
+def calls_parts(spark: SparkSession, calls: int) -> int:
+    """Partitions for that many calls: a few calls a task, at least one task a core."""
+    return max(1, min(calls, max(-(-calls // 16), spark.sparkContext.defaultParallelism)))
+
+
+def _unpack(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), DIM + 4)
+    scale = np.ascontiguousarray(raw[:, DIM:]).view(FLOAT)[:, 0]
+    return raw[:, :DIM].view(np.int8).astype(FLOAT) * scale[:, None], scale
 
 
-def _score_list(key, some, entries, coarse, books, k, min_similarity, shortlist) -> pd.DataFrame:
+def _score_list(key: int, some: pd.DataFrame, entries: pd.DataFrame, q: Quantisers, k: int | None, min_similarity: float, shortlist: int) -> list:
     codes = np.frombuffer(b"".join(entries["code"]), dtype=np.uint8).reshape(-1, SUBSPACES)
-    unit = _matrix(entries["unit"])
-    ids = entries["id"].to_numpy(dtype=object)
-    q = _matrix(some["unit"])
-    names = some["query"].to_numpy(dtype=object)
-    norms = (books**2).sum(2)
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(q), 512):
-        part = q[start : start + 512]
-        residual = (part - coarse[key[1]]).reshape(len(part), SUBSPACES, -1)
-        distance = np.zeros((len(part), len(unit)), dtype=FLOAT)
-        for m in range(SUBSPACES):  # the tables: squared distance up to a constant of the query
-            distance += (norms[m] - 2 * (residual[:, m] @ books[m].T))[:, codes[:, m]]
-        near = np.broadcast_to(np.arange(len(unit)), distance.shape)
-        if len(unit) > shortlist:
-            near = np.argpartition(distance, shortlist - 1, axis=1)[:, :shortlist]
-        exact = np.einsum("qd,qnd->qn", part.astype(np.float64), unit[near].astype(np.float64))
-        own = names[start : start + 512, None] == ids[near]
-        exact = np.where(own, -np.inf, exact)
-        if near.shape[1] > k:
-            order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-        i, j = np.nonzero(exact >= min_similarity)
-        rows.append((names[start + i], ids[near[i, j]], exact[i, j]))
-    query, ident, similarity = (np.concatenate(c) for c in zip(*rows))
-    return pd.DataFrame({"grp": key[0], "query": query, "id": ident, "similarity": similarity})
-
-
-def similar_pairs(vectors: DataFrame, min_similarity: float, k: int = 10, probes: int | None = None) -> DataFrame:
-    """(a, b): each pair of one group with at least that cosine, a < b, as far as k neighbours within the probes give."""
-    index, members, quantisers = build_index(vectors, probes or pair_probes(min_similarity))
-    found = search(index, index, quantisers, k, min_similarity).select("grp", F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct()
+    (x, scale), (y, scales) = _unpack(some["small"]), _unpack(entries["small"])
+    names, ids = some["h"].to_numpy(), entries["h"].to_numpy()
+    off = x @ q.centre(np.array([key]))[0]
+    rows = []
+    for start in range(0, len(x), 512):
+        part = slice(start, start + 512)
+        table = q.tables(x[part])
+        near = np.repeat(off[part][:, None], len(y), axis=1)
+        for m in range(SUBSPACES):  # the tables: the cosine with the coded entry
+            near += table[:, m][:, codes[:, m]]
+        if k is None:
+            i, j = np.nonzero(near >= min_similarity - q.slack)
+        else:
+            top = np.argpartition(-near, shortlist - 1, axis=1)[:, :shortlist] if len(y) > shortlist else np.broadcast_to(np.arange(len(y)), near.shape)
+            i, j = np.repeat(np.arange(len(near)), top.shape[1]), top.ravel()
+        other = names[start + i] != ids[j]
+        i, j = i[other], j[other]
+        close = (x[start + i] * y[j]).sum(1)
+        if k is None:  # half a scale a number is the most that either vector is off
+            keep = close >= min_similarity - (scale[start + i] + scales[j]) * (np.sqrt(DIM) / 2 * 1.05)
+        else:
+            order = np.lexsort((-close, i))
+            place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+            keep = np.zeros(len(i), dtype=bool)
+            keep[order[place < EXACT * k]] = True
+        rows.append((names[start + i[keep]], ids[j[keep]], close[keep].astype(FLOAT)))
+    return rows
+
+
+def _exact(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(grp, query, id, similarity): pairs of hashes with their exact cosine, within one group."""
+    side = lambda h, name, unit: index.select(F.col("h").alias(h), F.col("grp").alias(f"_{h}"), F.col("id").alias(name), F.col("unit").alias(unit))
+    both = found.join(side("q", "query", "u"), "q").join(side("e", "id", "v"), "e").where((F.col("_q") == F.col("_e")) & (F.col("query") != F.col("id")))
+
+    def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                exact = (_matrix(batch["u"]).astype(np.float64) * _matrix(batch["v"]).astype(np.float64)).sum(1)
+                yield batch[["grp", "query", "id"]].assign(similarity=exact)
+
+    return both.select(F.col("_q").alias("grp"), "query", "id", "u", "v").mapInPandas(cosine, "grp string, query string, id string, similarity double")
+
+
+def search(index: DataFrame, queries: DataFrame, quantisers: object, k: int) -> DataFrame:
+    """(grp, query, id, similarity): the k best other entries of each query row of the index, within its lists."""
+    # groups share the lists: a shortlist is of all groups, so it is taken for each by itself
+    found = candidates(index, queries, quantisers, k)
+    nearest = Window.partitionBy("q").orderBy(F.desc("near"), "e")
+    some = found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= EXACT * k).select("q", "e")
+    best = Window.partitionBy("grp", "query").orderBy(F.desc(F.round("similarity", DIGITS)), "id")
+    return _exact(index, some).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
+def similar_classes(vectors: DataFrame, min_similarity: float, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((grp, a, b) pairs of different vectors with at least that cosine, (grp, rep, id) membership of their copies).
+
+    a and b stand for all copies of their vector, a < b; however many partners a vector has, all are found.
+    """
+    base = stage(vectors, "vectors")
+    index, members, quantisers = build_index(base, probes or pair_probes(min_similarity))
+    found = candidates(index, index, quantisers, None, min_similarity)
+    once = found.select(F.least("q", "e").alias("q"), F.greatest("q", "e").alias("e")).distinct()
+    exact = _exact(index, once).where(F.col("similarity") >= min_similarity)
+    return exact.select("grp", F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct(), members
+
+
+def similar_pairs(vectors: DataFrame, min_similarity: float, probes: int | None = None) -> DataFrame:
+    """(a, b): each pair of rows of one group with at least that cosine, a < b.
+
+    This gives every pair of copies as well, for results that are defined so; where vectors have many copies,
+    similar_classes says the same without.
+    """
+    found, members = similar_classes(vectors, min_similarity, probes)
+    members = stage(members, "members")
     alike = members.alias("l").join(members.alias("r"), ["grp", "rep"]).where(F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     copies = lambda side: members.select("grp", F.col("rep").alias(side), F.col("id").alias(f"_{side}"))
     wide = found.join(copies("a"), ["grp", "a"], "left").join(copies("b"), ["grp", "b"], "left").select(
@@ -305,30 +444,56 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, probes: int | None = N
     members = stage(members, "members")
     # a class is searched if any of its rows is asked for
     asked = base.where(is_query).select("grp", "id").join(members, ["grp", "id"], "left").select("grp", F.coalesce("rep", "id").alias("id")).distinct()
-    found = search(index, index.join(asked, ["grp", "id"], "left_semi"), quantisers, k, shortlist=64)
+    found = search(index, index.join(asked, ["grp", "id"], "left_semi"), quantisers, k)
     return _expanded(base, members, found.withColumn("similarity", F.round("similarity", DIGITS)), is_query, k)
 
 
+#: Queries of a pass of brute_force over the table.
+ASKED = 4_096
+
+
 def brute_force(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
-    """The same by comparing every row with every row, for measuring recall: queries are collected and scored in blocks."""
+    """The same by comparing every query with every row, for measuring recall: a pass over the table for each ASKED queries."""
     spark = vectors.sparkSession
     base = stage(vectors, "exact")
-    asked = base.where(is_query).toPandas()
-    held = spark.sparkContext.broadcast({g: (f["id"].to_numpy(dtype=object), _matrix(f["unit"])) for g, f in asked.groupby("grp")})
+    asked = base.where(is_query)
+    passes = max(1, -(-asked.count() // ASKED))
+    out = spark.createDataFrame([], "grp string, query string, id string, similarity double")
+    for turn in range(passes):  # no more than about ASKED rows come to the driver at once
+        some = asked.where(F.pmod(F.xxhash64("id", "grp"), F.lit(passes)) == turn).toPandas()
+        held = spark.sparkContext.broadcast({g: (f["id"].to_numpy(dtype=object), _matrix(f["unit"]).astype(np.float64)) for g, f in some.groupby("grp")})
+        out = out.unionByName(base.mapInPandas(_compare(held, k), out.schema))
+    best = Window.partitionBy("grp", "query").orderBy(F.desc("similarity"), "id")
+    return out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
+
+def _compare(held: object, k: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}  # the k best so far of each query: no more rows leave a task
         for batch in batches:
-            for grp, some in batch.sort_values("id").groupby("grp"):  # ties rank by id
+            for grp, rows in batch.groupby("grp"):
                 if grp not in held.value:
                     continue
                 names, q = held.value[grp]
-                ids = some["id"].to_numpy(dtype=object)
-                exact = np.round(q.astype(np.float64) @ _matrix(some["unit"]).astype(np.float64).T, DIGITS)
-                exact[names[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(names)), top.shape[1])
-                yield pd.DataFrame({"grp": grp, "query": names[i], "id": ids[top.ravel()], "similarity": exact[i, top.ravel()]})
-
-    found = base.mapInPandas(score, "grp string, query string, id string, similarity double").where(F.col("similarity") > float("-inf"))
-    best = Window.partitionBy("grp", "query").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+                ids, y = rows["id"].to_numpy(dtype=object), _matrix(rows["unit"]).astype(np.float64)
+                for start in range(0, len(y), 1_024):
+                    some, exact = ids[start : start + 1_024], np.round(q @ y[start : start + 1_024].T, DIGITS)
+                    exact[names[:, None] == some[None, :]] = -np.inf
+                    old_ids, old = best.get(grp, (np.full((len(names), 0), "", dtype=object), np.zeros((len(names), 0))))
+                    all_ids = np.concatenate([old_ids, np.broadcast_to(some, exact.shape)], axis=1)
+                    exact = np.concatenate([old, exact], axis=1)
+                    # everything as near as the k-th, then ties by id
+                    least = -np.partition(-exact, min(k, exact.shape[1]) - 1, axis=1)[:, min(k, exact.shape[1]) - 1]
+                    kept_ids, kept = np.full((len(names), k), "", dtype=object), np.full((len(names), k), -np.inf)
+                    i, j = np.nonzero(exact >= least[:, None])
+                    order = np.lexsort((all_ids[i, j].astype(str), -exact[i, j], i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, place = i[place < k], j[place < k], place[place < k]
+                    kept_ids[i, place], kept[i, place] = all_ids[i, j], exact[i, j]
+                    best[grp] = kept_ids, kept
+        for grp, (ids, exact) in best.items():
+            i, j = np.nonzero(exact > -np.inf)
+            yield pd.DataFrame({"grp": grp, "query": held.value[grp][0][i], "id": ids[i, j], "similarity": exact[i, j]})
+
+    return score

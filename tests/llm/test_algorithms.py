@@ -63,17 +63,35 @@ def test_survivors(spark):
     assert survivors.survivors(groups.limit(0), spark.createDataFrame(rows, NODES), trust).count() == 0
 
 
-class _C:
-    def __init__(self, source, place, pages, excerpt):
-        self.place_source, self.place_worth, self.pages_worth, self.excerpt_worth = source, place, pages, excerpt
-        self.reaching, self.reaching_all, self.reaching_key = 0, 0, None
-
-
-@given(st.lists(st.tuples(*[st.integers(0, 9)] * 3), min_size=1, max_size=12))
-def test_branch_and_bound_is_exact(worths):
-    some = [_C(f"s{i:02d}", *w) for i, w in enumerate(worths)]
-    best = max(sum(w) for w in worths)
-    assert survivors.branch_and_bound(some)[::2] == (best, next(f"s{i:02d}" for i, w in enumerate(worths) if sum(w) == best))
+_CANDIDATES = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 3)), min_size=4, max_size=9)
+
+
+@given(_CANDIDATES, _CANDIDATES, _CANDIDATES)
+def test_branch_and_bound_is_exact(places, pages, excerpts):
+    """Against every consistent choice; each value that may be set has a candidate in each bundle that needs it."""
+    every = [places] + [some + [(0, v) for v in range(4)] for some in (pages, excerpts)]
+    bundles = [[(float(w), f"{b}{i:02d}", v if b == 0 else None, v if b else None) for i, (w, v) in enumerate(some)] for b, some in enumerate(every)]
+    solutions = [(-(x[0] + y[0] + z[0]), [x[1], y[1], z[1]]) for x in bundles[0] for y in bundles[1] for z in bundles[2] if x[2] == y[3] == z[3]]
+    worth, sources = min(solutions)
+    assert survivors.branch_and_bound(bundles) == (-worth, sources)
+
+
+def test_bundles_keep_to_their_dependencies(spark):
+    """Bundle by bundle the best place, pages and excerpt are of three chapters; together they aren't consistent."""
+    full = dict(chapter="good", page=None)
+    rows = [
+        (*_node(1, "a definition", "low", **full)[:14], None, "high", datetime(2024, 1, 1), "", ""),  # the best place: trusted, but no pages and no excerpt
+        (*_node(2, "a definition", "mid", chapter="other", page=7)[:13], None, None, "mid", datetime(2024, 1, 1), "", ""),
+        _node(3, "a definition", "mid", chapter="third", page=8),
+        _node(4, "another definition of it", "low", chapter="third", page=None),
+    ]
+    groups = spark.createDataFrame([("g", f"t:n{i}") for i in (1, 2, 3, 4)], "group_key string, node_key string")
+    trust = spark.createDataFrame([("low", 0), ("mid", 1), ("high", 4)], "extractor string, trust int")
+    out = survivors.survivors(groups, spark.createDataFrame(rows, NODES), trust).first()
+    chapter = {"t:n1": "good", "t:n2": "other", "t:n3": "third", "t:n4": "third"}
+    assert {chapter[out[f"{b}_from"]] for b in ("place", "pages", "excerpt")} == {"third"}
+    assert out["chapter_id"] == "third" and out["page_start"] == 8 and out["source_excerpt"] == "e" and out["best_key"] is None
+    assert out["kind_from"] in ("t:n1", "t:n2", "t:n3") if out["definition"] == "a definition" else out["kind_from"] == "t:n4"
 
 
 @settings(max_examples=80, deadline=None)
@@ -147,24 +165,55 @@ def test_neighbours_give_copies_back(spark):
         assert {(x["query"], x["id"]) for x in of(used, F.col("id") > "b", 5).collect()} == want
 
 
-def test_probes_grow_with_the_lists():
+@pytest.mark.parametrize("levels", [1, 16])
+def test_probes_grow_with_the_lists(levels):
     r = np.random.default_rng(2)
     x = r.normal(size=(12_000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     coarse = neighbours._kmeans(x, 1_024, 2, spherical=True)
+    rest = x - coarse[(x @ coarse.T).argmax(1)]
+    fine = neighbours._kmeans(rest, levels, 2, spherical=False) if levels > 1 else np.zeros((1, 64), dtype=np.float32)
+    q = neighbours.Quantisers(coarse, fine, r.normal(size=(8, 256, 8)).astype(np.float32) * 0.1)
     grp = np.array(["m"] * len(x), dtype=object)
-    near, own = x[-500:] @ coarse.T, (x @ coarse.T).argmax(1)
-    y = 0.9 * x[-500:] + np.sqrt(0.19) * _across(r, x[-500:])
-    to, back = (y @ coarse.T), near.argmax(1)
-    probes = neighbours.pair_probes(0.9)(x, grp, coarse)
-    rank = lambda m, c: (m > m[np.arange(len(m)), c][:, None]).sum(1)
-    assert (np.minimum(rank(near, to.argmax(1)), rank(to, back)) < probes).mean() >= 0.995 and 4 < probes < 100
-    exact = x[-500:] @ x.T
+    some = x[-500:]
+    y = (0.9 * some + np.sqrt(0.19) * _across(r, some)).astype(np.float32)
+    neighbours.pair_probes(0.9)(q, x, grp)
+    met = [bool(set(a) & {c} or set(b) & {d}) for a, b, c, d in zip(q.nearest(some), q.nearest(y), q.assign(y), q.assign(some))]
+    assert np.mean(met) >= 0.995 and 4 < q.visits < 0.1 * q.lists
+    exact = some @ x.T
     exact[np.arange(500), np.arange(len(x) - 500, len(x))] = -9
     top = np.argsort(-exact, axis=1)[:, :10]
-    probes = neighbours.nearest_probes(10)(x, grp, coarse)
-    ranks = np.stack([rank(near, own[top[:, j]]) for j in range(10)])
-    assert (ranks < 256).mean() < 0.9 and (ranks < probes).mean() >= 0.97
+    neighbours.nearest_probes(10)(q, x, grp)
+    own, visited = q.assign(x), q.nearest(some)
+    assert np.mean([own[j] in set(lists) for lists, row in zip(visited, top) for j in row]) >= 0.97
+
+
+def test_bytes_bound_the_cosine():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 64)) * r.exponential(size=(1, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    small, scale = neighbours._small(x)
+    y = small.astype(np.float32) * scale[:, None]
+    assert (np.abs(x @ x.T - y @ y.T) <= (scale[:, None] + scale) * 4 * 1.05).all()
+
+
+def test_any_number_of_partners_is_found(spark):
+    """Far more partners than any shortlist holds, in one list that is longer than a block."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    base = r.normal(size=64)
+    rows = [(f"v{i:04d}", (base + r.normal(size=64) * 0.1).tolist()) for i in range(300)] + [(f"w{i:04d}", r.normal(size=64).tolist()) for i in range(100)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    used = neighbours.usable(vectors, vectors.select("chunk_id", F.lit("m").alias("embedding_model")))
+    unit = np.array([np.array(v, dtype=np.float32) / np.linalg.norm(v) for _, v in rows])
+    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.95))}
+    block, neighbours.BLOCK = neighbours.BLOCK, 64
+    try:
+        found, members = neighbours.similar_classes(used, 0.95)
+        assert {(x["a"], x["b"]) for x in found.collect()} == want and members.count() == 0 and len(want) > 30_000
+    finally:
+        neighbours.BLOCK = block
 
 
 def _across(r, x):
@@ -176,12 +225,25 @@ def _across(r, x):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(0, 100)), min_size=1, max_size=60))
 def test_fill_respects_all_limits(items):
-    size = np.array([(t, 1, min(t, loss)) for t, loss in items], dtype=float)
+    size = np.array([(t, 1, min(t, loss, 90)) for t, loss in items], dtype=float)
     bins = packing.fill(size, np.array([100, 4, 90.0]))
-    size[:, 2] = np.minimum(size[:, 2], 90)
     for b in set(bins):
-        total = size[bins == b].sum(0)
-        assert total[0] <= 100 and total[1] <= 4 and (total[2] <= 90 or (bins == b).sum() == 1)
+        assert (size[bins == b].sum(0) <= [100, 4, 90]).all()
+    with pytest.raises(ValueError):
+        packing.fill(np.array([[95.0, 1, 95]]), np.array([100, 4, 90.0]))
+
+
+def test_every_limit_holds(spark):
+    r = random.Random(2)
+    rows = [(i, "prompt here\n" * (i % 2) + " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.choice((3, 40, 200, 480)))), 12 * (i % 2)) for i in range(400)]
+    limits = spark.createDataFrame([("container", 256, None, "tokens")], "item_kind string, max_size int, overlap int, unit string")
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, prompt int")
+    from pyspark.sql import functions as F
+
+    for bounds in ({}, {"max_segments": 3, "max_loss": 150}):
+        packed = packing.packed_documents(documents, limits, loss_from=F.col("prompt"), **bounds)
+        got = packing.violations(packed, limits, **({"max_segments": packing.MAX_SEGMENTS} | bounds)).first().asDict()
+        assert got == {"documents": 400, "blank": 0, "cut_though_fitting": 0, "over_tokens": 0, "over_segments": 0, "over_loss": 0}
 
 
 def test_packed_documents(spark):
