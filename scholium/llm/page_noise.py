@@ -5,7 +5,9 @@ and the folded short lines of every book. Lines that come back at page edges of
 elsewhere, are its running headers and footers, as are lines that fold to nearly the chapter's or the book's
 title. The last pass removes these and the page numbers (marked ones, and bare ones that fit the chapter's pages or run in
 sequence), corrects misread words and characters towards what the corpus says, and joins lines: a word cut by a
-hyphen is joined by the corpus vocabulary.
+hyphen is joined by the corpus vocabulary. Where a sentence ends with its line, the widths of the lines around tell: a line is
+wrapped if the next word wouldn't have fitted the width that lines near it, broken within a sentence, have; and what a page
+number or running line alone parts goes on.
 
 What is broadcast has a proven bound: words with a relative frequency of at least WORD_SHARE (no more than
 1 / WORD_SHARE of them), pairs of a confusable character and a neighbour, and sub-headings that at least BOOK_SHARE of
@@ -23,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import product
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .encoding_repair import character_counts, collect_counts, repair
+from .unicode_forms import plain_form
 
-WORD_SHARE, WORD_LEAST = 1e-6, 4
+WORD_SHARE = 1e-6
+#: How many times more frequent than a word the word must be that it was misread from.
+MORE = 12
 BOOK_SHARE = 0.05
 #: A line whose last sentence is longer is an unbroken run of its author, not a printed line.
 UNBROKEN = 80
@@ -41,6 +47,7 @@ MISREAD = dict(
 )
 # What recognition reads -> what was printed, in words of Latin letters.
 LATIN_MISREAD = (("rn", "m"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("ii", "ü"), ("vv", "w"), ("li", "h"), ("b", "h"), ("c", "e"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("0", "o"), ("5", "s"), ("8", "b"))
+_closing = re.compile(r"[，。；、）”’」』！？]|[,;](?=\s)")
 _page = re.compile(
     r"^[\f\s]*(?:[-–—·•~*]\s*(?P<a>\d{1,5})\s*[-–—·•~*]|[\[〔【(（<《]\s*(?P<b>\d{1,5})\s*[\]〕】)）>》]|"
     r"第\s*(?P<c>\d{1,5})\s*页(?:\s*[/共]\s*\d+\s*页?)?|(?:p|pp|page|seite|s)\.?\s*(?P<d>\d{1,5})|(?P<e>\d{1,5})\s*/\s*\d{1,5}|(?P<f>\d{1,5}))[\f\s]*$",
@@ -52,7 +59,6 @@ _table = re.compile(r"\|")
 _breaks = re.compile(r"\r\n|[\r\x0b\x85  ]")
 _word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœß0-9!]*[A-Za-zÀ-ÖØ-öø-ÿŒœß][A-Za-zÀ-ÖØ-öø-ÿŒœß0-9!]*")
 _letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœß]+")
-_spaced = re.compile(r"(?:[一-鿿](?:\s|  )){5,}[一-鿿，。；]")
 _confused = re.compile("[" + "".join(dict.fromkeys([*MISREAD, *MISREAD.values()])) + "]")
 _hyphen_end = re.compile(r"(\w+)[-‐‑­]\s*$")
 _leader = re.compile(r"\s*(?:…{2,}|\.{4,}|(?:\s\.){3,}|·{4,})\s*\d*\s*$")
@@ -125,14 +131,18 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def statistics(chapters: DataFrame) -> tuple[dict[str, int], dict[str, int], set[str], DataFrame]:
-    """(vocabulary, neighbours, sub-headings, running lines of each chapter)."""
+    """(vocabulary, neighbours, sub-headings, running lines of each chapter).
+
+    The vocabulary holds the words of at least WORD_SHARE of all; under "" stands the most that a word outside it may have.
+    """
     counted = stage(chapters.select("textbook_id", "chapter_id", "content").mapInPandas(_statistics, STATS), "page-lines")
     summed = counted.where("kind <> 'line'").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     total = counted.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0
-    frequent = summed.where((F.col("kind") == "word") & (F.col("n") >= max(WORD_LEAST, total * WORD_SHARE)) | (F.col("kind") == "near"))
+    frequent = summed.where((F.col("kind") == "word") & (F.col("n") >= total * WORD_SHARE) | (F.col("kind") == "near"))
     vocabulary, near = {}, {}
     for row in frequent.collect():
         (vocabulary if row["kind"] == "word" else near)[row["key"]] = row["n"]
+    vocabulary[""] = max(0, ceil(total * WORD_SHARE) - 1)
     lines = counted.where("kind = 'line'")
     books = lines.select("textbook_id").distinct().count()
     # repeated deliveries of a chapter count once
@@ -174,7 +184,7 @@ class Cleaner:
         lower = word.lower()
         if lower in self.known:
             return self.known[lower]
-        own = self.vocabulary.get(lower, 0)
+        own = self.vocabulary.get(lower, self.vocabulary.get("", 0))
         best: tuple[int, str] | None = None
         if len(lower) > 3 and not lower.isdigit():
             spots = []
@@ -192,7 +202,7 @@ class Cleaner:
                 for at, wrong, right in sorted(change, reverse=True):
                     out = out[:at] + right + out[at + len(wrong) :]
                 n = self.vocabulary.get(out, 0)
-                if n > 12 * own and (best is None or n > best[0]):
+                if n > MORE * own and (best is None or n > best[0]):
                     best = (n, out)
         self.known[lower] = best[1] if best else None
         return self.known[lower]
@@ -230,15 +240,16 @@ class Cleaner:
         """(continuous text, kinds of traces found)."""
         traces = []
         text = content
-        if _spaced.search(text):
+        close = unspace(text)
+        if close != text:
             traces.append("spaced")
-            text = unspace(text)
+            text = close
         text, certain, weak = self._fix_words(text)
         if certain or weak > 1:
             traces.append("misread")
         if "\f" in content:
             traces.append("page break")
-        lines = split_lines(text)
+        lines, printed = split_lines(text), split_lines(content)
         titles = [k for k in (fold(title), fold(book), fold(book + title), fold(title + book)) if len(k) > 1]
         numbers = [(_number(line), i) for i, line in enumerate(lines)]
         bare = [n for (n, kind), _ in numbers if kind == "bare"]
@@ -255,9 +266,12 @@ class Cleaner:
                 traces.append("running line")
                 removed = True
                 continue
-            kept.append((body, removed))
+            kept.append((body, removed or "\f" in line, len((printed[i] if len(printed) == len(lines) else line).strip("\f"))))
             removed = False
-        return self._join(kept, traces), sorted(set(traces))
+        out = self._join(kept, traces)
+        if set(traces) - {"misread", "spaced"}:  # the page's blank lines part what lines part anyhow
+            out = re.sub(r"\n(?:[^\S\n]*\n)+", "\n", out)
+        return out.rstrip("\n") if traces else out, sorted(set(traces))
 
     def _running(self, line: str, titles: list[str], running: set[str]) -> bool:
         key = fold(line)
@@ -274,36 +288,96 @@ class Cleaner:
                 return True
         return False
 
-    def _join(self, lines: list[tuple[str, bool]], traces: list[str]) -> str:
+    def _join(self, lines: list[tuple[str, bool, int]], traces: list[str]) -> str:
+        """The lines, joined where they go on; each comes with whether something was cut before it and how wide it was printed."""
+        wrapped = self._wrapped(lines)
         out: list[str] = []
-        for line, after_gap in lines:
+        gap = blank = False  # since the last line that isn't blank
+        printed = ""  # the last line that isn't blank, as it was printed
+        for i, (line, after_gap, _) in enumerate(lines):
+            gap = gap or after_gap
             last = out[-1] if out else ""
-            if out and line.strip() and last.strip() and self._continues(out, line):
-                cut = _hyphen_end.search(last)
-                if cut and line[:1].isalpha():
-                    traces.append("hyphenation")
-                    first = re.match(r"\w+", line).group()
-                    whole, parts = (cut.group(1) + first).lower(), (cut.group(1) + "-" + first).lower()
-                    keep = first.lower() in self.vocabulary and cut.group(1).lower() in self.vocabulary and not self.vocabulary.get(whole) and first[:1].isupper() or parts in self.vocabulary
-                    out[-1] = (last.rstrip()[:-1] + "-" if keep else last.rstrip()[:-1]) + line
-                else:
-                    traces.append("line break")
-                    latin = last.rstrip()[-1:].isascii() and line.lstrip()[:1].isascii() or not (_han.match(last.rstrip()[-1:]) or _han.match(line.lstrip()[:1]) or line.lstrip()[:1] in "，。；：、）”")
-                    out[-1] = last.rstrip() + (" " if latin else "") + line.lstrip()
-            elif after_gap and out and not line.strip() and not last.strip():
+            if not line.strip():
+                blank = True
+                if out:
+                    out.append(line)
                 continue
+            if blank and gap and out:  # blank lines that the page left
+                while out and not out[-1].strip():
+                    out.pop()
+                last = out[-1] if out else ""
+                if last and self._continues(out, line, printed):
+                    blank = False
+            if out and last.strip() and not blank and (self._continues(out, line, printed) or wrapped[i] or gap and self._parted(last, line)):
+                self._append(out, line, traces, gap)
             else:
                 out.append(line)
+            gap = blank = False
+            printed = line
         return "\n".join(out)
 
-    def _continues(self, out: list[str], line: str) -> bool:
-        """Whether line goes on with the sentence that the last kept line broke off."""
+    def _append(self, out: list[str], line: str, traces: list[str], gap: bool) -> None:
+        last = out[-1]
+        cut = _hyphen_end.search(last)
+        if cut and line[:1].isalpha():
+            traces.append("hyphenation")
+            first = re.match(r"\w+", line).group()
+            whole, parts = (cut.group(1) + first).lower(), (cut.group(1) + "-" + first).lower()
+            keep = first.lower() in self.vocabulary and cut.group(1).lower() in self.vocabulary and not self.vocabulary.get(whole) and first[:1].isupper() or parts in self.vocabulary
+            out[-1] = (last.rstrip()[:-1] + "-" if keep else last.rstrip()[:-1]) + line
+            return
+        if not (gap and _terminal.search(last)):
+            traces.append("line break")
+        within = _han.search(last[-20:]) and last.rstrip()[-1:].isdigit() and line.lstrip()[:1].isdigit()  # a number in Han text
+        latin = not within and last.rstrip()[-1:].isascii() and line.lstrip()[:1].isascii() or not (within or _han.match(last.rstrip()[-1:]) or _han.match(line.lstrip()[:1]) or line.lstrip()[:1] in "，。；：、）”" or last.rstrip()[-1:] in "，。；：、）”！？")
+        out[-1] = last.rstrip() + (" " if latin else "") + line.lstrip()
+
+    def _wrapped(self, lines: list[tuple[str, bool, int]]) -> list[bool]:
+        """For each line, whether the line before it was wrapped, told by the widths of sure breaks up to five lines away."""
+        out = [False] * len(lines)
+        before, sure = [], {}
+        for i, (line, _, _) in enumerate(lines):
+            if line.strip() and before and self._continues(before, line, before[-1]):
+                sure[i - 1] = lines[i - 1][2]
+            before = [*before[-1:], line] if line.strip() else []
+        for i in range(1, len(lines)):
+            (last, _, width), (line, _, _) = lines[i - 1], lines[i]
+            if i - 1 in sure or not last.strip() or not line.strip() or _table.search(last) or _table.search(line):
+                continue
+            if _block.search(line) and _terminal.search(last.rstrip()):
+                continue
+            near = []
+            for step in (range(i - 2, max(-1, i - 7), -1), range(i, min(len(lines), i + 5))):
+                for j in step:
+                    if not lines[j][0].strip():
+                        break
+                    near += [sure[j]] if j in sure else []
+            han = _han.search(last) is not None
+            first = 1 if han else 1 + len(line.split(" ", 1)[0])
+            if near and (width >= max(near) - (len(near) > 1) if han else len(near) > 1 and width + first > max(near) and width <= max(near) + 2):
+                out[i] = True
+        return out
+
+    def _parted(self, last: str, line: str) -> bool:
+        """Whether prose goes on after what the page put between two of its sentences."""
+        if _table.search(last) or _table.search(line) or _block.search(line) or _block.search(last):
+            return False
+        if fold(last) in self.headings or fold(line) in self.headings:
+            return False
+        return bool(_terminal.search(last.rstrip())) and _prose(last) and _prose(line)
+
+    def _continues(self, out: list[str], line: str, printed: str) -> bool:
+        """Whether line goes on with the sentence that the last kept line, of which ``printed`` is the last line on paper, broke off."""
         last = out[-1].rstrip()
-        if _terminal.search(last) or _table.search(last) or _table.search(line):
+        if _table.search(last) or _table.search(line):
+            return False
+        if _closing.match(line.lstrip()) or line[:1].islower() and last[-1:] in ";:,":
+            return True
+        if _terminal.search(last):
             return False
         if "\ufffd" in last[-4:] or "\ufffd" in line[:3] or _private.search(last[-4:]):  # lost characters: no telling
             return False
-        if len(re.split(r"[。！？；.!?;]", last)[-1]) > UNBROKEN:
+        if len(re.split(r"[。！？；.!?;]", printed.rstrip())[-1]) > UNBROKEN:
             return False
         if _block.search(line) and not (_hyphen_end.search(last) and line[:1].islower()):
             return False
@@ -311,9 +385,9 @@ class Cleaner:
             return False
         if _block.search(last) and not _goes_on(last):
             return False
-        if _hyphen_end.search(last) and line[:1].islower():
+        if line[:1].islower():
             return True
-        if not _goes_on(last) and _heading_like(last) and (len(out) == 1 or not out[-2].strip() or _terminal.search(out[-2].rstrip())):
+        if not _goes_on(last) and _heading_like(last) and (len(out) == 1 or _terminal.search(out[-2].rstrip()) or _table.search(out[-2]) or not _goes_on(out[-2])):
             return False
         return True
 
@@ -323,6 +397,11 @@ def _goes_on(line: str) -> bool:
     return bool(re.search(r"[，。；！？]|[a-z]{2}[,.;] ", line)) or len(line) > (60 if not _han.search(line) else 24)
 
 
+def _prose(line: str) -> bool:
+    """A sentence: ends as one, or is too long for a heading."""
+    return bool(_terminal.search(line.rstrip())) or _goes_on(line)
+
+
 def _heading_like(line: str) -> bool:
     return len(line) <= (20 if _han.search(line) else 60) and not line[:1].islower() and not re.search(r"[，。；,]", line)
 
@@ -337,13 +416,20 @@ def _number(line: str) -> tuple[int, str]:
     return int(next(v for v in groups.values() if v)), "marked"
 
 
+_letterspaced = re.compile(r"(?:[^\s|](?: {3}| |\n ?)){6,}|(?<![A-Za-z])(?:[一-鿿（）、，。；：](?: {3}| )){3,}")
+_wide = re.compile("[㐀-鿿、-】＀-｠]")
+
+
 def unspace(text: str) -> str:
-    """Letterspaced Han text without the spaces between its characters."""
+    """Letterspaced text without the spaces between its characters; where a space was printed there are three."""
 
     def tighten(match: re.Match) -> str:
-        return re.sub(r"(?<=\S) (?=\S)", "", match.group())
+        run = match.group()
+        if len(_wide.findall(run)) < 3:
+            return run
+        return re.sub(r" {3}|\n ?| ", lambda m: {" ": "", "   ": " "}.get(m.group(), "\n"), run)
 
-    return re.sub(r"(?:[^\x00-\x7f]|\d|%) (?:(?:[^\x00-\x7f]|\d|%) )+(?:[^\x00-\x7f]|\d|%)", tighten, text)
+    return _letterspaced.sub(tighten, text)
 
 
 _TITLE_NUMBER = re.compile(r"^\s*\d{1,4}\s+(?=\S)|\s+[-–—]\s*\d{1,4}\s*[-–—]\s*$|\s*\|\s*\d{1,4}\s*$|\s{2,}\d{1,4}\s*$")
@@ -420,6 +506,7 @@ def clean_chapters(chapters: DataFrame, textbooks: DataFrame) -> DataFrame:
             out = []
             for b, c, title, content, low, high, book, lines in batch.itertuples(index=False):
                 new_title, title_traces = clean_title(title, book or "", cleaner) if title else (title, [])
+                new_title = plain_form(new_title) if new_title else new_title
                 pages = tuple(None if pd.isna(p) else int(p) for p in (low, high))
                 new, traces = cleaner.clean(content, new_title or "", book or "", pages, set(lines) if lines is not None else set()) if content else (content, [])
                 out.append((b, c, new_title, new if traces else content, title_traces, traces))

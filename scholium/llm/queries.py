@@ -36,6 +36,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("textbook_id", "chapter_id").distinct()
 
 
+def p2_proof(spark: SparkSession, d: str) -> DataFrame:
+    """For each proof-read chapter, whether title and content were damaged and whether they came out as the proof has them."""
+    proofs = table(spark, d, "chapter_proofs").withColumnsRenamed({"clean_title": "proof_title", "clean_content": "proof_content"})
+    raw = table(spark, d, "chapters").select("textbook_id", "chapter_id", "title", "content").distinct()
+    came = p2_clean(spark, d).select("textbook_id", "chapter_id", "clean_title", "clean_content").distinct()
+    both = proofs.join(raw, ["textbook_id", "chapter_id"]).join(came, ["textbook_id", "chapter_id"])
+    return both.select(
+        "textbook_id", "chapter_id", (F.col("title") != F.col("proof_title")).alias("title_damaged"), F.col("clean_title").eqNullSafe(F.col("proof_title")).alias("title_exact"),
+        (F.col("content") != F.col("proof_content")).alias("content_damaged"), F.col("clean_content").eqNullSafe(F.col("proof_content")).alias("content_exact"),
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.decision_groups(table(spark, d, "decisions"))
 
@@ -142,4 +154,4 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.find(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p8_limits, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p2_proof, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p8_limits, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}

@@ -187,3 +187,31 @@ def test_running_lines_stand_at_page_edges(spark):
     assert {k for r in counted for k in r["running"]} == {page_noise.fold("Printed in the blue series")}
     out = page_noise.clean_chapters(chapters, books).where("textbook_id = 'b1'").first()
     assert "Remember" in out["clean_content"] and "blue series" not in out["clean_content"]
+
+
+def _cleaned(content, title="t", vocabulary=None):
+    return page_noise.Cleaner(vocabulary or {}, {}, set()).clean(content, title, "b", (None, None), set())
+
+
+def test_lines_wrapped_at_sentence_ends():
+    paged = "电镜下可见其胞膜内折，形成小\n泡三个。对比两组标本均如此。\n充血只在外缘出现，其余各处正\n常。\n换一段。"
+    assert _cleaned(paged)[0] == "电镜下可见其胞膜内折，形成小泡三个。对比两组标本均如此。充血只在外缘出现，其余各处正常。\n换一段。"
+    latin = "The first layer of it is clear, as far\nas we know. The second, though thin, is\nmuch stronger than the first one was.\nThat holds for all of the others, which\nare not shown.\nAnother paragraph begins here."
+    assert _cleaned(latin)[0].split("\n")[1:] == ["Another paragraph begins here."]
+
+
+def test_what_the_page_parts_goes_on():
+    text, traces = _cleaned("脾的充血随后消退，恢复供给后正常。\n— 12 —\n肾的充血较轻，一般无须处理，可自行缓解。\n\n小结\n无。")
+    assert text == "脾的充血随后消退，恢复供给后正常。肾的充血较轻，一般无须处理，可自行缓解。\n小结\n无。" and traces == ["page number"]
+    kept = "第一段在这里结束，没有页码。\n第二段从这里开始，也没有。\n\n1、表；\n2、图。"
+    assert _cleaned(kept) == (kept, [])
+
+
+@pytest.mark.parametrize(("spaced", "plain"), [("故 口 服 无 效 。 动 物 模 型", "故口服无效。动物模型"), ("尽管Tarvic k   的 描 述 年 代 较 早 ，其对", "尽管Tarvick 的描述年代较早，其对"), ("A | 1 | 2 | 3 | 4 | 5", "A | 1 | 2 | 3 | 4 | 5"), ("T 细胞与 B 细胞", "T 细胞与 B 细胞")])
+def test_letterspaced_text(spaced, plain):
+    assert page_noise.unspace(spaced) == plain
+
+
+def test_headings_stay_apart():
+    text = "A | 1 | 2\nB | 3 | 4\nKey points\nOnce it has gone, the spleen recovers."
+    assert _cleaned(text) == (text, [])
