@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,16 +36,20 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir where set, else one of our own (local sessions only)."""
+    """The folder for lineage cuts: spark.checkpoint.dir where set, else one of our own (single-machine sessions only).
+
+    A folder of our own is removed when the process ends; what lies in a shared one is removed by release() or by its owner.
+    """
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return shared or current.get()
     if not shared:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "scholium-checkpoints")
+        shared = os.path.join(tempfile.gettempdir(), f"scholium-checkpoints-{os.getpid()}")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
     return shared
 
@@ -54,9 +60,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as a parquet table in the shared folder: columnar, prunable, read again without recomputing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append((spark, path))
     return spark.read.parquet(path)
+
+
+def release() -> int:
+    """Remove the tables that stage() has written; call it when no result that reads them is needed any more."""
+    removed = 0
+    while _STAGED:
+        spark, path = _STAGED.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
