@@ -122,6 +122,85 @@ with {_DICE},
 select question_id, chunk_id, round(score, 4) as score, rank::int as rank from r where rank <= 5"""
 
 
+
+_MARKED = "[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+"
+
+
+def marked(flat: str) -> str:
+    """Sentences with their marks as a list."""
+    return f"list_filter(list_transform(regexp_extract_all({flat}, '{_MARKED}'), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+def excerpt(content: str, term: str) -> str:
+    at, n = f"strpos({content}, {term})", f"length({content})"
+    start, end = f"greatest(1, {at} - 180)", f"least({n}, {at} - 1 + length({term}) + 180)"
+    return (
+        f"case when length({term}) > 0 and {at} > 0 then case when {start} > 1 then '...' else '' end || {strip(f'substring({content}, {start}, {end} - {start} + 1)')} || case when {end} < {n} then '...' else '' end "
+        f"else substring({content}, 1, 360) end"
+    )
+
+
+def first_sentence(text: str) -> str:
+    """What comes before and with the first sentence mark, else 220 characters."""
+    first = strip(rf"regexp_extract({text}, '^[^。！？!?；;]*[。！？!?；;]?')")
+    return f"case when {first} <> '' then {first} else substring({text}, 1, 220) end"
+
+
+VECTORS = "(select distinct on (chunk_id) chunk_id, list_transform(embedding, lambda x: x::double) as v from chunk_vectors)"
+#: The query set of vector search and its k nearest.
+_NEAR = f"""
+ nv as (select chunk_id, v, len(v) as n, sqrt(list_sum(list_transform(v, lambda x: x * x))) as l from {VECTORS} where v is not null),
+ vs as (select * from nv where l > 0),
+ vp as (select a.chunk_id as query_id, b.chunk_id, greatest(0.0, list_dot_product(a.v, b.v) / (a.l * b.l)) as similarity from vs a join vs b on a.n = b.n and a.chunk_id <> b.chunk_id
+   where ('0x' || substring(md5(a.chunk_id), 1, 6))::int % 50 = 0),
+ vr as (select *, row_number() over (partition by query_id order by round(similarity, 6) desc, chunk_id) as rank from vp)
+"""
+
+
+def _lexical(questions: str, chunks: str) -> str:
+    """CTEs that end in lx: the measures of every pair of a question and a chunk with something in common."""
+    return f"""
+ lc as materialized (select chunk_id, chapter_title, page_start, text, {terms('text')} as ts, {terms("coalesce(chapter_title, '')")} as tt, {query_key('text')} as k from {chunks}),
+ lq as materialized (select question_id, {terms('question')} as ts, {query_key('question')} as k from {questions}),
+ lqc as (select question_id, t, count(*) as n from (select question_id, unnest(ts) as t from lq) group by all),
+ lcc as (select chunk_id, t, count(*) as n from (select chunk_id, unnest(ts) as t from lc) group by all),
+ lhc as (select chunk_id, t, count(*) as n from (select chunk_id, unnest(tt) as t from lc) group by all),
+ lqg as (select question_id, t, count(*) as n from (select question_id, unnest(list_concat({grams('k', 2)}, {grams('k', 3)})) as t from lq) group by all),
+ lcg as (select chunk_id, t, count(*) as n from (select chunk_id, unnest(list_concat({grams('k', 2)}, {grams('k', 3)})) as t from lc) group by all),
+ lqn as (select question_id, sqrt(sum(n * n)) as norm from lqg group by 1), lcn as (select chunk_id, sqrt(sum(n * n)) as norm from lcg group by 1),
+ l1 as (select question_id, chunk_id, sum(least(a.n, b.n)) as s from lqc a join lcc b using (t) group by all),
+ l2 as (select question_id, chunk_id, sum(least(a.n, b.n)) as s from lqc a join lhc b using (t) group by all),
+ l3 as (select question_id, chunk_id, sum(a.n * b.n) as s from lqg a join lcg b using (t) group by all),
+ lp as (select question_id, chunk_id from l1 union select question_id, chunk_id from l2 union select question_id, chunk_id from l3),
+ lm as (select lp.question_id, lp.chunk_id, coalesce(l1.s, 0) as s1, coalesce(l2.s, 0) as s2, coalesce(l3.s, 0) as s3, len(lq.ts) as qn, len(lc.ts) as dn, len(lc.tt) as tn, lqn.norm as qnorm, lcn.norm as cnorm,
+    case when lq.k <> '' and contains(lc.k, lq.k) then 0.15 else 0.0 end as w,
+    case when regexp_matches({strip("coalesce(lc.chapter_title, '')")}, '{LOW}') or (coalesce(lc.page_start, 0) <= 15 and length({strip('lc.text')}) < 320) then 0.12 else 0.0 end as low
+   from lp left join l1 using (question_id, chunk_id) left join l2 using (question_id, chunk_id) left join l3 using (question_id, chunk_id) join lq using (question_id) join lc using (chunk_id) left join lqn using (question_id) left join lcn using (chunk_id)),
+ lx as (select question_id, chunk_id, case when qn = 0 or dn = 0 then 0.0 else s1::double / (qn + dn - s1) end as kw, case when qn = 0 or tn = 0 then 0.0 else s2::double / (qn + tn - s2) end as ti,
+    case when coalesce(qnorm, 0) = 0 or coalesce(cnorm, 0) = 0 then 0.0 else s3::double / (qnorm * cnorm) end as ng, w, low from lm)
+"""
+
+
+def _sources(n: int) -> str:
+    """CTEs that end in src: the first segments of usable chapters."""
+    mark = rf"length(regexp_extract(substring(b, {{0}} + 501, 60), '[^。！？!?；;\n]*\z'))"
+    end = lambda at: f"case when n - {at} <= 560 then n else {at} + case when {mark.format(at)} < 60 then 560 - {mark.format(at)} else 560 end end"
+    low = LOW.replace("|数字版", "|英文版|数字版")
+    return f"""
+ uc as (select *, {body('content')} as b, length({body('content')}) as n from {CHAPTERS} where coalesce(page_start, 0) >= 20 and char_count >= 1200 and {strip("coalesce(title, '')")} <> '' and not regexp_matches({strip("coalesce(title, '')")}, '{low}')),
+ sp as (select *, 0 as s, {end('0')} as e, 1 as i from uc where b <> ''),
+ sq as (select * from sp union all select * exclude (s, e, i, s2), s2 as s, {end('s2')} as e, 2 as i from (select *, greatest(e - 80, s + 1) as s2 from sp where e < n)),
+ sx as (select *, {strip('substring(b, s + 1, (e - s)::int)')} as excerpt from sq),
+ sr as (select *, row_number() over (partition by textbook_id order by page_start, char_count desc, chapter_ord, i) as rank from sx where length(excerpt) >= 220),
+ src as (select textbook_id || ':' || chapter_id || ':src_' || lpad(i::varchar, 2, '0') as source_id, textbook_id, chapter_id, title, rank, substring(excerpt, 1, 720) as excerpt from sr
+   where rank <= (select greatest(6, ceil({n} * 1.6 / greatest(1, count(distinct textbook_id)))) from {CHAPTERS}))
+"""
+
+
+def _kind(c: str) -> str:
+    return f"case when {heading(c)} in ('', '正文') then 'front' when {level(c)} = 'primary' then 'level1' when {level(c)} = 'secondary' then 'level2' else 'other' end"
+
+
 SQL: dict[str, str] = {
     "chapter_quality": f"""
 with c as {CHAPTERS}, t as {BOOKS},
@@ -220,4 +299,50 @@ with n as {NODES}, d as (select textbook_id, node_id, count(*) as degree from (s
 select textbook_id, node_id, i::int as i, round(600 + cos(angle) * ring, 3) as x, round(380 + sin(angle) * ring * 0.72::double, 3) as y, round(least(42.0::double, greatest(17.0::double, 15 + 3.2::double * sqrt(greatest(1, coalesce(frequency, 1))))), 3) as r from a""",
     "chat_history": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5",
     "event_windows": "select date_trunc('hour', ts)::timestamp as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
+    "graph_nodes": f"""
+with {_PLACED},
+ x as (
+  select textbook_id, chapter_ord, pid as node_id, title as name, 'primary' as level, null as parent_id, greatest(1, floor(char_count / 1000))::int as frequency, coalesce(content, '') as t, title,
+   {squeeze("coalesce(content, '')")} as f, true as head from q where lvl = 'primary' and nth = 1
+  union all
+  select textbook_id, chapter_ord, textbook_id || '_' || chapter_id || '_block', {squeeze("replace(title, '|', ' | ')")}, 'secondary', parent, greatest(1, floor(char_count / 800))::int, coalesce(content, ''), title, {squeeze("coalesce(content, '')")}, false from b),
+ y as (select *, {marked('f')} as m from x),
+ z as (select *, case when f = '' then null when head then coalesce(list_filter(m, lambda v: contains(v, title) and length(v) between 12 and 260)[1], substring(list_filter(m, lambda v: length(v) >= 24)[1], 1, 260), substring(f, 1, 260))
+   else coalesce(substring(list_filter(m, lambda v: length(v) >= 28)[1], 1, 260), substring(f, 1, 260)) end as d from y)
+select textbook_id, row_number() over (partition by textbook_id order by chapter_ord)::int as node_ord, node_id, name, level, parent_id, frequency,
+ sha1(coalesce(d, case when head then substring(t, 1, 220) end, '')) as definition_hash, sha1({excerpt('t', 'title')}) as excerpt_hash from z""",
+    "chapter_groups": f"""
+with c as (select *, {_kind('title')} as kind, {heading('title')} as k, nullif(page_start, 0) as ps, nullif(page_end, 0) as pe from {CHAPTERS}),
+ l as (select *, lead(kind) over w as nk, lead(ps) over w as np, lead(chapter_ord) over w as no from c window w as (partition by textbook_id order by chapter_ord)),
+ s as (select *, coalesce(kind = 'level2' and nk = 'level1' and ps = np, false) as swap from l),
+ a as (select *, case when swap then no + 0.5 else chapter_ord::double end as pos, coalesce(lag(swap) over (partition by textbook_id order by chapter_ord), false) as after from s),
+ o as (select *, case when kind = 'level1' then case when after then chapter_id else first_value(chapter_id) over (partition by textbook_id, k order by pos) end end as opened from a),
+ g as (select *, last_value(opened ignore nulls) over (partition by textbook_id order by pos rows between unbounded preceding and current row) as gid from o)
+select textbook_id, 'group_' || gid as group_id, arg_min(title, pos) as title, min(ps) as page_start, max(pe) as page_end, sum(char_count)::bigint as char_count,
+ count(distinct case when kind <> 'level1' then k || chr(0) || coalesce(ps, -chapter_ord) end) as children from g where gid is not null and kind <> 'front' group by 1, 2""",
+    "vector_search": f"with {_NEAR} select query_id, chunk_id, round(similarity, 4) as similarity, rank::int as rank from vr where rank <= 5",
+    "hybrid_search": f"""
+with {_NEAR},
+ cand as materialized (select query_id as question_id, chunk_id, similarity from vr where rank <= 10),
+ ask as (select chunk_id as question_id, {strip(f"array_to_string(list_transform(list_slice(regexp_extract_all(coalesce(text, ''), '[^。！？!?；;\\n]+[。！？!?；;]?'), 1, 1), lambda x: {strip('x')}), ' ')")} as question from {CHUNKS} where chunk_id in (select question_id from cand)),
+ {_lexical('ask', f"(select * from {CHUNKS} where chunk_id in (select chunk_id from cand))")},
+ sc as (select question_id, chunk_id, greatest(0.0, least(1.0, similarity * 0.45 + coalesce(kw, 0) * 0.22 + coalesce(ng, 0) * 0.18 + coalesce(ti, 0) * 0.15 + coalesce(w, 0) - coalesce(low, 0))) as score from cand left join lx using (question_id, chunk_id)),
+ rk as (select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank from sc where score > 0)
+select question_id, chunk_id, round(score, 4) as score, rank::int as rank from rk where rank <= 5""",
+    "search_answers": f"""
+with m as ({_search('keyword')}), c as {CHUNKS}
+select question_id, trim({first_sentence('text')} || ' ' || '[' || concat_ws(', ', textbook_title, chapter_title, {pages('page_start', 'page_end')}) || ']') as answer from m join c using (chunk_id) where rank = 1""",
+    "eval_sources": f"with {_sources(24)} select source_id, textbook_id, chapter_id, rank::int as rank, sha1(excerpt) as excerpt_hash from src",
+    "eval_plans": f"""
+with {_sources(24)},
+ num as (select *, row_number() over (order by textbook_id, rank) - 1 as i from src),
+ slots as (select 'factual' as question_type, 0 as o, unnest(range(8)) as j union all select 'reasoning', 1, unnest(range(6)) union all select 'comparative', 2, unnest(range(5))),
+ single as (select question_type, o, j, [source_id] as source_ids from slots join num on num.i = slots.j % (select count(*) from src)),
+ tk as (select source_id, textbook_id, list_distinct({terms('title')}) as t, list_distinct({terms('substring(excerpt, 1, 220)')}) as e from src),
+ jac as (select a.source_id as l, b.source_id as r, len(list_intersect(a.t, b.t)) as ti, len(list_distinct(list_concat(a.t, b.t))) as tu, len(list_intersect(a.e, b.e)) as ei, len(list_distinct(list_concat(a.e, b.e))) as eu
+   from tk a join tk b on a.source_id < b.source_id and a.textbook_id <> b.textbook_id),
+ sim as (select l, r, round((case when tu = 0 then 0.0 else ti::double / tu end) * 0.7 + (case when eu = 0 then 0.0 else ei::double / eu end) * 0.3, 4) as score from jac),
+ best as (select l, r, row_number() over (order by score desc, l, r) - 1 as j from sim where score >= 0.16),
+ every as (select * from single union all select 'cross_textbook', 3, j, [l, r] from best where j < 5)
+select 'plan_' || lpad((row_number() over (order by o, j))::varchar, 3, '0') as plan_id, question_type, case question_type when 'factual' then 'easy' when 'cross_textbook' then 'hard' else 'medium' end as difficulty, source_ids from every""",
 }
