@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NUMERAL = r"[一二三四五六七八九十百千万零〇两\d]"
 LOW = "(?i)(前言|序|目录|版权|编委|主编|副主编|简介|封面|扉页|致谢|附录|索引|参考文献|数字版)"
@@ -201,6 +203,107 @@ def _kind(c: str) -> str:
     return f"case when {heading(c)} in ('', '正文') then 'front' when {level(c)} = 'primary' then 'level1' when {level(c)} = 'secondary' then 'level2' else 'other' end"
 
 
+# -- names compared by compatibility form: DuckDB has none, so a table of characters is made by rule -----------------------
+
+
+def _compatibility() -> str:
+    """CTE km: (ch, becomes) of the characters whose compatibility form differs."""
+    ranges = ((0xA0, 0x24F), (0x2000, 0x2FE0), (0x3000, 0x3400), (0xF900, 0xFB07), (0xFE30, 0xFFF0))
+    changed = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for low, high in ranges for c in range(low, high)]
+    changed = [(a, b) for a, b in changed if a != b and unicodedata.normalize("NFC", a) != b]
+    quoted = lambda texts: ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return f" km as (select unnest([{quoted(a for a, _ in changed)}]) as ch, unnest([{quoted(b for _, b in changed)}]) as becomes)"
+
+
+def _compatible(name: str, source: str) -> str:
+    """CTE of (id, t) with t of the source in compatibility form and lower case."""
+    return f""" {name}_c as (select id, unnest(string_split(t, '')) as ch, generate_subscripts(string_split(t, ''), 1) as i from ({source})),
+ {name}_s as (select id, lower(nfc_normalize(string_agg(coalesce(becomes, {name}_c.ch), '' order by i))) as t from {name}_c left join km using (ch) group by id),
+ {name} as (select x.id, coalesce({name}_s.t, '') as t from ({source}) x left join {name}_s using (id))"""
+
+
+# Punctuation that names are compared without, and synonyms.
+_PUNCTUATION = r"""[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\-_·•:：,，.。;；、/\\|()\[\]{}<>《》“”"''`~!！?？]+"""
+_SYNONYM = "白细胞"
+_SOUNDS = ("leukocyte", "leucocyte", "whitebloodcell", "whitebloodcells", "白blood细胞", "白血球")
+
+
+def _key(t: str) -> str:
+    return f"regexp_replace({t}, '{_PUNCTUATION}', '', 'g')"
+
+
+def _meaning(norm: str) -> str:
+    parts = norm
+    for sound in _SOUNDS:
+        parts = f"replace({parts}, '{sound}', '{_SYNONYM}')"
+    return f"case when {norm} in ({', '.join(repr(x) for x in _SOUNDS)}) then '{_SYNONYM}' else {parts} end"
+
+
+def _name_tokens(t: str) -> str:
+    han = f"regexp_extract_all({t}, '[一-鿿]')"
+    pairs = f"case when len({han}) > 1 then list_transform(range(1, len({han})), lambda i: {han}[i::int] || {han}[i::int + 1]) else [] end"
+    return f"list_distinct(list_concat(list_concat(regexp_extract_all({t}, '[a-z0-9]+'), {han}), {pairs}))"
+
+
+def _chars(c: str = "") -> str:
+    return f"(length(coalesce({c}name, '')) + length(coalesce({c}definition, '')) + coalesce(list_sum(list_transform({c}aliases, lambda x: length(x))), 0))"
+
+
+_EMPTY = "(norm = '' or regexp_matches(norm, '(?i)^(无|空|n/?a|none|null|unknown|未命名)\\z'))"
+#: CTEs that end in nd: the nodes with what comparing needs.
+_PREPARED = f"""
+{_compatibility()},
+ n0 as (select *, textbook_id || ':' || node_id as qid from {NODES}),
+ {_compatible('cn', "select qid as id, coalesce(name, '') as t from n0")},
+ {_compatible('cf', "select qid as id, coalesce(name, '') || ' ' || array_to_string(coalesce(aliases, []), ' ') as t from n0")},
+ {_compatible('cd', "select qid as id, coalesce(definition, '') as t from n0")},
+ n1 as (select n0.*, {_key('cn.t')} as norm, {_name_tokens('cf.t')} as tokens, {_name_tokens('cd.t')} as said, level = 'primary' or node_type = 'primary' as structure from n0 join cn on cn.id = qid join cf on cf.id = qid join cd on cd.id = qid),
+ nd as materialized (select *, {_meaning('norm')} as semantic, {_EMPTY} as vacant from n1)
+"""
+_JACCARD = "case when len(list_distinct(list_concat(a.{0}, b.{0}))) = 0 then 0.0 else len(list_intersect(a.{0}, b.{0}))::double / len(list_distinct(list_concat(a.{0}, b.{0}))) end"
+#: CTEs that end in pf: every pair of valid nodes with its score, by brute force.
+_PAIRS = f"""
+{_PREPARED},
+ va as materialized (select qid, textbook_id, norm, semantic, tokens, said, structure from nd where not vacant),
+ pj as (select a.qid as l, b.qid as r, a.textbook_id = b.textbook_id as same, a.structure or b.structure as strict, (a.norm <> '' and a.norm = b.norm) or (a.semantic <> '' and a.semantic = b.semantic) as exact,
+   a.norm <> '' and b.norm <> '' and (contains(a.norm, b.norm) or contains(b.norm, a.norm)) as part, {_JACCARD.format('tokens')} as tj, {_JACCARD.format('said')} as dj from va a join va b on a.qid < b.qid),
+ pk as (select *, case when exact then 1.0 when part then 0.85 else 0.0 end as nm from pj),
+ pe as (select *, round(greatest(0.45::double * nm + 0.35::double * tj + 0.20::double * dj, 0.25::double * tj + 0.15::double * dj + 0.10::double * nm)::varchar::decimal(38, 20), 4)::double as base from pk),
+ pf as materialized (select l, r, greatest(case when same then 0.9 else 0.72 end, case when strict then 0.96 else 0 end) as threshold, case when exact then greatest(base, 0.9) else base end as final from pe)
+"""
+_GROUPS = f"""
+{_PAIRS},
+ mg as materialized (select l, r, final from pf where final >= threshold),
+ sy as (select l as u, r as v from mg union select r, l from mg),
+ rc(node, reach) as (select u, u from sy union select rc.node, sy.v from rc join sy on sy.u = rc.reach),
+ gr as materialized (select qid, coalesce(component, qid) as component from va left join (select node as qid, min(reach) as component from rc group by 1) using (qid))
+"""
+_MERGED = f"""
+{_GROUPS},
+ gm as (select nd.*, component, case when regexp_matches(name, '[一-鿿]') then 0 else 1 end as foreign_, length(coalesce(definition, '')) as dl, {strip("coalesce(definition, '')")} as sd from nd join gr using (qid)),
+ top as (select *, row_number() over (partition by component order by foreign_, dl desc, length(name), name, textbook_id, node_ord, qid) as place, row_number() over (partition by component order by (sd = '')::int, length(sd) desc, textbook_id, node_ord, qid) as longest,
+   row_number() over (partition by component order by textbook_id, node_ord, qid) as earliest from gm),
+ m0 as (select component, max(case when place = 1 then name end) as name, max(case when place = 1 then norm end) as norm, max(case when longest = 1 then nullif(sd, '') end) as definition, count(*) as source_count, max(case when earliest = 1 then textbook_id end) as f1,
+   max(case when earliest = 1 then node_ord end) as f2, max(case when earliest = 1 then qid end) as f3, list_distinct(list_transform(flatten(list(list_concat([name], coalesce(aliases, [])))), lambda x: {strip('x')})) as every from top group by 1),
+ me as materialized (select component, name, norm, definition, source_count, list_filter(every, lambda x: x <> '' and x <> name) as aliases, 'kg_node_' || lpad((row_number() over (order by norm, f1, f2, f3))::varchar, 4, '0') as node_id from m0),
+ mp as (select qid, node_id from gr join me using (component)),
+ en as (select s.node_id as s, t.node_id as t, coalesce(relation, 'related') as relation, weight from {EDGES} e join mp s on s.qid = e.textbook_id || ':' || e.source join mp t on t.qid = e.textbook_id || ':' || e.target where s.node_id <> t.node_id),
+ je as materialized (select least(s, t) as source, greatest(s, t) as target, relation, round(avg(weight), 4) as weight, count(*) as source_edge_count from en group by all),
+ tot as (select sum({_chars()}) as chars, count(*) as nodes, greatest(1, floor(sum({_chars()}) * 0.30::double))::bigint as budget from nd),
+ dg as (select node_id, count(*) as degree from (select unnest([source, target]) as node_id from je) group by 1),
+ it as materialized (select node_id, {_chars()} as size, length(name) as nl, coalesce(list_sum(list_transform(aliases, lambda x: length(x))), 0) as al, length(coalesce(definition, '')) as dl,
+   row_number() over (order by source_count desc, coalesce(degree, 0) desc, (coalesce(definition, '') <> '')::int desc, node_id) as i from me left join dg using (node_id)),
+ fo(i, node_id, used, kept, cut) as (
+  select 0::bigint, '', 0::bigint, false, null::bigint
+  union all
+  select x.i, x.node_id, (case when fits then used + size when trims then used + (case when cuts then nl + al + least(room, dl) + 3 else size end) else used end)::bigint, fits or trims, (case when cuts and not fits then room end)::bigint
+  from (select it.*, used, budget - used as rest, greatest(0, budget - used - nl - al - 4) as room, size <= budget - used as fits, budget - used > nl + 36 as trims, budget - used > nl + 36 and greatest(0, budget - used - nl - al - 4) > 20 and dl > 0 as cuts
+   from fo join it on it.i = fo.i + 1, tot) x),
+ whole as (select (select sum(size) from it) <= budget as ok from tot),
+ kept as materialized (select me.*, case when cut is not null and not ok then rtrim(substring(definition, 1, cut::int)) || '...' else definition end as said from me join fo using (node_id), whole where kept or ok)
+"""
+
+
 SQL: dict[str, str] = {
     "chapter_quality": f"""
 with c as {CHAPTERS}, t as {BOOKS},
@@ -345,4 +448,47 @@ with {_sources(24)},
  best as (select l, r, row_number() over (order by score desc, l, r) - 1 as j from sim where score >= 0.16),
  every as (select * from single union all select 'cross_textbook', 3, j, [l, r] from best where j < 5)
 select 'plan_' || lpad((row_number() over (order by o, j))::varchar, 3, '0') as plan_id, question_type, case question_type when 'factual' then 'easy' when 'cross_textbook' then 'hard' else 'medium' end as difficulty, source_ids from every""",
+    "entity_groups": f"with recursive {_GROUPS} select qid, component from gr",
+    "integrated_nodes": f"with recursive {_MERGED} select node_id, name, said as definition, source_count from kept",
+    "integrated_edges": f"""
+with recursive {_MERGED} select source, target, relation, weight, source_edge_count from je where source in (select node_id from kept) and target in (select node_id from kept)""",
+    "integration_stats": f"""
+with recursive {_MERGED}, k as (select count(*) as n, coalesce(sum(length(coalesce(name, '')) + length(coalesce(said, '')) + coalesce(list_sum(list_transform(aliases, lambda x: length(x))), 0)), 0) as c from kept)
+select nodes as source_node_count, n as merged_node_count, chars::int as source_char_count, c::bigint as merged_char_count, budget as char_budget, round(n::double / nodes, 4) as compression_ratio, round(1.0 - n::double / nodes, 4) as node_reduction_ratio,
+ round(c::double / chars, 4) as char_compression_ratio, c <= budget as budget_met from k, tot""",
+    "integration_decisions": f"""
+with recursive {_MERGED},
+ nb as (select q, max(final) as near from (select l as q, final from pf union all select r, final from pf) group by 1),
+ mb as (select x.component, max(final) as score from pf join gr x on x.qid = l join gr y on y.qid = r where x.component = y.component group by 1)
+select 'remove' as action, null as result_node, name as canonical_name, 1.0::double as score, 1.0::double as confidence, 'empty name' as reason from nd where vacant
+union all select 'merge', node_id, name, score, score, 'equivalent nodes' from me left join mb using (component) where source_count > 1
+union all select 'keep', node_id, name, coalesce(near, 0), round((1 - least(coalesce(near, 0), 0.72) / 0.72::double)::varchar::decimal(38, 20), 4)::double, case when coalesce(near, 0) >= 0.48 then 'weakly similar' else 'nothing similar' end from me left join nb on nb.q = component where source_count = 1
+union all select 'remove', null, name, 0.72, 0.72, 'character budget' from me where node_id not in (select node_id from kept)""",
+    "definition_conflicts": f"""
+with {_PREPARED},
+ us as (select *, row_number() over (order by textbook_id, node_ord, qid) as o from nd where length(norm) >= 2 and not vacant and length(definition) >= 20 and not regexp_matches(norm, '^第[一二三四五六七八九十百千万零〇两\\d]+([章节篇编部讲]|节概述)\\z')
+   and not regexp_matches(norm, '概述|临床病例分析|本章小结|学习目标|复习题') and norm not in ('正文', '目录', '前言', '绪论', '附录')),
+ pr as (select a.norm as normalized_name, a.qid as left_id, b.qid as right_id, round({_JACCARD.format('tokens')}, 4) as token_jaccard, round({_JACCARD.format('said')}, 4) as definition_jaccard from us a join us b on a.norm = b.norm and a.textbook_id <> b.textbook_id and a.o < b.o)
+select * from pr where token_jaccard > 0.6 and definition_jaccard < 0.3""",
+    "decision_ranking": f"""
+with {_compatibility()}, d as {DECISIONS},
+ {_compatible('ct', "select decision_id as id, concat_ws(' ', canonical_name, reason, result_node, array_to_string(coalesce(affected_nodes, []), ' '), array_to_string(coalesce(node_ids, []), ' ')) as t from d")},
+ m as (select d.*, (action = 'merge')::int * 2 + case when contains({_key('ct.t')}, 'lpkα信号') or contains('lpkα信号', {_key('ct.t')}) then 4 else 0 end as match from d join ct on ct.id = decision_id)
+select decision_id, match, confidence from m where match > 0 order by match desc, confidence desc, score desc, decision_ord limit 10""",
+    "feedback_applied": f"""
+with {_compatibility()}, n as (select *, textbook_id || ':' || node_id as qid from {NODES}),
+ {_compatible('cn', "select qid as id, coalesce(name, '') as t from n")},
+ al as (select qid, unnest(aliases) as a, generate_subscripts(aliases, 1) as i from n),
+ {_compatible('ca', "select qid || '#' || i as id, coalesce(a, '') as t from al")},
+ k as (select qid, name, {_key('cn.t')} as k from n join cn on cn.id = qid),
+ own as (select qid, k as x from k union select qid, {_key('ca.t')} from al join ca on ca.id = qid || '#' || i),
+ w(step, t, x) as (values (1, 0, 'co2敏感血小板'), (2, 0, '未命名'), (3, 0, '骨的生长'), (3, 1, 'lpkα信号')),
+ gone as (select distinct qid from own where x = '未命名'),
+ left_ as (select * from own where qid not in (select qid from gone)),
+ e1 as (select step, t, left_.qid from w join left_ using (x)),
+ e2 as (select w.step, w.t, k.qid from w join k on k.k <> '' and (contains(k.k, w.x) or contains(w.x, k.k)) where not exists (select 1 from e1 where e1.step = w.step and e1.t = w.t) and k.qid not in (select qid from gone)),
+ f as (select step, qid, min(t) as t from (select * from e1 union all select * from e2) group by 1, 2),
+ base as (select qid from f where step = 3 order by t, qid limit 1)
+select k.qid as node_id, name, case when k.qid in (select qid from base) then 'merge' when k.qid in (select qid from f where step = 1) then 'keep' end as teacher_feedback from k
+where k.qid not in (select qid from gone) and (k.qid not in (select qid from f where step = 3) or k.qid in (select qid from base))""",
 }
