@@ -1,11 +1,21 @@
 """Search over chunks: keyword, character n-gram, vector and hybrid scores, top k for each question, citations.
 
-Lexical scores come from an inverted index built on the fly: tokens of the chunks meet the tokens of the questions in an equi-join,
-and sums of minima with the totals give every measure. Chunks that share nothing with a question are never paired with it.
+Questions are few beside the chunks: they are taken in blocks of ASKED, one pass over the chunks each. A pass reads a chunk's text
+once, counts its tokens, and meets the questions through an inverted index of the block, so chunks that share nothing with a question
+are never paired with it; sums of minima with the totals give every measure. Where only the best k are wanted, no more than k rows
+a question leave a batch, and texts never travel.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from math import sqrt
+
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,86 +26,167 @@ from ..functions import text as T
 TOP_K = 5
 
 
-def _tagged(**tokens: Column) -> Column:
-    """One array of (kind, token) of several token arrays, so that they are exploded, joined and summed together."""
-
-    def tag(kind: str, array: Column) -> Column:
-        return F.transform(array, lambda t: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("token"), t))
-
-    return F.concat(*[tag(kind, array) for kind, array in tokens.items()])
-
-
-def overlaps(questions: DataFrame, chunks: DataFrame, question_tokens: Column, chunk_tokens: Column) -> DataFrame:
-    """(question_id, chunk_id, kind, shared, dot) of every pair with a token of a kind in common."""
-    asked = questions.select("question_id", F.explode(question_tokens).alias("t")).groupBy("question_id", "t.kind", "t.token").agg(F.count("*").alias("tf"))
-    wanted = asked.select("kind", "token").distinct()
-    held = chunks.select("chunk_id", F.explode(chunk_tokens).alias("t")).select("chunk_id", "t.kind", "t.token").join(wanted, ["kind", "token"], "left_semi")
-    held = held.groupBy("chunk_id", "kind", "token").agg(F.count("*").alias("held"))
-    return asked.join(held, ["kind", "token"]).select("question_id", "chunk_id", "kind", F.least("tf", "held").alias("shared"), (F.col("tf") * F.col("held")).alias("dot"))
-
-
-def _squares(tokens: Column) -> Column:
-    """Root of the summed squares of token counts, without a shuffle: repeats found by sorting the array."""
-    ordered = F.array_sort(tokens)
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("s"))
-
-    def step(state: Column, token: Column) -> Column:
-        same = token.eqNullSafe(state["t"])
-        n = F.when(same, state["n"] + 1).otherwise(F.lit(1)).cast("bigint")
-        return F.struct(token.alias("t"), n.alias("n"), (state["s"] + F.when(same, 2 * n - 1).otherwise(1)).cast("bigint").alias("s"))
-
-    return F.sqrt(F.aggregate(ordered, start, step, lambda s: s["s"]))
-
-
+#: Questions of a pass over the chunks: what is collected and broadcast at once.
+ASKED = 4_096
+_run = re.compile("[一-鿿]+|[a-z0-9]+")
+PAIRS = "question_id string, chunk_id string, keyword double, keyword_recall double, title double, title_recall double, ngram double, within double, low double"
 #: The token kinds that a mode's score is made of; "key" finds the texts that hold a whole question.
 KINDS = {"keyword": ("body", "head", "key"), "char_ngram": ("head", "gram"), "vector": ("head", "key"), "hybrid": ("body", "head", "gram")}
 
 
-def lexical_pairs(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """Every pair with a token of the mode's kinds in common, with all the measures that its score is made of."""
-    q = questions.select(
-        "question_id", "question", T.terms(F.col("question")).alias("_qt"), T.grams(F.col("question")).alias("_qg"), T.query_key(F.col("question")).alias("_qk")
+def _windows(text: str, *sizes: int) -> list[str]:
+    return [text[i : i + n] for n in sizes for i in range(len(text) - n + 1)]
+
+
+def _terms(lower: str) -> list[str]:
+    """The same as functions.text.terms of a text in lower case."""
+    out = []
+    for run in _run.findall(lower):
+        if run[0] >= "一":
+            out.append(run)
+            if len(run) > 2:
+                out += _windows(run, 2, 3, 4)
+        elif len(run) > 1:
+            out.append(run)
+    return out
+
+
+class _Asked:
+    """An inverted index of a block of questions, for each kind of token."""
+
+    def __init__(self, rows: pd.DataFrame, kinds: tuple[str, ...]):
+        self.ids, self.keys = rows["question_id"].to_numpy(dtype=object), rows["key"].tolist()
+        terms = [Counter(_terms(t)) for t in rows["lower"]]
+        grams = [Counter(_windows(k, 2, 3)) for k in self.keys]
+        self.terms = np.array([sum(c.values()) for c in terms], dtype=np.int64)
+        self.norms = np.array([sqrt(sum(n * n for n in c.values())) for c in grams])
+        self.index = {k: self._inverted(grams if k == "gram" else terms) for k in kinds if k != "key"}
+        self.starts: dict[str, list[int]] = {}
+        if "key" in kinds:
+            for q, key in enumerate(self.keys):
+                if key:
+                    self.starts.setdefault(key[:3], []).append(q)
+
+    @staticmethod
+    def _inverted(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        """(token -> number, where its questions begin, the questions, how often they have it)."""
+        held: dict[str, list[tuple[int, int]]] = {}
+        for q, c in enumerate(counts):
+            for token, n in c.items():
+                held.setdefault(token, []).append((q, n))
+        flat = np.array([x for some in held.values() for x in some], dtype=np.int64).reshape(-1, 2)
+        return {t: i for i, t in enumerate(held)}, np.r_[0, np.cumsum([len(v) for v in held.values()])].astype(np.int64), flat[:, 0], flat[:, 1]
+
+    def sums(self, kind: str, found: list[tuple[int, int, int]], product: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk and question as one number, sum over shared tokens) of (chunk, token, times) found in a batch."""
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        _, begin, question, times = self.index[kind]
+        chunk, token, n = np.array(found, dtype=np.int64).T
+        many = begin[token + 1] - begin[token]
+        which = np.repeat(np.arange(len(token)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[token[which]]
+        value = n[which] * times[at] if product else np.minimum(n[which], times[at])
+        pair, back = np.unique(chunk[which] * len(self.ids) + question[at], return_inverse=True)
+        return pair, np.bincount(back, weights=value, minlength=len(pair)).astype(np.int64)
+
+
+def _measured(batch: pd.DataFrame, asked: _Asked, kinds: tuple[str, ...]) -> pd.DataFrame:
+    """PAIRS of a batch of chunks (chunk_id, key, lower, head, low)."""
+    found: dict[str, list] = {k: [] for k in ("body", "head", "gram")}
+    totals = {"body": np.zeros(len(batch), dtype=np.int64), "head": np.zeros(len(batch), dtype=np.int64)}
+    norms, met = np.zeros(len(batch)), []
+    keys = batch["key"].tolist()
+    for i, (key, lower, head) in enumerate(zip(keys, batch["lower"], batch["head"])):
+        for kind, tokens in (("body", _terms(lower)), ("head", _terms(head))):
+            totals[kind][i] = len(tokens)
+            if kind in kinds:
+                known = asked.index[kind][0]
+                found[kind] += [(i, known[t], n) for t, n in Counter(t for t in tokens if t in known).items()]
+        if "gram" in kinds:
+            counts, known = Counter(_windows(key, 2, 3)), asked.index["gram"][0]
+            norms[i] = sqrt(sum(n * n for n in counts.values()))
+            found["gram"] += [(i, known[t], n) for t, n in counts.items() if t in known]
+        if asked.starts:
+            for start in asked.starts.keys() & {key[j : j + n] for n in (1, 2, 3) for j in range(len(key) - n + 1)}:
+                met += [i * len(asked.ids) + q for q in asked.starts[start]]
+    sums = {kind: asked.sums(kind, found[kind], kind == "gram") for kind in found}
+    pairs = np.unique(np.concatenate([*(p for p, _ in sums.values()), np.array(met, dtype=np.int64)]))
+    got = {}
+    for kind, (pair, value) in sums.items():
+        got[kind] = np.zeros(len(pairs), dtype=np.int64)
+        got[kind][np.searchsorted(pairs, pair)] = value
+    chunk, question = pairs // len(asked.ids), pairs % len(asked.ids)
+    wanted = asked.terms[question]
+
+    def ratio(shared: np.ndarray, there: np.ndarray, union: bool) -> np.ndarray:
+        below = wanted + there - shared if union else wanted
+        return np.where((wanted == 0) | (there == 0) | (below == 0), 0.0, shared / np.maximum(below, 1))
+
+    scale = asked.norms[question] * norms[chunk]
+    body, head = totals["body"][chunk], totals["head"][chunk]
+    return pd.DataFrame(
+        {
+            "question_id": asked.ids[question],
+            "chunk_id": batch["chunk_id"].to_numpy(dtype=object)[chunk],
+            "keyword": ratio(got["body"], body, True),
+            "keyword_recall": ratio(got["body"], body, False),
+            "title": ratio(got["head"], head, True),
+            "title_recall": ratio(got["head"], head, False),
+            "ngram": np.where(scale == 0, 0.0, got["gram"] / np.where(scale == 0, 1.0, scale)),
+            "within": [0.15 if asked.keys[q] and asked.keys[q] in keys[c] else 0.0 for c, q in zip(chunk, question)],
+            "low": np.where(batch["low"].to_numpy(dtype=bool)[chunk], 0.12, 0.0),
+        }
     )
-    q = q.withColumn("_qn", F.size("_qt")).withColumn("_qnorm", _squares(F.col("_qg")))
-    title = F.coalesce("chapter_title", F.lit(""))
-    start = lambda c: F.when(F.length(c) > 0, F.array(F.substring(c, 1, 3))).otherwise(F.array().cast("array<string>"))
-    whole = lambda c: T.let(T.letters(T.query_key(F.col(c))), lambda x: F.array_distinct(F.concat(T.windows(x, 1), T.windows(x, 2), T.windows(x, 3))))
-    asked = {"body": T.terms(F.col("question")), "head": T.terms(F.col("question")), "gram": T.grams(F.col("question")), "key": start(T.query_key(F.col("question")))}
-    held = {"body": T.terms(F.col("text")), "head": T.terms(title), "gram": T.grams(F.col("text")), "key": whole("text")}
-    ask, have = (_tagged(**{k: side[k] for k in KINDS[mode]}) for side in (asked, held))
-    keys = ["question_id", "chunk_id"]
-    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, F.col(value)).otherwise(0))
-    pairs = overlaps(questions, chunks, ask, have).groupBy(*keys).agg(of("body", "shared").alias("body"), of("head", "shared").alias("head"), of("gram", "dot").alias("dot"))
-    c = chunks.select(
-        "chunk_id", T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("_low"),
-        F.size(T.terms(F.col("text"))).alias("_dn"), F.size(T.terms(title)).alias("_tn"), _squares(T.grams(F.col("text"))).alias("_dnorm"), T.query_key(F.col("text")).alias("_dk"),
+
+
+def lexical_pairs(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int | None = None, min_score: float = 0.0) -> DataFrame:
+    """Every pair with a token of the mode's kinds in common, with all the measures that its score is made of.
+
+    With k, of each batch only those that can be among the k best of their question by the mode's score.
+    """
+    spark, kinds = chunks.sparkSession, KINDS[mode]
+    title = T.blank_to_empty(F.col("chapter_title"))
+    read = chunks.select(
+        "chunk_id", T.query_key(T.blank_to_empty(F.col("text"))).alias("key"), F.lower(T.blank_to_empty(F.col("text"))).alias("lower"), F.lower(title).alias("head"),
+        T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("low"),
     )
-    rows = pairs.join(c, "chunk_id").join(q.select("question_id", "_qn", "_qnorm", "_qk"), "question_id")
-    low = F.when(F.col("_low"), 0.12).otherwise(0.0)
-    within = F.when((F.col("_qk") != "") & F.col("_dk").contains(F.col("_qk")), 0.15).otherwise(0.0)
-    return rows.select(
-        *keys,
-        S.weighted_jaccard(F.col("body"), F.col("_qn"), F.col("_dn")).alias("keyword"),
-        S.recall(F.col("body"), F.col("_qn"), F.col("_dn")).alias("keyword_recall"),
-        S.weighted_jaccard(F.col("head"), F.col("_qn"), F.col("_tn")).alias("title"),
-        S.recall(F.col("head"), F.col("_qn"), F.col("_tn")).alias("title_recall"),
-        S.cosine(F.col("dot"), F.col("_qnorm"), F.col("_dnorm")).alias("ngram"),
-        within.alias("within"),
-        low.alias("low"),
-    )
+    ask = questions.select("question_id", F.lower(T.blank_to_empty(F.col("question"))).alias("lower"), T.query_key(F.col("question")).alias("key")).where("question_id is not null")
+    passes = max(1, -(-ask.count() // ASKED))
+    out = None
+    for turn in range(passes):  # about ASKED questions come to the driver at once
+        block = _Asked(ask.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == turn).toPandas().fillna({"lower": "", "key": ""}), kinds)
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], held: object = held) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 1_000):
+                    rows = _measured(batch.iloc[start : start + 1_000].fillna({"low": False}), held.value, kinds)
+                    if k is not None:
+                        score = np.clip(_weighed(mode, *(rows[c].to_numpy() for c in ("keyword", "title", "ngram", "within", "low"))), 0.0, 1.0)
+                        rows = rows.assign(_s=score)[(score > 0) & (score >= min_score)].sort_values(["_s", "chunk_id"], ascending=[False, True])
+                        rows = rows.groupby("question_id", sort=False).head(k).drop(columns="_s")
+                    yield rows
+
+        part = read.mapInPandas(run, PAIRS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _weighed(mode: str, keyword, title, ngram, within, low, vector=0.0):
+    """The score of a retrieval mode before clamping, of columns or arrays alike."""
+    return {
+        "keyword": lambda: keyword + title * 0.18 + within - low,
+        "char_ngram": lambda: ngram + title * 0.12 + within - low,
+        "vector": lambda: vector + title * 0.06 + within * 0.3 - low,
+        "hybrid": lambda: vector * 0.45 + keyword * 0.22 + ngram * 0.18 + title * 0.15 + within - low,
+    }[mode]()
 
 
 def mode_score(mode: str, vector: Column | None = None) -> Column:
     """The clamped score of a retrieval mode over the columns of lexical_pairs()."""
     vector = F.lit(0.0) if vector is None else vector
-    keyword, title, ngram, within, low = (F.col(c) for c in ("keyword", "title", "ngram", "within", "low"))
-    score = {
-        "keyword": keyword + title * 0.18 + within - low,
-        "char_ngram": ngram + title * 0.12 + within - low,
-        "vector": vector + title * 0.06 + within * 0.3 - low,
-        "hybrid": vector * 0.45 + keyword * 0.22 + ngram * 0.18 + title * 0.15 + within - low,
-    }[mode]
-    return S.clamp(score)
+    return S.clamp(_weighed(mode, *(F.col(c) for c in ("keyword", "title", "ngram", "within", "low")), vector))
 
 
 def top(scored: DataFrame, k: int, min_score: float) -> DataFrame:
@@ -106,26 +197,55 @@ def top(scored: DataFrame, k: int, min_score: float) -> DataFrame:
 
 
 def lexical_top(questions: DataFrame, chunks: DataFrame, mode: str = "keyword", k: int = TOP_K, min_score: float = 0.0) -> DataFrame:
-    scored = lexical_pairs(questions, chunks, mode).withColumn("score", mode_score(mode))
+    scored = lexical_pairs(questions, chunks, mode, min(k, TOP_K), min_score).withColumn("score", mode_score(mode))
     return top(scored, min(k, TOP_K), min_score).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def vector_top(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): exact top k by cosine of a stated query set against all vectors.
 
-    The query set is broadcast when Spark finds it small enough; norms are computed once a row, before pairing.
+    The query set is taken in blocks of ASKED, a pass over the vectors each; no more than k rows a query leave a task. Vectors are only
+    compared with those of the same length and group; null and all-zero ones never match.
     """
-    on = [group] if group else []
-    normed = lambda df: df.withColumn("_n", S.vector_norm(F.col("embedding"))).where("_n > 0")
-    q = normed(queries).select(F.col("query_id"), F.col("embedding").alias("_qe"), F.col("_n").alias("_qn"), *[F.col(c).alias(f"_q{c}") for c in on])
-    v = normed(vectors).select("chunk_id", F.col("embedding").alias("_ve"), F.col("_n").alias("_vn"), *on)
-    same = F.lit(True)
-    for c in on:
-        same = same & (F.col(f"_q{c}") == F.col(c))
-    pairs = v.join(q, same & (F.size("_qe") == F.size("_ve")) & (F.col("query_id") != F.col("chunk_id")))
-    scored = pairs.select("query_id", "chunk_id", F.greatest(F.lit(0.0), S.vector_dot(F.col("_qe"), F.col("_ve")) / (F.col("_qn") * F.col("_vn"))).alias("similarity"))
+    spark = vectors.sparkSession
+    keyed = lambda df, name: df.where(F.col("embedding").isNotNull()).select(F.col(name).alias("id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), F.col("embedding").cast("array<double>").alias("v"))
+    ask, read = keyed(queries, "query_id"), keyed(vectors, "chunk_id")
+    passes = max(1, -(-ask.count() // ASKED))
+    found = spark.createDataFrame([], "query_id string, chunk_id string, similarity double")
+    for turn in range(passes):
+        block = ask.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == turn).toPandas()
+        held = spark.sparkContext.broadcast({key: _unit(some) for key, some in block.groupby(["grp", block["v"].map(len)])})
+        found = found.unionByName(read.mapInPandas(_nearest(held, k), found.schema))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _unit(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors of length 1) of the rows that aren't all zero."""
+    x = np.stack(rows["v"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
+    norm = np.sqrt((x * x).sum(1))
+    ok = norm > 0
+    return rows["id"].to_numpy(dtype=object)[ok], x[ok] / norm[ok, None]
+
+
+def _nearest(held: object, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, some in batch.groupby(["grp", batch["v"].map(len)]):
+                if key not in held.value:
+                    continue
+                (names, q), (ids, y) = held.value[key], _unit(some)
+                for start in range(0, len(y), 2_048):
+                    part = ids[start : start + 2_048]
+                    exact = np.maximum(q @ y[start : start + 2_048].T, 0.0)
+                    exact[names[:, None] == part[None, :]] = -np.inf
+                    rounded = np.round(exact, 6)
+                    n = min(k, exact.shape[1])
+                    least = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]  # with all ties of the k-th
+                    i, j = np.nonzero((rounded >= least[:, None]) & np.isfinite(exact))
+                    yield pd.DataFrame({"query_id": names[i], "chunk_id": part[j], "similarity": exact[i, j]})
+
+    return run
 
 
 def reranked(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, mode: str, k: int = TOP_K, min_score: float = 0.0) -> DataFrame:

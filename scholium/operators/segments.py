@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -178,30 +181,30 @@ def stride_chunks(chapters: DataFrame, size: int = 1200, overlap: int = 160) ->
     )
 
 
-def spans(body: Column, size: Column | int, overlap: Column | int, least: int = 500) -> Column:
-    """array<struct<start, end>> of boundary-aware chunks: a fold over at most as many steps as chunks can be.
+def spans(body: Column, size: int, overlap: int, least: int = 500) -> Column:
+    """array<struct<start, end>> of boundary-aware chunks, one pass over a text: it is never copied from its start again.
 
     A chunk ends after the last sentence mark in its part beyond ``least`` characters, else at ``size``.
     """
-    return T.let(body, lambda b: _spans(b, *(F.lit(v) if isinstance(v, int) else v for v in (size, overlap)), least))
-
-
-def _spans(body: Column, size: Column, overlap: Column, least: int) -> Column:
-    n = F.length(body)
-    steps = F.greatest(F.lit(1), F.ceil(n / F.greatest(F.lit(1), F.least(F.lit(least), size) - overlap)).cast("int") + 1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("out"))
-    lower = F.least(F.lit(least), size)
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["at"]
-        window = F.substring(body, start + lower + 1, size - lower)
-        tail = F.length(F.regexp_extract(window, r"[^。！？!?；;\n]*\z", 0))
-        end = F.when(n - start <= size, n).otherwise(start + F.when(tail < size - lower, size - tail).otherwise(size)).cast("int")
-        span = F.struct(start.alias("char_start"), end.alias("char_end"))
-        after = F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1)).cast("int")
-        return F.when(start >= n, state).otherwise(F.struct(after.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
-
-    return F.aggregate(F.sequence(F.lit(1), steps), zero, step)["out"]
+    lower = min(least, size)
+    mark = re.compile(f"[{T.SENTENCE_MARKS}]")
+
+    @F.pandas_udf("array<struct<char_start:int,char_end:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            out, start, n = [], 0, len(text or "")
+            while start < n:
+                end = n
+                if n - start > size:
+                    marks = [m.end() for m in mark.finditer(text, start + lower, start + size)]
+                    end = marks[-1] if marks else start + size
+                out.append({"char_start": start, "char_end": end})
+                start = n if end >= n else max(end - overlap, start + 1)
+            return out
+
+        return texts.map(of)
+
+    return cut(body)
 
 
 def boundary_chunks(chapters: DataFrame, size: int = 800, overlap: int = 80, skip_low_signal: bool = True) -> DataFrame:
