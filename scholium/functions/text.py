@@ -225,3 +225,14 @@ def low_signal_chunk(title: Column, page_start: Column, text: Column) -> Column:
 def joined_hash(*parts: Column) -> Column:
     """SHA-1 over parts that are each ended by a NUL."""
     return F.sha1(F.concat(*[x for p in parts for x in (blank_to_empty(p.cast("string")), F.lit("\0"))]))
+
+
+def optional_int(c: Column) -> Column:
+    """A whole number, or null where there is none."""
+    return F.try_to_number(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("S999999999")).cast("int")
+
+
+def collection_name(index_id: Column) -> Column:
+    """A name for an index's collection: safe characters, at most 60."""
+    safe = F.regexp_replace(F.regexp_replace(index_id, "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.substring(F.concat(F.lit("rag_"), F.when(safe == "", "default").otherwise(safe)), 1, 60)

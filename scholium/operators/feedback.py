@@ -20,12 +20,10 @@ from ..session import cut
 ACTIONS = (("keep", "不要合并|保留|留下|单独"), ("remove", "删除|移除|去掉|不要"), ("split", "拆分|拆开|拆成|分成|分为"), ("merge", "合并|并入|归并"))
 # Words that are no part of a node's name.
 COMMAND_WORDS = "为什么|为何|原因|解释|依据|觉得|认为|应该|不应该|它们|他们|不是|同一个|这个|那个|请|把|将|节点|概念|知识点|保留|删除|移除|去掉|拆分|拆开|拆成|分成|分为|合并|并入|归并|不要|单独|了|吗|呢"
+# Words that ask for an explanation, and the marks between and around names.
 EXPLAIN = "为什么|为何|原因|解释|怎么判定|依据|凭什么"
 _separators = re.compile(r"\s*(?:、|,|，|/|和|与|及|\+)\s*")
 _edges = " ：:，,。？！?；;"
-#: More nodes than this are not named by one command; their ids stay in a DataFrame all the same.
-LISTED = 1_000
-
 
 @dataclass
 class Graph:
@@ -33,7 +31,9 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
-    log: list[tuple[str, str, list[str]]] = field(default_factory=list)
+    #: (action, sentence, number of nodes) of each applied command; the nodes themselves stand in decisions.
+    log: list[tuple[str, str, int]] = field(default_factory=list)
+    decisions: DataFrame | None = None
     unapplied: list[str] = field(default_factory=list)
 
 
@@ -106,11 +106,21 @@ def apply(graph: Graph, text: str) -> Graph:
         if done is None:
             graph = replace(graph, unapplied=[*graph.unapplied, sentence])
         else:
-            ids = [r["node_id"] for r in found.select("node_id").orderBy("t", "node_id").limit(LISTED).collect()]
-            graph = Graph(cut(done.nodes), cut(done.edges), [*graph.log, (kind, sentence, ids)], graph.unapplied)
+            said = decided(found, kind, sentence, len(graph.log) + 1)
+            made = said if graph.decisions is None else graph.decisions.unionByName(said)
+            graph = Graph(cut(done.nodes), cut(done.edges), [*graph.log, (kind, sentence, found.count())], made, graph.unapplied)
     return graph
 
 
+def decided(found: DataFrame, kind: str, sentence: str, number: int) -> DataFrame:
+    """A row for each node that a command decides on, as decisions in rows: a command may name any number of nodes."""
+    first = F.min_by("node_id", F.struct("t", "node_id"))
+    result = found.agg(first.alias("_first"), F.min_by("name", F.struct("t", "node_id")).alias("canonical_name"))
+    one = result.select(F.lit(f"feedback_{number:03d}").alias("decision_id"), F.lit(kind).alias("action"), F.lit(sentence).alias("reason"), "canonical_name", (F.col("_first") if kind == "merge" else F.lit(None).cast("string")).alias("result_node"))
+    rows = found.select(F.lit(f"feedback_{number:03d}").alias("decision_id"), F.col("node_id").alias("affected_node"))
+    return rows.join(one, "decision_id").withColumn("score", F.lit(1.0)).withColumn("confidence", F.lit(1.0))
+
+
 def _keep(graph: Graph, sentence: str, found: DataFrame) -> Graph:
     marked = graph.nodes.join(found.select("node_id", F.lit(True).alias("_m")), "node_id", "left")
     return replace(graph, nodes=marked.withColumn("teacher_feedback", F.when(F.col("_m"), "keep").otherwise(F.col("teacher_feedback"))).drop("_m"))
@@ -171,12 +181,25 @@ def _merge(graph: Graph, sentence: str, found: DataFrame) -> Graph | None:
     return replace(graph, nodes=nodes, edges=distinct_edges(edges))
 
 
-def rank_decisions(decisions: DataFrame, question: str, k: int = 3) -> DataFrame:
-    """The decisions that a question is about: 2 for the action it names, 4 for each name in the decision's text."""
+def source_names(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(decision_id, sources): the names that the nodes of a decision have in their own graphs; ``nodes`` has (qid, name)."""
+    none = F.array().cast("array<string>")
+    named = decisions.select("decision_id", F.explode(F.array_distinct(F.concat(F.coalesce("affected_nodes", none), F.coalesce("node_ids", none)))).alias("qid"))
+    return named.join(nodes.select("qid", "name"), "qid").groupBy("decision_id").agg(F.array_sort(F.collect_set("name")).alias("sources"))
+
+
+def rank_decisions(decisions: DataFrame, question: str, k: int = 3, sources: DataFrame | None = None) -> DataFrame:
+    """The decisions that a question is about: 2 for the action it names, 4 for each name in the decision's text.
+
+    ``sources`` of source_names() let a question name what was merged away.
+    """
+    # Words of a question that name an action.
     wanted = [a for a, words in (("merge", "合并|归并|并入"), ("remove", "删除|移除|去掉"), ("keep", "保留|单独|不应该")) if re.search(words, question)]
     none = F.array().cast("array<string>")
     names = targets(question)
-    text = T.name_key(F.concat_ws(" ", "canonical_name", "reason", "result_node", F.array_join(F.coalesce("affected_nodes", none), " "), F.array_join(F.coalesce("node_ids", none), " ")))
+    told = decisions.join(sources, "decision_id", "left") if sources is not None else decisions.withColumn("sources", none)
+    text = T.name_key(F.concat_ws(" ", "canonical_name", "reason", "result_node", F.array_join(F.coalesce("affected_nodes", none), " "), F.array_join(F.coalesce("node_ids", none), " "), F.array_join(F.coalesce("sources", none), " ")))
+    decisions = told
     score = F.when(F.col("action").isin(*wanted), 2).otherwise(0) if wanted else F.lit(0)
     rows = decisions.withColumn("_t", text)
     for name in names:
@@ -203,8 +226,8 @@ def respond(graph: Graph, decisions: DataFrame, message: str) -> tuple[Graph, st
         return graph, "请输入反馈。"
     if wants_explanation(message):
         return graph, explain(decisions, message)
-    after = apply(replace(graph, log=[], unapplied=[]), message)
+    after = apply(replace(graph, log=[], decisions=None, unapplied=[]), message)
     if not after.log:
         return graph, explain(decisions, message)
-    said = "；".join(f"{kind}：{len(ids)} 个节点" for kind, _, ids in after.log)
+    said = "；".join(f"{kind}：{n} 个节点" for kind, _, n in after.log)
     return after, said + (f"。未处理：{'；'.join(after.unapplied)}" if after.unapplied else "")

@@ -47,3 +47,12 @@ def quality(textbooks: DataFrame, chapters: DataFrame) -> DataFrame:
     average = F.when(F.col("chapter_count") > 0, F.round(F.try_divide("total_chars", "chapter_count"), 2)).otherwise(0.0)
     out = rows.withColumn("avg_chars_per_chapter", average).withColumn("score", F.greatest(F.lit(0.0), F.round(score, 2))).withColumn("warnings", warnings)
     return out.withColumn("level", F.when(F.col("score") >= 0.85, "good").when(F.col("score") >= 0.6, "warning").otherwise("poor"))
+
+
+def upload_quality(uploads: DataFrame, textbooks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The quality of each upload (filename, status, error, textbook_id): failed ones score 0 and say why."""
+    score = quality(textbooks, chapters).select("textbook_id", F.col("score").alias("_s"), F.col("level").alias("_l"), F.col("warnings").alias("_w"))
+    rows = uploads.join(score, "textbook_id", "left")
+    failed = (F.col("status") != "completed") | F.col("_s").isNull()
+    said = F.array(F.coalesce("error", F.lit("not parsed, nothing to keep")))
+    return rows.select(*uploads.columns, F.when(failed, 0.0).otherwise(F.col("_s")).alias("score"), F.when(failed, "failed").otherwise(F.col("_l")).alias("level"), F.when(failed, said).otherwise(F.col("_w")).alias("warnings"))

@@ -58,6 +58,21 @@ def as_chapters(parts: DataFrame) -> DataFrame:
 # -- extracted pages ----------------------------------------------------------------------------------------------------
 
 
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """(.., line_ord, text, size, bold): lines of page blocks whose column ``lines`` is array<struct<spans: array<struct<text, size, font>>>>.
+
+    A line is as large as its largest span and bold if any span is; line ends within a span open further lines; blank ones go.
+    """
+    rows = blocks.select(*[c for c in blocks.columns if c != "lines"], F.posexplode("lines").alias("_l", "_line"))
+    spans_ = F.coalesce(F.col("_line.spans"), F.array().cast(rows.schema["_line"].dataType["spans"].dataType))
+    raw = F.array_join(F.transform(spans_, lambda x: T.blank_to_empty(x["text"])), "")
+    size = F.coalesce(F.array_max(F.transform(spans_, lambda x: x["size"].cast("double"))), F.lit(0.0))
+    bold = F.exists(spans_, lambda x: F.lower(T.blank_to_empty(x["font"])).contains("bold"))
+    cut = rows.withColumn("size", size).withColumn("bold", bold).select("*", F.posexplode(F.split(raw, T.LINE_END)).alias("_i", "_t"))
+    cut = cut.withColumn("text", T.clean_extracted(F.col("_t"))).where("text <> ''")
+    return cut.withColumn("line_ord", F.col("_l") * 1_000 + F.col("_i")).drop("_l", "_line", "_i", "_t")
+
+
 def repeated_margins(lines: DataFrame) -> DataFrame:
     """(textbook_id, text) of the running headers and footers in the first 40 pages: margin lines on a quarter of them."""
     sampled = lines.where("page <= 40")

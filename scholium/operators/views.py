@@ -117,3 +117,13 @@ def file_size(bytes_: Column) -> Column:
         .when(bytes_ < 1024 * 1024, F.format_string("%.1f KB", bytes_ / 1024.0))
         .otherwise(F.format_string("%.1f MB", bytes_ / 1048576.0))
     )
+
+
+def graph_view(nodes: DataFrame, titles: DataFrame) -> DataFrame:
+    """Nodes as a reader's graph shows them: label, weight, source, description; missing values have stand-ins."""
+    rows = nodes.join(titles.select("textbook_id", F.col("title").alias("source_title")), "textbook_id", "left")
+    weight = F.coalesce("frequency", F.col("source_count") if "source_count" in nodes.columns else F.lit(1), F.lit(1))
+    return rows.select(
+        "textbook_id", F.col("node_id").alias("id"), F.col("name").alias("label"), weight.alias("frequency"), F.coalesce("source_textbook_id", "textbook_id").alias("source_id"), "source_title",
+        F.coalesce("chapter_title", "chapter_id", F.lit("")).alias("chapter_title"), T.blank_to_empty(F.col("definition")).alias("description"), F.col("node_type").alias("type"), "category", "level",
+    )

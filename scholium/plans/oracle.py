@@ -203,6 +203,23 @@ def _kind(c: str) -> str:
     return f"case when {heading(c)} in ('', '正文') then 'front' when {level(c)} = 'primary' then 'level1' when {level(c)} = 'secondary' then 'level2' else 'other' end"
 
 
+TOKENS = """case when coalesce({0}, '') = '' then 0 else greatest(1, round_even(length(regexp_replace({0}, '[^一-鿿]+', '', 'g')) * 0.7::double + len(regexp_extract_all({0}, '[a-zA-Z0-9_]+')) * 1.1::double + greatest(0, length({0}) - length(regexp_replace({0}, '[^一-鿿]+', '', 'g')) - length(regexp_replace({0}, '[^a-zA-Z0-9_]+', '', 'g'))) * 0.15::double, 0))::int end"""
+
+_PLANS = f"""
+{_sources(24)},
+ num as (select *, row_number() over (order by textbook_id, rank) - 1 as i from src),
+ slots as (select 'factual' as question_type, 0 as o, unnest(range(8)) as j union all select 'reasoning', 1, unnest(range(6)) union all select 'comparative', 2, unnest(range(5))),
+ single as (select question_type, o, j, [source_id] as source_ids from slots join num on num.i = slots.j % (select count(*) from src)),
+ tk as (select source_id, textbook_id, list_distinct({terms('title')}) as t, list_distinct({terms('substring(excerpt, 1, 220)')}) as e from src),
+ jac as (select a.source_id as l, b.source_id as r, len(list_intersect(a.t, b.t)) as ti, len(list_distinct(list_concat(a.t, b.t))) as tu, len(list_intersect(a.e, b.e)) as ei, len(list_distinct(list_concat(a.e, b.e))) as eu
+   from tk a join tk b on a.source_id < b.source_id and a.textbook_id <> b.textbook_id),
+ sim as (select l, r, round((case when tu = 0 then 0.0 else ti::double / tu end) * 0.7 + (case when eu = 0 then 0.0 else ei::double / eu end) * 0.3, 4) as score from jac),
+ best as (select l, r, row_number() over (order by score desc, l, r) - 1 as j from sim where score >= 0.16),
+ every as (select * from single union all select 'cross_textbook', 3, j, [l, r] from best where j < 5),
+ pl as (select 'plan_' || lpad((row_number() over (order by o, j))::varchar, 3, '0') as plan_id, question_type, case question_type when 'factual' then 'easy' when 'cross_textbook' then 'hard' else 'medium' end as difficulty, source_ids from every)
+"""
+
+
 # -- names compared by compatibility form: DuckDB has none, so a table of characters is made by rule -----------------------
 
 
@@ -304,6 +321,31 @@ _MERGED = f"""
 """
 
 
+_COMMANDED = f"""
+{_compatibility()}, n as (select *, textbook_id || ':' || node_id as qid from {NODES}),
+ {_compatible('cn', "select qid as id, coalesce(name, '') as t from n")},
+ al as (select qid, unnest(aliases) as a, generate_subscripts(aliases, 1) as i from n),
+ {_compatible('ca', "select qid || '#' || i as id, coalesce(a, '') as t from al")},
+ k as (select qid, name, {_key('cn.t')} as k from n join cn on cn.id = qid),
+ own as (select qid, k as x from k union select qid, {_key('ca.t')} from al join ca on ca.id = qid || '#' || i),
+ w(step, t, x) as (values (1, 0, 'co2敏感血小板'), (2, 0, '未命名'), (3, 0, '骨的生长'), (3, 1, 'lpkα信号')),
+ gone as (select distinct qid from own where x = '未命名'),
+ left_ as (select * from own where qid not in (select qid from gone)),
+ e1 as (select step, t, left_.qid from w join left_ using (x)),
+ e2 as (select w.step, w.t, k.qid from w join k on k.k <> '' and (contains(k.k, w.x) or contains(w.x, k.k)) where not exists (select 1 from e1 where e1.step = w.step and e1.t = w.t) and k.qid not in (select qid from gone)),
+ f as (select step, qid, min(t) as t from (select * from e1 union all select * from e2) group by 1, 2),
+ base as (select qid from f where step = 3 order by t, qid limit 1)
+"""
+
+
+_CONFLICTS = f"""
+ us as (select *, row_number() over (order by textbook_id, node_ord, qid) as o from nd where length(norm) >= 2 and not vacant and length(definition) >= 20 and not regexp_matches(norm, '^第[一二三四五六七八九十百千万零〇两\\d]+([章节篇编部讲]|节概述)\\z')
+   and not regexp_matches(norm, '概述|临床病例分析|本章小结|学习目标|复习题') and norm not in ('正文', '目录', '前言', '绪论', '附录')),
+ pr as (select a.norm as normalized_name, a.qid as left_id, b.qid as right_id, round({_JACCARD.format('tokens')}, 4) as token_jaccard, round({_JACCARD.format('said')}, 4) as definition_jaccard from us a join us b on a.norm = b.norm and a.textbook_id <> b.textbook_id and a.o < b.o),
+ cf_ as (select * from pr where token_jaccard > 0.6 and definition_jaccard < 0.3)
+"""
+
+
 SQL: dict[str, str] = {
     "chapter_quality": f"""
 with c as {CHAPTERS}, t as {BOOKS},
@@ -436,18 +478,8 @@ select question_id, chunk_id, round(score, 4) as score, rank::int as rank from r
 with m as ({_search('keyword')}), c as {CHUNKS}
 select question_id, trim({first_sentence('text')} || ' ' || '[' || concat_ws(', ', textbook_title, chapter_title, {pages('page_start', 'page_end')}) || ']') as answer from m join c using (chunk_id) where rank = 1""",
     "eval_sources": f"with {_sources(24)} select source_id, textbook_id, chapter_id, rank::int as rank, sha1(excerpt) as excerpt_hash from src",
-    "eval_plans": f"""
-with {_sources(24)},
- num as (select *, row_number() over (order by textbook_id, rank) - 1 as i from src),
- slots as (select 'factual' as question_type, 0 as o, unnest(range(8)) as j union all select 'reasoning', 1, unnest(range(6)) union all select 'comparative', 2, unnest(range(5))),
- single as (select question_type, o, j, [source_id] as source_ids from slots join num on num.i = slots.j % (select count(*) from src)),
- tk as (select source_id, textbook_id, list_distinct({terms('title')}) as t, list_distinct({terms('substring(excerpt, 1, 220)')}) as e from src),
- jac as (select a.source_id as l, b.source_id as r, len(list_intersect(a.t, b.t)) as ti, len(list_distinct(list_concat(a.t, b.t))) as tu, len(list_intersect(a.e, b.e)) as ei, len(list_distinct(list_concat(a.e, b.e))) as eu
-   from tk a join tk b on a.source_id < b.source_id and a.textbook_id <> b.textbook_id),
- sim as (select l, r, round((case when tu = 0 then 0.0 else ti::double / tu end) * 0.7 + (case when eu = 0 then 0.0 else ei::double / eu end) * 0.3, 4) as score from jac),
- best as (select l, r, row_number() over (order by score desc, l, r) - 1 as j from sim where score >= 0.16),
- every as (select * from single union all select 'cross_textbook', 3, j, [l, r] from best where j < 5)
-select 'plan_' || lpad((row_number() over (order by o, j))::varchar, 3, '0') as plan_id, question_type, case question_type when 'factual' then 'easy' when 'cross_textbook' then 'hard' else 'medium' end as difficulty, source_ids from every""",
+    "eval_plans": f"with {_PLANS} select * from pl",
+
     "entity_groups": f"with recursive {_GROUPS} select qid, component from gr",
     "integrated_nodes": f"with recursive {_MERGED} select node_id, name, said as definition, source_count from kept",
     "integrated_edges": f"""
@@ -464,31 +496,42 @@ select 'remove' as action, null as result_node, name as canonical_name, 1.0::dou
 union all select 'merge', node_id, name, score, score, 'equivalent nodes' from me left join mb using (component) where source_count > 1
 union all select 'keep', node_id, name, coalesce(near, 0), round((1 - least(coalesce(near, 0), 0.72) / 0.72::double)::varchar::decimal(38, 20), 4)::double, case when coalesce(near, 0) >= 0.48 then 'weakly similar' else 'nothing similar' end from me left join nb on nb.q = component where source_count = 1
 union all select 'remove', null, name, 0.72, 0.72, 'character budget' from me where node_id not in (select node_id from kept)""",
-    "definition_conflicts": f"""
-with {_PREPARED},
- us as (select *, row_number() over (order by textbook_id, node_ord, qid) as o from nd where length(norm) >= 2 and not vacant and length(definition) >= 20 and not regexp_matches(norm, '^第[一二三四五六七八九十百千万零〇两\\d]+([章节篇编部讲]|节概述)\\z')
-   and not regexp_matches(norm, '概述|临床病例分析|本章小结|学习目标|复习题') and norm not in ('正文', '目录', '前言', '绪论', '附录')),
- pr as (select a.norm as normalized_name, a.qid as left_id, b.qid as right_id, round({_JACCARD.format('tokens')}, 4) as token_jaccard, round({_JACCARD.format('said')}, 4) as definition_jaccard from us a join us b on a.norm = b.norm and a.textbook_id <> b.textbook_id and a.o < b.o)
-select * from pr where token_jaccard > 0.6 and definition_jaccard < 0.3""",
+    "definition_conflicts": f"with {_PREPARED}, {_CONFLICTS} select * from cf_",
+
     "decision_ranking": f"""
 with {_compatibility()}, d as {DECISIONS},
  {_compatible('ct', "select decision_id as id, concat_ws(' ', canonical_name, reason, result_node, array_to_string(coalesce(affected_nodes, []), ' '), array_to_string(coalesce(node_ids, []), ' ')) as t from d")},
  m as (select d.*, (action = 'merge')::int * 2 + case when contains({_key('ct.t')}, 'lpkα信号') or contains('lpkα信号', {_key('ct.t')}) then 4 else 0 end as match from d join ct on ct.id = decision_id)
 select decision_id, match, confidence from m where match > 0 order by match desc, confidence desc, score desc, decision_ord limit 10""",
-    "feedback_applied": f"""
-with {_compatibility()}, n as (select *, textbook_id || ':' || node_id as qid from {NODES}),
- {_compatible('cn', "select qid as id, coalesce(name, '') as t from n")},
- al as (select qid, unnest(aliases) as a, generate_subscripts(aliases, 1) as i from n),
- {_compatible('ca', "select qid || '#' || i as id, coalesce(a, '') as t from al")},
- k as (select qid, name, {_key('cn.t')} as k from n join cn on cn.id = qid),
- own as (select qid, k as x from k union select qid, {_key('ca.t')} from al join ca on ca.id = qid || '#' || i),
- w(step, t, x) as (values (1, 0, 'co2敏感血小板'), (2, 0, '未命名'), (3, 0, '骨的生长'), (3, 1, 'lpkα信号')),
- gone as (select distinct qid from own where x = '未命名'),
- left_ as (select * from own where qid not in (select qid from gone)),
- e1 as (select step, t, left_.qid from w join left_ using (x)),
- e2 as (select w.step, w.t, k.qid from w join k on k.k <> '' and (contains(k.k, w.x) or contains(w.x, k.k)) where not exists (select 1 from e1 where e1.step = w.step and e1.t = w.t) and k.qid not in (select qid from gone)),
- f as (select step, qid, min(t) as t from (select * from e1 union all select * from e2) group by 1, 2),
- base as (select qid from f where step = 3 order by t, qid limit 1)
-select k.qid as node_id, name, case when k.qid in (select qid from base) then 'merge' when k.qid in (select qid from f where step = 1) then 'keep' end as teacher_feedback from k
-where k.qid not in (select qid from gone) and (k.qid not in (select qid from f where step = 3) or k.qid in (select qid from base))""",
+    "feedback_applied": f"with {_COMMANDED} select k.qid as node_id, name, case when k.qid in (select qid from base) then 'merge' when k.qid in (select qid from f where step = 1) then 'keep' end as teacher_feedback from k where k.qid not in (select qid from gone) and (k.qid not in (select qid from f where step = 3) or k.qid in (select qid from base))",
+
+    "eval_dataset": rf"""
+with {_PLANS},
+ ct as (select plan_id, question_type, difficulty, i as pos, source_id from (select *, unnest(source_ids) as source_id, generate_subscripts(source_ids, 1) as i from pl)),
+ so as (select ct.*, src.title as chapter, src.excerpt, b.title as book, {strip(r"array_to_string(list_transform(list_slice(regexp_extract_all(src.excerpt, '[^。！？!?；;\n]+[。！？!?；;]?'), 1, 1), lambda x: " + strip('x') + "), ' ')")} as said from ct join src using (source_id) left join {BOOKS} b on b.textbook_id = src.textbook_id),
+ g as (select plan_id, question_type, difficulty, arg_min(coalesce(book, ''), pos) as b1, arg_min(coalesce(chapter, ''), pos) as c1, arg_max(coalesce(book, ''), pos) as b2, arg_min(excerpt, pos) as e1, count(*) as citations, substring(trim(string_agg(said, ' ' order by pos)), 1, 220) as answer from so group by all)
+select replace(plan_id, 'plan', 'q') as question_id, question_type, difficulty, citations::int as citations, case when answer <> '' then answer else substring(e1, 1, 180) end as expected_answer,
+ case question_type when 'factual' then '根据《' || b1 || '》中“' || c1 || '”的内容，请概括该知识点的核心定义或要点。' when 'reasoning' then '根据《' || b1 || '》中“' || c1 || '”的片段，概括其中描述的机制、原因或后果。'
+  else '结合《' || b1 || '》和《' || b2 || '》相关片段，比较两段内容的联系与差异。' end as question from g""",
+    "requested_textbooks": f"""
+select ord, i.textbook_id, b.title, b.textbook_id is not null as found from (values (1, 'book_02'), (2, 'no_such_book'), (3, 'book_00'), (4, 'book_01')) i(ord, textbook_id) left join {BOOKS} b using (textbook_id)""",
+    "query_tokens": """
+select question_id, TOKQ as input_tokens, TOKA as output_tokens, (TOKQ) + (TOKA) as total_tokens from eval_items""".replace("TOKQ", TOKENS.format("question")).replace("TOKA", TOKENS.format("expected_answer")),
+    "index_job": f"""
+select 'queued' as status, (select count(distinct textbook_id) from {CHAPTERS}) as textbook_count, (select count(*) from {CHAPTERS}) as chapter_count,
+ coalesce((select sum(greatest(1, ceil((length({body('content')}) - 80) / 720.0)))::bigint from {CHAPTERS} where not {low_chapter('title', 'content')} and length({body('content')}) > 0), 0) as estimated_chunk_count""",
+    "decision_sources": f"""
+with x as (select decision_id, unnest(list_distinct(list_concat(coalesce(affected_nodes, []), coalesce(node_ids, [])))) as qid from {DECISIONS}),
+ y as (select distinct decision_id, name from x join {NODES} n on n.textbook_id || ':' || n.node_id = x.qid) select decision_id, string_agg(name, '|' order by name) as sources from y group by 1""",
+    "graph_view": f"""
+select n.textbook_id, node_id as id, name as label, coalesce(frequency, 1) as frequency, coalesce(source_textbook_id, n.textbook_id) as source_id, b.title as source_title, coalesce(chapter_title, chapter_id, '') as chapter_title, coalesce(definition, '') as description,
+ node_type as type, category, level from {NODES} n left join {BOOKS} b on b.textbook_id = n.textbook_id""",
+    "node_conflicts": f"""
+with recursive {_MERGED}, {_CONFLICTS},
+ nc as (select distinct mp.node_id, left_id, right_id, left_id || '|' || right_id as cid from (select unnest([left_id, right_id]) as qid, left_id, right_id from cf_) join mp using (qid) where mp.node_id in (select node_id from kept))
+select node_id, count(*)::int as conflicts, arg_min(left_id, cid) as left_id, arg_min(right_id, cid) as right_id from nc group by 1""",
+    "feedback_decisions": f"""
+with {_COMMANDED}
+select 'feedback_' || lpad(f.step::varchar, 3, '0') as decision_id, case f.step when 1 then 'keep' when 2 then 'remove' else 'merge' end as action, f.qid as affected_node, case when f.step = 3 then (select qid from base) end as result_node,
+ first_value(k.name) over (partition by f.step order by f.t, f.qid) as canonical_name from (select * from f where step <> 2 union all select 2, qid, 0 from gone) f join k using (qid)""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, feedback, graphs, integration, quality, retrieval, segments, views
+from ..operators import datasets, evaluation, feedback, graphs, integration, quality, retrieval, segments, views
 from ..operators.tables import KEYS, latest
 from ..session import cut, table
 from ..sources import store
@@ -238,11 +238,57 @@ def integration_stats(spark: S, d: str) -> D:
 
 def feedback_applied(spark: S, d: str) -> D:
     """The merged view of the graph after four commands."""
+    after = _commanded(spark, d)
+    return after.nodes.select("node_id", "name", "teacher_feedback")
+
+
+def eval_dataset(spark: S, d: str) -> D:
+    """Questions with fixed wordings over planned sources, with their expected answers and the number of citations."""
+    items, _ = datasets.dataset(_t(spark, d, "chapters"), 24, _t(spark, d, "textbooks"))
+    return items.select("question_id", "question", "question_type", "difficulty", "expected_answer", F.size("expected_citations").alias("citations"))
+
+
+def requested_textbooks(spark: S, d: str) -> D:
+    """Textbooks asked for by id, in order, with those that aren't stored."""
+    ids = spark.createDataFrame([(1, "book_02"), (2, "no_such_book"), (3, "book_00"), (4, "book_01")], "ord int, textbook_id string")
+    return datasets.requested(_t(spark, d, "textbooks"), ids).select("ord", "textbook_id", "title", "found")
+
+
+def query_tokens(spark: S, d: str) -> D:
+    return datasets.token_usage(table(spark, d, "eval_items"))
+
+
+def index_job(spark: S, d: str) -> D:
+    chapters = _t(spark, d, "chapters")
+    return datasets.index_job(chapters, segments.chunk_estimate(chapters)).drop("error")
+
+
+def decision_sources(spark: S, d: str) -> D:
+    nodes = _t(spark, d, "nodes").select(F.concat_ws(":", "textbook_id", "node_id").alias("qid"), "name")
+    return feedback.source_names(_t(spark, d, "decisions"), nodes).select("decision_id", F.array_join("sources", "|").alias("sources"))
+
+
+def graph_view(spark: S, d: str) -> D:
+    return views.graph_view(_t(spark, d, "nodes"), _t(spark, d, "textbooks"))
+
+
+def node_conflicts(spark: S, d: str) -> D:
+    """For each merged node that is kept, how many definitions of it disagree, and the first such pair."""
+    done = _integrated(spark, d)
+    out = integration.node_conflicts(done.conflicts, done.node_map, done.nodes)
+    return out.select("node_id", F.size("conflicts").alias("conflicts"), F.col("conflicts")[0]["left_id"].alias("left_id"), F.col("conflicts")[0]["right_id"].alias("right_id"))
+
+
+def _commanded(spark: S, d: str) -> feedback.Graph:
     none = F.lit(None).cast("string")
     nodes = views.qualified(_t(spark, d, "nodes"), _t(spark, d, "edges"))[0].select("node_id", "name", "definition", "aliases", none.alias("teacher_feedback"), none.alias("split_from"))
     edges = views.qualified(_t(spark, d, "nodes"), _t(spark, d, "edges"))[1].select("edge_id", "source", "target", "relation", "weight")
-    after = feedback.apply(feedback.Graph(nodes, edges), "保留“CO₂ 敏感血小板”。删除“未命名”。合并“骨的生长”和“LPKα 信号”")
-    return after.nodes.select("node_id", "name", "teacher_feedback")
+    return feedback.apply(feedback.Graph(nodes, edges), "保留“CO₂ 敏感血小板”。删除“未命名”。合并“骨的生长”和“LPKα 信号”")
+
+
+def feedback_decisions(spark: S, d: str) -> D:
+    """What the commands decided, a row for each node."""
+    return _commanded(spark, d).decisions.select("decision_id", "action", "affected_node", "result_node", "canonical_name")
 
 
 QUERIES = {
@@ -252,5 +298,6 @@ QUERIES = {
         citation_labels, token_estimates, embedding_texts, textbook_signatures, low_signal_chapters, graph_nodes, graph_edges, distinct_edges, node_degrees, graph_statistics, graph_union,
         ngram_search, vector_search, hybrid_search, search_answers, eval_coverage, eval_sources, eval_plans, eval_leaderboard, decision_ranking, decision_counts, chapter_groups,
         node_layout, node_search, visible_edges, chat_history, event_windows, definition_conflicts, entity_groups, integrated_nodes, integrated_edges, integration_decisions, integration_stats, feedback_applied,
+        eval_dataset, requested_textbooks, query_tokens, index_job, decision_sources, graph_view, node_conflicts, feedback_decisions,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators.segments import boundary_chunks
+from ..session import cut
 
 
 def signatures(textbooks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -46,19 +47,37 @@ def delete(store: DataFrame, textbook_id: str) -> DataFrame:
     return store.where(F.col("textbook_id") != textbook_id)
 
 
+def listed(store: DataFrame) -> DataFrame:
+    """What the store holds, newest first where rows say when."""
+    by = [F.desc(c) for c in ("stored_at",) if c in store.columns]
+    return store.orderBy(*by, "textbook_id")
+
+
+def get(store: DataFrame, textbook_id: str) -> DataFrame:
+    """The row of one textbook; an unknown one raises."""
+    found = store.where(F.col("textbook_id") == textbook_id)
+    if found.isEmpty():
+        raise LookupError(f"not stored: {textbook_id}")
+    return found
+
+
+def clear(spark: SparkSession, folder: str) -> bool:
+    """Remove an index or a store; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def build_index(chapters: DataFrame, folder: str, size: int = 800, overlap: int = 80, model: str = "none") -> DataFrame:
     """Chunks as parquet by textbook with a manifest; textbooks whose fingerprint is in the manifest aren't cut again."""
     spark = chapters.sparkSession
     now = fingerprint(chapters, size, overlap, model)
     known = manifest(spark, folder)
-    todo = now.join(known.select("textbook_id", "fingerprint"), ["textbook_id", "fingerprint"], "left_anti").persist()
+    todo = cut(now.join(known.select("textbook_id", "fingerprint"), ["textbook_id", "fingerprint"], "left_anti"))
     if not todo.isEmpty():
         chunks = boundary_chunks(chapters.join(todo.select("textbook_id"), "textbook_id", "left_semi"), size, overlap)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        chunks.repartition("textbook_id").write.mode("overwrite").partitionBy("textbook_id").parquet(f"{folder}/chunks")
-        merged = known.join(todo.select("textbook_id"), "textbook_id", "left_anti").unionByName(todo)
-        rows = merged.collect()  # one row a textbook, strings of 64 characters
-        spark.createDataFrame(rows, "textbook_id string, fingerprint string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+        chunks.repartition("textbook_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("textbook_id").parquet(f"{folder}/chunks")
+        merged = cut(known.join(todo.select("textbook_id"), "textbook_id", "left_anti").unionByName(todo))  # read before it is overwritten
+        merged.write.mode("overwrite").json(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/chunks")
 
 

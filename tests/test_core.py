@@ -235,3 +235,140 @@ def test_registered_leaderboard_takes_the_whole_grid(monkeypatch):
     monkeypatch.setattr(queries, "_titled", lambda *a: None)
     monkeypatch.setattr(evaluation, "leaderboard", lambda items, chapters, configs=evaluation.GRID: configs)
     assert queries.eval_leaderboard(None, "") == evaluation.GRID
+
+
+def test_requested_rows_keep_their_order_and_missing_ids_raise(spark):
+    from scholium.operators import datasets
+
+    rows = spark.createDataFrame([("a", "A"), ("b", "B")], "textbook_id string, title string")
+    ids = spark.createDataFrame([(1, "b"), (2, "zz"), (3, "a")], "ord int, textbook_id string")
+    got = {r["ord"]: (r["title"], r["found"]) for r in datasets.requested(rows, ids).collect()}
+    assert got == {1: ("B", True), 2: (None, False), 3: ("A", True)}
+    with pytest.raises(LookupError, match="zz"):
+        datasets.required(rows, ids)
+    assert [r["title"] for r in datasets.required(rows, ids.where("ord <> 2")).collect()] == ["B", "A"]
+    with pytest.raises(KeyError):
+        datasets.resolved(None, {}, "none")
+
+
+def test_dataset_falls_back_as_a_whole(spark):
+    from scholium.operators import datasets
+
+    text = "这一节说明血管的结构。" * 120
+    rows = [(f"b{b}", c, f"ch_{c}", f"第{c}节 血管的结构", 30, 40, text, len(text)) for b in (1, 2) for c in (1, 2, 3)]
+    chapters = spark.createDataFrame(rows, "textbook_id string, chapter_ord int, chapter_id string, title string, page_start int, page_end int, content string, char_count int")
+    books = spark.createDataFrame([("b1", "甲"), ("b2", None)], "textbook_id string, title string")
+    items, counts = datasets.dataset(chapters, 24, books)
+    made = {r["question_id"]: r for r in items.collect()}
+    assert len(made) == 24 and all(r["expected_answer"] for r in made.values()) and counts.count() > 0
+    some = spark.createDataFrame([(q, "问", "答") for q in list(made)[1:]], "question_id string, question string, expected_answer string")
+    assert {r["notes"] for r in datasets.dataset(chapters, 24, books, some)[0].collect()} == {"fallback-template"}
+    every = spark.createDataFrame([(q, "问", "答") for q in made], "question_id string, question string, expected_answer string")
+    assert {(r["notes"], r["question"]) for r in datasets.dataset(chapters, 24, books, every)[0].collect()} == {("model", "问")}
+
+
+def test_numbering_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from scholium.operators.tables import numbered
+
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 5).alias("n"))
+    got = numbered(rows, ["k"], "place", {"total": F.col("n")}).orderBy("place").collect()
+    assert [r["k"] for r in got] == list(range(500)) and [r["place"] for r in got] == list(range(1, 501))
+    total = 0
+    for r in got:
+        total += r["n"]
+        assert r["total"] == total
+    assert numbered(rows.limit(0), ["k"], "place").count() == 0
+
+
+def test_budget_is_folded_in_order(spark, monkeypatch):
+    from scholium.operators import integration
+
+    rows = [(f"kg_node_{i:04d}", f"name{i}", "d" * (300 if i == 3 else 20 + i), [], 10 - i % 3) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "node_id string, name string, definition string, aliases array<string>, source_count int")
+    edges = spark.createDataFrame([("kg_node_0001", "kg_node_0002")], "source string, target string")
+
+    def brute(budget):
+        degree = {"kg_node_0001": 1, "kg_node_0002": 1}
+        used, out = 0, {}
+        for node, name, said, _, count in sorted(rows, key=lambda r: (-r[4], -degree.get(r[0], 0), r[0])):
+            size = len(name) + len(said)
+            used, taken, at = integration._fitted({"size": size, "name": len(name), "alias": 0, "said": len(said)}, used, budget)
+            if taken:
+                out[node] = said if at is None else said[:at] + "..."
+        return out
+
+    monkeypatch.setattr(integration, "STEP", 2)
+    for budget in (30, 150, 260, 1_000):
+        got = {r["node_id"]: r["definition"] for r in integration.within_budget(nodes, edges, budget).collect()}
+        assert got == brute(budget)
+
+
+def test_stores_and_index(spark, tmp_path):
+    from scholium.sources import store
+
+    chapters = spark.createDataFrame([("b1", 1, "ch_01", "第一章 血管", 20, 30, "血管的结构。" * 200, 1200)], "textbook_id string, chapter_ord int, chapter_id string, title string, page_start int, page_end int, content string, char_count int")
+    folder = str(tmp_path / "index")
+    first = store.build_index(chapters, folder)
+    assert first.count() > 1 and store.manifest(spark, folder).count() == 1
+    both = chapters.unionByName(chapters.selectExpr("'b2' as textbook_id", *chapters.columns[1:]))
+    assert {r[0] for r in store.build_index(both, folder).select("textbook_id").distinct().collect()} == {"b1", "b2"} and store.manifest(spark, folder).count() == 2
+    assert store.clear(spark, folder) and not store.clear(spark, folder) and store.manifest(spark, folder).count() == 0
+    held = spark.createDataFrame([("b1", "s1"), ("b2", "s2")], "textbook_id string, signature string")
+    new = spark.createDataFrame([("b1", "s1"), ("b1", "s3")], "textbook_id string, signature string")
+    after = store.put(held, new)
+    assert after.count() == 3 and store.delete(after, "b2").count() == 2 and store.get(after, "b1").count() == 1
+    with pytest.raises(LookupError):
+        store.get(after, "none")
+
+
+def test_model_connectors_and_small_forms(spark):
+    from pyspark.sql import functions as F
+
+    from scholium.functions import text as T
+    from scholium.operators import quality, segments
+    from scholium.sources import providers
+
+    rows = spark.createDataFrame([("1", "ab"), ("2", "boom"), ("3", "c")], "k string, t string")
+
+    def fails(texts):
+        if "boom" in texts:
+            raise OSError
+        return [[1.0]] * len(texts)
+
+    assert {r["k"]: r["embedding"] for r in providers.embed(rows, "k", "t", fails, batch=1).collect()} == {"1": [1.0], "2": None, "3": [1.0]}
+    replies = providers.ask(rows.withColumn("textbook_id", F.lit("b")), "k", "t", providers.echo)
+    assert replies.where("error is null").count() == 3
+    got = spark.createDataFrame([("12", "a b/c"), (" ", "__"), ("x", "é" * 90)], "n string, i string").select(T.optional_int(F.col("n")), T.collection_name(F.col("i"))).collect()
+    assert [tuple(r) for r in got] == [(12, "rag_a_b_c"), (None, "rag_default"), (None, "rag_default")]
+    blocks = spark.createDataFrame([(1, [([("Cha", 10.0, "Serif"), ("pter 1\nnext", 14.0, "Serif-Bold")],), ([("  ", 9.0, "x")],), (None,)])], "page int, lines array<struct<spans: array<struct<text: string, size: double, font: string>>>>")
+    assert [(r["text"], r["size"], r["bold"]) for r in segments.block_lines(blocks).orderBy("line_ord").collect()] == [("Chapter 1", 14.0, True), ("next", 14.0, True)]
+    uploads = spark.createDataFrame([("f", "failed", "bad bytes", None)], "filename string, status string, error string, textbook_id string")
+    books = spark.createDataFrame([], "textbook_id string, filename string, total_pages int, total_chars int")
+    chapters = spark.createDataFrame([], "textbook_id string, title string, char_count int, page_start int, page_end int")
+    report = quality.upload_quality(uploads, books, chapters).first()
+    assert (report["score"], report["level"], report["warnings"]) == (0.0, "failed", ["bad bytes"])
+
+
+def test_conflicts_of_one_merged_node_are_attached_once(spark):
+    from scholium.operators import integration
+
+    found = spark.createDataFrame([("n", "a", "b", 0.9, 0.1), ("n", "a", "c", 0.9, 0.1)], "normalized_name string, left_id string, right_id string, token_jaccard double, definition_jaccard double")
+    node_map = spark.createDataFrame([("a", "kg1"), ("b", "kg1"), ("c", "kg2")], "qid string, node_id string")
+    kept = spark.createDataFrame([("kg1",)], "node_id string")
+    assert [(r["node_id"], len(r["conflicts"])) for r in integration.node_conflicts(found, node_map, kept).collect()] == [("kg1", 2)]
+
+
+def test_lexical_search_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from scholium.operators import retrieval
+
+    chunks = spark.createDataFrame([("c1", "血管", 30, "血管的结构与功能 blood vessel"), ("c2", None, None, None), ("c3", "", 1, ""), ("c4", "Vessel", 40, "vessel vessel blood")], "chunk_id string, chapter_title string, page_start int, text string")
+    asked = spark.createDataFrame([("q1", "血管的结构"), ("q2", "blood vessel"), ("q3", None), ("q4", "")], "question_id string, question string")
+    pairs = {(r["question_id"], r["chunk_id"]): r for r in retrieval.lexical_pairs(asked, chunks, "hybrid").collect()}
+    assert set(pairs) == {("q1", "c1"), ("q2", "c1"), ("q2", "c4")} and pairs["q1", "c1"]["within"] == 0.15
+    want = chunks.select("chunk_id", F.size(retrieval.T.terms(F.col("text")))).collect()
+    assert {r[0]: r[1] for r in want}["c1"] == len(retrieval._terms("血管的结构与功能 blood vessel"))
+    assert retrieval.lexical_top(asked.limit(0), chunks).count() == 0 and retrieval.lexical_top(asked, chunks.limit(0)).count() == 0
