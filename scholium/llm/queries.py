@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import stage, table
 from . import components, encoding_repair, leakage, neighbours, packing, page_noise, personal_data, splitting, survivors, unicode_forms
@@ -60,6 +61,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_survivors(spark, d).where(F.col("best_key").isNotNull()).select("group_key", F.col("best_key").alias("node_key"))
 
 
+def p4_winners(spark: SparkSession, d: str) -> DataFrame:
+    """What survives of each group with a member that beats all others: that member's own bundles, whole."""
+    won = p4_survivors(spark, d).where(F.col("best_key").isNotNull())
+    return won.select("group_key", F.col("best_key").alias("node_key"), "member_count", "definition", "extractor", "chapter_title", "page_start", "page_end", "source_excerpt", "frequency", "node_type", "level")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     items = splitting.corpus_items(table(spark, d, "chapters"), table(spark, d, "chunks"))
     return splitting.pieces(items, table(spark, d, "size_limits"))
@@ -69,6 +76,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("item_kind", "item_key").distinct()
 
 
+def p5_limits(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of item, how many were cut, and how many pieces or items break a rule: none."""
+    limits = table(spark, d, "size_limits").select("item_kind", "max_size", F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    items = splitting.corpus_items(table(spark, d, "chapters"), table(spark, d, "chunks")).groupBy("item_kind", "item_key").agg(F.max(F.length("text")).alias("length"))
+    pieces = p5_pieces(spark, d).select("item_kind", "item_key", "piece_index", "char_start", "char_end", F.length("text").alias("n")).distinct().join(limits, "item_kind")
+    after = F.lag("char_end").over(Window.partitionBy("item_kind", "item_key").orderBy("piece_index"))
+    rows = pieces.withColumn("_over", F.col("n") > F.col("max_size")).withColumn("_apart", after.isNotNull() & (F.col("char_start") != after - F.col("overlap")))
+    whole = rows.groupBy("item_kind", "item_key").agg(F.count_if("_over").alias("over"), F.count_if("_apart").alias("apart"), F.min("char_start").alias("a"), F.max("char_end").alias("b")).join(items, ["item_kind", "item_key"])
+    return whole.groupBy("item_kind").agg(F.count("*").alias("items"), F.sum("over").alias("pieces_over"), F.sum("apart").alias("wrong_overlaps"), F.count_if((F.col("a") != 0) | (F.col("b") != F.col("length"))).alias("not_covered"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.usable(table(spark, d, "chunk_vectors"), table(spark, d, "chunks"))
 
@@ -154,4 +172,4 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.find(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p2_proof, p3_found, p4_found, p4_survivors, p5_found, p5_pieces, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p8_limits, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_clean, p2_proof, p3_found, p4_found, p4_survivors, p4_winners, p5_found, p5_pieces, p5_limits, p6_found, p6_neighbours, p6_recall, p7_found, p7_restored, p8_packed, p8_report, p8_limits, p9_found, p9_leaks, p9_items, p10_found, p10_redacted)}
