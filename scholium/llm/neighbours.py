@@ -43,8 +43,8 @@ BLOCK = 4_096
 PAIR_LOSS, NEAREST_LOSS = 0.001, 0.01
 #: Similarities of neighbours that are equal so far tie and rank by id.
 DIGITS = 6
-#: Candidates of a query that are compared exactly for the k nearest, for each of the k.
-EXACT = 2
+#: More than six standard errors of a cosine of vectors of one byte a number: what is less than this below the k-th best is compared exactly.
+BYTE_ERROR = 0.02
 #: Lists share a call of the scoring function until they hold about so many rows.
 ROWS_A_CALL = 8_192
 FLOAT = np.float32
@@ -284,37 +284,38 @@ def build_index(vectors: DataFrame, measure) -> tuple[DataFrame, DataFrame, obje
 def candidates(index: DataFrame, queries: DataFrame, quantisers: object, k: int | None, min_similarity: float = -1.0, shortlist: int = 64) -> DataFrame:
     """(q, e, near): hashes of query and entry, and about their similarity, for what the lists of each query hold.
 
-    With k, the shortlist of each list by the tables and of these the EXACT * k best; without, everything that may
-    reach min_similarity.
+    With k, the shortlist of each list by the tables and of these all that may be among the k best; without, everything
+    that may reach min_similarity.
     """
     spark: SparkSession = index.sparkSession
     new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  # both sides come from the index
-    entries = index.select(*new("list", "h", "small", "code"))
-    visits = queries.select(F.explode("lists").alias("list"), *new("h", "small"))
+    cell = F.xxhash64("grp", "list").alias("cell")  # a list of one group
+    entries = index.select(cell, *new("list", "h", "small", "code"))
+    visits = queries.select("grp", F.explode("lists").alias("list"), *new("h", "small")).select(cell, "h", "small")
     # lists longer than a block are cut; all others go whole to a call by their hash
-    size = entries.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("q")), "list")
+    size = entries.groupBy("cell").agg(F.count("*").alias("n")).join(visits.groupBy("cell").agg(F.count("*").alias("q")), "cell")
     size = stage(size, "sizes")
     total = size.agg(F.sum(F.col("n") + F.col("q"))).first()[0] or 0
     calls = max(1, int(total // ROWS_A_CALL))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    hot = size.where((F.col("n") > BLOCK) | (F.col("q") > BLOCK)).select("list", blocks("n").alias("nb"), blocks("q").alias("qb"))
-    own = F.pmod(F.xxhash64("list"), F.lit(calls))
+    hot = size.where((F.col("n") > BLOCK) | (F.col("q") > BLOCK)).select("cell", blocks("n").alias("nb"), blocks("q").alias("qb"))
+    own = F.pmod(F.xxhash64("cell"), F.lit(calls))
 
     def spread(side: DataFrame, mine: str, other: str) -> DataFrame:
-        cut = side.join(hot, "list", "left")
+        cut = side.join(hot, "cell", "left")
         block = F.pmod(F.col("h"), F.coalesce(mine, F.lit(1))).cast("int")
         copy = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
         cut = cut.withColumn("_m", block).withColumn("_o", copy)
         n, q = ("_m", "_o") if mine == "nb" else ("_o", "_m")
-        return cut.withColumn("call", F.when(F.col("nb").isNull(), own).otherwise(-1 - F.pmod(F.xxhash64("list", n, q), F.lit(1 << 62)))).drop("nb", "qb", "_m", "_o")
+        return cut.withColumn("call", F.when(F.col("nb").isNull(), own).otherwise(-1 - F.pmod(F.xxhash64("cell", n, q), F.lit(1 << 62)))).drop("nb", "qb", "_m", "_o")
 
     def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
-            by_list = {key: frame for key, frame in held.groupby("list", sort=False)}
-            for key, some in asked.groupby("list", sort=False):
-                if key in by_list:
-                    out += _score_list(key, some, by_list[key], quantisers.value, k, min_similarity, shortlist)
+            by_cell = {key: frame for key, frame in held.groupby("cell", sort=False)}
+            for key, some in asked.groupby("cell", sort=False):
+                if key in by_cell:
+                    out += _score_list(int(by_cell[key]["list"].iloc[0]), some, by_cell[key], quantisers.value, k, min_similarity, shortlist)
         if not out:
             return pd.DataFrame({"q": np.zeros(0, np.int64), "e": np.zeros(0, np.int64), "near": np.zeros(0, FLOAT)})
         q, e, near = (np.concatenate(c) for c in zip(*out))
@@ -361,8 +362,10 @@ def _score_list(key: int, some: pd.DataFrame, entries: pd.DataFrame, q: Quantise
         else:
             order = np.lexsort((-close, i))
             place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
-            keep = np.zeros(len(i), dtype=bool)
-            keep[order[place < EXACT * k]] = True
+            least = np.full(len(near), -np.inf)
+            at_k = order[place == k - 1]
+            least[i[at_k]] = close[at_k]
+            keep = close >= least[i] - BYTE_ERROR
         rows.append((names[start + i[keep]], ids[j[keep]], close[keep].astype(FLOAT)))
     return rows
 
@@ -383,10 +386,11 @@ def _exact(index: DataFrame, found: DataFrame) -> DataFrame:
 
 def search(index: DataFrame, queries: DataFrame, quantisers: object, k: int) -> DataFrame:
     """(grp, query, id, similarity): the k best other entries of each query row of the index, within its lists."""
-    # groups share the lists: a shortlist is of all groups, so it is taken for each by itself
     found = candidates(index, queries, quantisers, k)
     nearest = Window.partitionBy("q").orderBy(F.desc("near"), "e")
-    some = found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= EXACT * k).select("q", "e")
+    ranked = found.withColumn("_r", F.row_number().over(nearest))
+    least = F.max(F.when(F.col("_r") == k, F.col("near"))).over(Window.partitionBy("q"))
+    some = ranked.withColumn("_k", least).where((F.col("_r") <= k) | (F.col("near") >= F.col("_k") - BYTE_ERROR)).select("q", "e")
     best = Window.partitionBy("grp", "query").orderBy(F.desc(F.round("similarity", DIGITS)), "id")
     return _exact(index, some).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
