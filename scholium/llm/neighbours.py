@@ -217,6 +217,9 @@ def nearest_probes(k: int, loss: float = NEAREST_LOSS):
             if n > 1:
                 q.reach = _visits(_rank_coarse(x[a], q.coarse, own[b] // n), loss / 4, len(q.coarse))
             q.visits = _visits(q.rank(x[a], own[b]), loss, q.lists)
+            # how far below its cosine the tables may put a neighbour, beside how far above they put others
+            off = (x[a] * x[b]).sum(1) - q.estimate(x[a], q.encode(x[b], own[b]), own[b])
+            q.slack = float(np.quantile(off, 1 - loss) - np.quantile(off, 0.25))
 
     return measure
 
@@ -284,7 +287,8 @@ def build_index(vectors: DataFrame, measure) -> tuple[DataFrame, DataFrame, obje
 def candidates(index: DataFrame, queries: DataFrame, quantisers: object, k: int | None, min_similarity: float = -1.0, shortlist: int = 64) -> DataFrame:
     """(q, e, near): hashes of query and entry, and about their similarity, for what the lists of each query hold.
 
-    With k, the shortlist of each list by the tables and of these all that may be among the k best; without, everything
+    With k, what the tables put among the shortlist of a list or within ``slack`` of its k best, and of these all that may be
+    among the k best; without, everything
     that may reach min_similarity.
     """
     spark: SparkSession = index.sparkSession
@@ -343,8 +347,9 @@ def _score_list(key: int, some: pd.DataFrame, entries: pd.DataFrame, q: Quantise
     names, ids = some["h"].to_numpy(), entries["h"].to_numpy()
     off = x @ q.centre(np.array([key]))[0]
     rows = []
-    for start in range(0, len(x), 512):
-        part = slice(start, start + 512)
+    step = int(max(8, min(512, (1 << 18) // len(y))))  # pairs compared at once
+    for start in range(0, len(x), step):
+        part = slice(start, start + step)
         table = q.tables(x[part])
         near = np.repeat(off[part][:, None], len(y), axis=1)
         for m in range(SUBSPACES):  # the tables: the cosine with the coded entry
@@ -352,8 +357,10 @@ def _score_list(key: int, some: pd.DataFrame, entries: pd.DataFrame, q: Quantise
         if k is None:
             i, j = np.nonzero(near >= min_similarity - q.slack)
         else:
-            top = np.argpartition(-near, shortlist - 1, axis=1)[:, :shortlist] if len(y) > shortlist else np.broadcast_to(np.arange(len(y)), near.shape)
-            i, j = np.repeat(np.arange(len(near)), top.shape[1]), top.ravel()
+            n = min(len(y), shortlist)
+            low = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+            at_k = -np.partition(-near, min(len(y), k + 1) - 1, axis=1)[:, min(len(y), k + 1) - 1]
+            i, j = np.nonzero(near >= np.minimum(low, at_k - q.slack)[:, None])
         other = names[start + i] != ids[j]
         i, j = i[other], j[other]
         close = (x[start + i] * y[j]).sum(1)
