@@ -84,11 +84,14 @@ def stem(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    forms = {v: unicodedata.normalize("NFKC", v) for v in values.unique() if v is not None}
+    return values.map(forms)
 
 
 def nfkc(c: Column) -> Column:
-    return _nfkc(c)
+    """The compatibility composed form; ASCII texts stay on the JVM, others are mapped once a distinct value of a batch."""
+    plain = c.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, c).otherwise(_nfkc(F.when(~plain, c)))
 
 
 def name_key(c: Column) -> Column:
