@@ -84,8 +84,8 @@ def stem(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    forms = {v: unicodedata.normalize("NFKC", v) for v in values.unique() if v is not None}
-    return values.map(forms)
+    forms = {v: unicodedata.normalize("NFKC", v) for v in set(values) if isinstance(v, str)}
+    return pd.Series([forms.get(v) for v in values], dtype=object)
 
 
 def nfkc(c: Column) -> Column:
