@@ -227,6 +227,18 @@ def test_nearest_scores_every_node(spark):
     got = integration.nearest(valid, merged)
     assert {tuple(r) for r in got.where("near > 0").collect()} == {tuple(r) for r in exact.collect()} and exact.count() == len(rows)
 
+
+def test_the_audit_log_is_made_when_asked_for(spark, monkeypatch):
+    asked = []
+    whole = integration._decisions
+    monkeypatch.setattr(integration, "_decisions", lambda *a: asked.append(1) or whole(*a))
+    nodes = spark.createDataFrame([("b0", 0, "n", "甲状腺激素", "甲状腺分泌的激素", [], None, None, "concept", "content")], NODES)
+    edges = spark.createDataFrame([], "textbook_id string, source string, target string, relation string, weight double, evidence array<string>")
+    done = integration.integrate(nodes, edges)
+    assert done.stats.first()["source_node_count"] == 1 and not asked
+    assert done.decisions.count() == done.decisions.count() >= 1 and len(asked) == 1
+
+
 def test_registered_leaderboard_takes_the_whole_grid(monkeypatch):
     from scholium.operators import evaluation
     from scholium.plans import queries
