@@ -239,6 +239,20 @@ def test_the_audit_log_is_made_when_asked_for(spark, monkeypatch):
     assert done.decisions.count() == done.decisions.count() >= 1 and len(asked) == 1
 
 
+def test_pairs_left_out_early_never_merge(spark):
+    said = ["thyroid hormone of the gland that acts on the whole body", "thyroid hormone of the gland which acts on the whole body", "no more than a word", ""]
+    names = ["cell wall", "cell wall of bone", "wall", "cell wall", "bone", "bone marrow cell"]
+    rows = [(f"b{i % 5}", i, f"n{i}", n, said[(i * 7) % 4], [], None, None, "concept", "primary" if i % 3 == 0 else "content") for i, n in enumerate(names * 6)]
+    valid = integration.cut(integration.prepared(spark.createDataFrame(rows, NODES)))
+
+    def merging(pairs):
+        scored = integration.scored_pairs(valid, pairs)
+        return {(r["l"], r["r"]) for r in scored.where(F.col("similarity.final_score") >= F.col("threshold")).collect()}
+
+    early, every = integration.candidate_pairs(valid, merging=True), integration.candidate_pairs(valid)
+    assert merging(early) == merging(every) and merging(early) and early.count() < every.count()
+
+
 def test_registered_leaderboard_takes_the_whole_grid(monkeypatch):
     from scholium.operators import evaluation
     from scholium.plans import queries
