@@ -348,3 +348,11 @@ def test_every_window_of_a_document_is_verified():
     mixed = "zq".join(reversed(pieces)) + "".join(chr(0x4E00 + i) for i in range(400))
     assert not index.matches(index.lookup([mixed]))
     assert [index.names[i] for _, i, _ in index.matches(index.lookup([mixed + plain[: int(0.6 * len(plain))]]))] == ["a"]
+
+
+def test_estimates_dont_grow_along_a_chain(spark):
+    # joins multiply the estimated sizes of checkpoints: 2 000 digits after a few rounds, megabytes of them after twenty
+    chain = spark.range(300).selectExpr("format_string('%05d', id) a", "format_string('%05d', id + 1) b")
+    out = components.components(chain)
+    assert out.groupBy("label").count().collect() == [("00000", 301)]
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
