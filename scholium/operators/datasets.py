@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stage
 from .evaluation import candidate_sources, coverage, plans
 
 # The wording of questions made without a model, by question type; %1$s and %3$s are books, %2$s a chapter.
@@ -43,7 +44,7 @@ def dataset(chapters: DataFrame, n: int, textbooks: DataFrame, asked: DataFrame
     whole set falls back to fixed wordings, so that it is of one kind.
     """
     titles = textbooks.select("textbook_id", F.col("title").alias("textbook_title"))
-    sources = candidate_sources(chapters, n).join(titles, "textbook_id", "left")
+    sources = stage(candidate_sources(chapters, n).join(titles, "textbook_id", "left"), "sources")
     items = templated(plans(sources.drop("textbook_title"), n), sources)
     if asked is not None:
         said = asked.where((F.trim("question") != "") & (F.trim("expected_answer") != "")).select("question_id", F.col("question").alias("_q"), F.col("expected_answer").alias("_a"))

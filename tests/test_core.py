@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import scores as S
 from scholium.functions import text as T
-from scholium.operators import components, evaluation, feedback, graphs, integration, segments, views
+from scholium.operators import components, evaluation, feedback, graphs, integration, retrieval, segments, views
 from scholium.operators.tables import latest, upsert
 
 
@@ -398,3 +398,18 @@ def test_lexical_search_against_brute_force(spark):
     want = chunks.select("chunk_id", F.size(retrieval.T.terms(F.col("text")))).collect()
     assert {r[0]: r[1] for r in want}["c1"] == len(retrieval._terms("血管的结构与功能 blood vessel"))
     assert retrieval.lexical_top(asked.limit(0), chunks).count() == 0 and retrieval.lexical_top(asked, chunks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("words", "copies", "k"), [(4, 6, 5), (40, 1, 5), (3, 12, 4)])
+def test_best_cross_pairs_against_all_pairs(spark, words, copies, k):
+    # few titles and many copies (scores of 1), or hardly anything in common (scores below 0.7)
+    rng = random.Random(words)
+    said = lambda n: " ".join(f"w{rng.randrange(words * 3)}" for _ in range(n))
+    texts = [(said(3), said(8)) for _ in range(12)]
+    rows = [(f"b{j % 5}:ch_{i:02d}:{j:02d}", f"b{j % 5}", t, e) for i, (t, e) in enumerate(texts) for j in range(i % 5, i % 5 + copies)]
+    sets = [(s, b, set(t.split()), set(e.split())) for s, b, t, e in sorted(rows)]
+    share = lambda x, y: len(x & y) / len(x | y)
+    scored = [(-round(share(x[2], y[2]) * 0.7 + share(x[3], y[3]) * 0.3, 4), x[0], y[0]) for i, x in enumerate(sets) for y in sets[i + 1 :] if x[1] != y[1]]
+    want = [(left, right) for score, left, right in sorted(scored) if score <= -0.16][:k]
+    out = evaluation.cross_pairs(spark.createDataFrame(rows, "source_id string, textbook_id string, title string, excerpt string"), k)
+    assert [(r["l"], r["r"]) for r in out.orderBy(F.desc("score"), "l", "r").collect()] == want
