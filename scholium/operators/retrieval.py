@@ -28,6 +28,8 @@ TOP_K = 5
 
 #: Questions of a pass over the chunks: what is collected and broadcast at once.
 ASKED = 4_096
+#: Vectors that a block of questions is compared with at once: a few arrays of ASKED times as many numbers are held.
+COMPARED = 512
 _run = re.compile("[一-鿿]+|[a-z0-9]+")
 PAIRS = "question_id string, chunk_id string, keyword double, keyword_recall double, title double, title_recall double, ngram double, within double, low double"
 #: The token kinds that a mode's score is made of; "key" finds the texts that hold a whole question.
@@ -140,18 +142,41 @@ def _measured(batch: pd.DataFrame, asked: _Asked, kinds: tuple[str, ...]) -> pd.
     )
 
 
+def _read(chunks: DataFrame) -> DataFrame:
+    title = T.blank_to_empty(F.col("chapter_title"))
+    return chunks.select(
+        "chunk_id", T.query_key(T.blank_to_empty(F.col("text"))).alias("key"), F.lower(T.blank_to_empty(F.col("text"))).alias("lower"), F.lower(title).alias("head"),
+        T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("low"),
+    )
+
+
+def _ask(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.lower(T.blank_to_empty(F.col("question"))).alias("lower"), T.query_key(F.col("question")).alias("key")).where("question_id is not null")
+
+
+def lexical_of(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, mode: str) -> DataFrame:
+    """The rows of lexical_pairs() for the candidates (question_id, chunk_id) alone: nothing else is measured."""
+    kinds = KINDS[mode]
+    ask = _ask(questions).toDF("question_id", "_lower", "_key")
+    pairs = candidates.select("question_id", "chunk_id").distinct().join(ask, "question_id").join(_read(chunks), "chunk_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = batch.fillna({"low": False, "_lower": "", "_key": ""})
+            for _, rows in some.groupby("question_id", sort=False):
+                asked = rows[["question_id", "_lower", "_key"]].head(1).set_axis(["question_id", "lower", "key"], axis=1)
+                yield _measured(rows, _Asked(asked, kinds), kinds)
+
+    return pairs.mapInPandas(run, PAIRS)
+
+
 def lexical_pairs(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int | None = None, min_score: float = 0.0) -> DataFrame:
     """Every pair with a token of the mode's kinds in common, with all the measures that its score is made of.
 
     With k, of each batch only those that can be among the k best of their question by the mode's score.
     """
     spark, kinds = chunks.sparkSession, KINDS[mode]
-    title = T.blank_to_empty(F.col("chapter_title"))
-    read = chunks.select(
-        "chunk_id", T.query_key(T.blank_to_empty(F.col("text"))).alias("key"), F.lower(T.blank_to_empty(F.col("text"))).alias("lower"), F.lower(title).alias("head"),
-        T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("low"),
-    )
-    ask = questions.select("question_id", F.lower(T.blank_to_empty(F.col("question"))).alias("lower"), T.query_key(F.col("question")).alias("key")).where("question_id is not null")
+    read, ask = _read(chunks), _ask(questions)
     passes = max(1, -(-ask.count() // ASKED))
     out = None
     for turn in range(passes):  # about ASKED questions come to the driver at once
@@ -235,9 +260,9 @@ def _nearest(held: object, k: int):
                 if key not in held.value:
                     continue
                 (names, q), (ids, y) = held.value[key], _unit(some)
-                for start in range(0, len(y), 2_048):
-                    part = ids[start : start + 2_048]
-                    exact = np.maximum(q @ y[start : start + 2_048].T, 0.0)
+                for start in range(0, len(y), COMPARED):
+                    part = ids[start : start + COMPARED]
+                    exact = np.maximum(q @ y[start : start + COMPARED].T, 0.0)
                     exact[names[:, None] == part[None, :]] = -np.inf
                     rounded = np.round(exact, 6)
                     n = min(k, exact.shape[1])
@@ -250,8 +275,7 @@ def _nearest(held: object, k: int):
 
 def reranked(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, mode: str, k: int = TOP_K, min_score: float = 0.0) -> DataFrame:
     """Second stage of vector and hybrid search: the candidates (question_id, chunk_id, similarity) under the full score."""
-    some = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    lexical = lexical_pairs(questions, some, mode)
+    lexical = lexical_of(questions, candidates, chunks, mode)
     rows = candidates.join(lexical, ["question_id", "chunk_id"], "left").fillna(0.0, ["keyword", "title", "ngram", "within", "low"])
     scored = rows.withColumn("score", mode_score(mode, F.col("similarity")))
     return top(scored, min(k, TOP_K), min_score).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")

@@ -413,3 +413,16 @@ def test_best_cross_pairs_against_all_pairs(spark, words, copies, k):
     want = [(left, right) for score, left, right in sorted(scored) if score <= -0.16][:k]
     out = evaluation.cross_pairs(spark.createDataFrame(rows, "source_id string, textbook_id string, title string, excerpt string"), k)
     assert [(r["l"], r["r"]) for r in out.orderBy(F.desc("score"), "l", "r").collect()] == want
+
+
+def test_candidates_alone_are_measured(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", "标题", 1, 2, f"白细胞 与 红细胞 {i} cell w{i % 7}") for i in range(40)], "chunk_id string, chapter_title string, page_start int, page_end int, text string")
+    asked = spark.createDataFrame([("q1", "白细胞 cell w3"), ("q2", "nothing"), ("q3", None), ("q4", "红细胞 5 cell")], "question_id string, question string")
+    some = spark.createDataFrame([("q1", "c3", 0.5), ("q1", "c4", 0.9), ("q2", "c1", 0.2), ("q3", "c2", 0.1), ("q4", "c5", 0.4), ("q1", "no", 0.3)], "question_id string, chunk_id string, similarity double")
+    for mode in ("hybrid", "vector"):
+        lexical = retrieval.lexical_pairs(asked, chunks, mode)
+        every = some.join(lexical, ["question_id", "chunk_id"], "left").fillna(0.0, ["keyword", "title", "ngram", "within", "low"]).withColumn("score", retrieval.mode_score(mode, F.col("similarity")))
+        want = retrieval.top(every, 5, 0.0).select("question_id", "chunk_id", F.round("score", 4), "rank").collect()
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "lexical_pairs", None)  # all questions with all chunks were measured
+            assert sorted(retrieval.reranked(asked, some, chunks, mode).collect()) == sorted(want)
