@@ -426,3 +426,18 @@ def test_candidates_alone_are_measured(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(retrieval, "lexical_pairs", None)  # all questions with all chunks were measured
             assert sorted(retrieval.reranked(asked, some, chunks, mode).collect()) == sorted(want)
+
+
+def test_conflicts_compare_classes_of_nodes(spark):
+    # copies of a few definitions: what is compared is a few classes, what comes out is every pair
+    said = ["alpha beta gamma delta epsilon", "zeta eta theta iota kappa lambda", "alpha beta gamma delta epsilon zeta"]
+    rows = [(f"b{i % 4}", i, f"n{i:02d}", "Cell wall", said[i % 3]) for i in range(18)]
+    nodes = spark.createDataFrame(rows, "textbook_id string, node_ord int, node_id string, name string, definition string")
+    nodes = nodes.selectExpr("*", "cast(null as array<string>) aliases", "'content' level", "'content' node_type")
+    out = integration.conflicts(integration.prepared(nodes))
+    sets = [(r[0], r[1], f"{r[0]}:{r[2]}", set(r[4].split()), r[4]) for r in sorted(rows)]
+    share = lambda x, y: len(x & y) / len(x | y)
+    want = [(x[2], y[2], x[4], y[4]) for i, x in enumerate(sets) for y in sets[i + 1 :] if x[0] != y[0] and share(x[3], y[3]) < 0.3]
+    assert sorted(tuple(r) for r in out.select("left_id", "right_id", "left_definition", "right_definition").collect()) == sorted(want)
+    # what is compared was joined before anything was grouped
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
