@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import sqrt
 
 import numpy as np
@@ -93,8 +93,8 @@ class _Asked:
         return pair, np.bincount(back, weights=value, minlength=len(pair)).astype(np.int64)
 
 
-def _measured(batch: pd.DataFrame, asked: _Asked, kinds: tuple[str, ...]) -> pd.DataFrame:
-    """PAIRS of a batch of chunks (chunk_id, key, lower, head, low)."""
+def _measured(batch: pd.DataFrame, asked: _Asked, kinds: tuple[str, ...], placed: bool = False) -> pd.DataFrame:
+    """PAIRS of a batch of chunks (chunk_id, key, lower, head, low); placed adds where chunk and question are in the batch and the block."""
     found: dict[str, list] = {k: [] for k in ("body", "head", "gram")}
     totals = {"body": np.zeros(len(batch), dtype=np.int64), "head": np.zeros(len(batch), dtype=np.int64)}
     norms, met = np.zeros(len(batch)), []
@@ -138,15 +138,16 @@ def _measured(batch: pd.DataFrame, asked: _Asked, kinds: tuple[str, ...]) -> pd.
             "ngram": np.where(scale == 0, 0.0, got["gram"] / np.where(scale == 0, 1.0, scale)),
             "within": [0.15 if asked.keys[q] and asked.keys[q] in keys[c] else 0.0 for c, q in zip(chunk, question)],
             "low": np.where(batch["low"].to_numpy(dtype=bool)[chunk], 0.12, 0.0),
+            **({"_c": chunk, "_q": question} if placed else {}),
         }
     )
 
 
-def _read(chunks: DataFrame) -> DataFrame:
+def _read(chunks: DataFrame, **more: Column) -> DataFrame:
     title = T.blank_to_empty(F.col("chapter_title"))
     return chunks.select(
         "chunk_id", T.query_key(T.blank_to_empty(F.col("text"))).alias("key"), F.lower(T.blank_to_empty(F.col("text"))).alias("lower"), F.lower(title).alias("head"),
-        T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("low"),
+        T.low_signal_chunk(F.col("chapter_title"), F.col("page_start"), F.col("text")).alias("low"), *[c.alias(n) for n, c in more.items()],
     )
 
 
@@ -198,6 +199,56 @@ def lexical_pairs(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid",
     return out
 
 
+def _firsts(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """What can still be among the k best by score, rounded to four places, and chunk id: of one score k rows a question are enough."""
+    rows = rows.sort_values(["score", "chunk_id"], ascending=[False, True])
+    rows = rows[rows.groupby(["question_id", "score"], sort=False).cumcount() < k]
+    kth = rows[rows.groupby("question_id", sort=False).cumcount() == k - 1].set_index("question_id")["score"]
+    return rows[rows["score"] >= rows["question_id"].map(kth).fillna(-1.0) - 0.00015]
+
+
+def phrased_pairs(questions: DataFrame, chunks: DataFrame, kinds: str, weigh: Callable, low: Column, k: int, min_score: float) -> DataFrame:
+    """(question_id, chunk_id, score) of the pairs of lexical_pairs() that can be among the k best of their question; no more leave a task.
+
+    ``weigh(rows, body, head, low)`` is the score before clamping, body and head being the shares of the question's salient phrases that
+    text and title hold, which it may not fall with: they are looked up only where the pair could be kept with all of them. ``low`` is the
+    chunk's sign of a low-signal title.
+    """
+    spark = chunks.sparkSession
+    read = _read(chunks, title=T.query_key(T.blank_to_empty(F.col("chapter_title"))), sign=low)
+    ask = _ask(questions).join(questions.select("question_id", T.salient(F.col("question")).alias("phrases")), "question_id")
+    passes = max(1, -(-ask.count() // ASKED))
+    out = None
+    for turn in range(passes):
+        rows = ask.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == turn).toPandas().fillna({"lower": "", "key": ""})
+        held = spark.sparkContext.broadcast((_Asked(rows, KINDS[kinds]), [list(p) for p in rows["phrases"]]))
+
+        def run(batches: Iterator[pd.DataFrame], held: object = held) -> Iterator[pd.DataFrame]:
+            block, phrases = held.value
+            kept = pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
+            for batch in batches:
+                for start in range(0, len(batch), 1_000):
+                    some = batch.iloc[start : start + 1_000].fillna({"low": False, "sign": False})
+                    rows, sign = _measured(some, block, KINDS[kinds], placed=True), some["sign"].to_numpy(dtype=bool)
+                    sign = np.where(sign[rows["_c"].to_numpy()], 0.12, 0.0)
+                    score = lambda r, body, head, sign: np.clip(weigh(r, body, head, sign), 0.0, 1.0)
+                    least = rows.assign(score=score(rows, 0.0, 0.0, sign), most=score(rows, 1.0, 1.0, sign), sign=sign)
+                    known = pd.concat([kept, least[["question_id", "chunk_id", "score"]]]).sort_values("score", ascending=False)
+                    kth = known[known.groupby("question_id", sort=False).cumcount() == k - 1].set_index("question_id")["score"]
+                    rows = least[(least["most"] >= min_score) & (least["most"] >= least["question_id"].map(kth).fillna(-1.0) - 0.00015)]
+                    hits = {}
+                    for name, texts in (("body", some["key"].tolist()), ("head", some["title"].tolist())):
+                        hits[name] = np.array([sum(p in texts[c] for p in phrases[q]) / len(phrases[q]) if phrases[q] and texts[c] else 0.0 for c, q in zip(rows["_c"], rows["_q"])], dtype=float)
+                    rows = rows.assign(score=score(rows, hits["body"], hits["head"], rows["sign"]))
+                    rows = rows.loc[rows["score"] >= min_score, ["question_id", "chunk_id", "score"]]
+                    kept = _firsts(pd.concat([kept, rows]) if len(kept) else rows, k)
+            yield kept
+
+        part = read.mapInPandas(run, "question_id string, chunk_id string, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _weighed(mode: str, keyword, title, ngram, within, low, vector=0.0):
     """The score of a retrieval mode before clamping, of columns or arrays alike."""
     return {

@@ -441,3 +441,38 @@ def test_conflicts_compare_classes_of_nodes(spark):
     assert sorted(tuple(r) for r in out.select("left_id", "right_id", "left_definition", "right_definition").collect()) == sorted(want)
     # what is compared was joined before anything was grouped
     assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evaluation_keeps_the_best_pairs_of_all(spark):
+    from pyspark.sql.window import Window
+
+    r = random.Random(9)
+    words = ["细胞", "血小板", "骨骼", "信号", "cell", "结构", "。", "疾病"]
+    said = lambda n: "".join(r.choice(words) for _ in range(n))
+    rows = [(f"c{i:03d}", "b", r.choice(["目录", "细胞结构", "骨骼 cell", None]), r.choice([5, 30]), r.choice([said(4), said(30), None])) for i in range(300)]
+    chunks = spark.createDataFrame(rows + [(f"d{i:03d}", *rows[7][1:]) for i in range(40)], "chunk_id string, textbook_id string, chapter_title string, page_start int, text string").repartition(3)
+    questions = spark.createDataFrame([(f"q{i}", r.choice(["细胞信号", "骨骼疾病 cell", "什么是血小板", said(3)])) for i in range(12)] + [("e", ""), ("n", None)], "question_id string, question string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for mode in ("keyword", "char_ngram", "hybrid", "vector"):
+            config = evaluation.Config(mode, mode=mode, top_k=4)
+            got = evaluation.eval_matches(questions, chunks, config)
+            scores = evaluation.eval_scores(questions, chunks, mode).where(F.col("score") >= config.min_score).withColumn("score", F.round("score", 4))
+            want = scores.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 4")
+            key = lambda df: sorted(map(tuple, df.select("question_id", "rank", "chunk_id", "score").collect()))
+            assert key(got) == key(want) and got.count() > 20
+            weigh = lambda rows, body, head, low: rows["within"].to_numpy() * 0
+            left = evaluation.phrased_pairs(questions, chunks, "hybrid", weigh, F.lit(False), 4, 0.0)
+            assert left.count() <= left.rdd.getNumPartitions() * 4 * 14
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_leaderboard_cuts_chapters_once_for_each_size(spark, monkeypatch):
+    chapters = _chapters(spark, ("细胞", "细胞信号。血小板凝集。" * 60), ("骨骼", "骨骼生长。" * 90)).withColumn("textbook_title", F.lit("书"))
+    cite = "array<struct<textbook_id:string,chapter_id:string,page_start:int,page_end:int,excerpt:string>>"
+    items = spark.createDataFrame([("q1", "细胞信号", "细胞信号", [("b", "ch_01", 20, 21, "细胞信号")])], f"question_id string, question string, expected_answer string, expected_citations {cite}")
+    made, real = [], evaluation.eval_chunks
+    monkeypatch.setattr(evaluation, "eval_chunks", lambda c, config: made.append(config.size) or real(c, config))
+    board = evaluation.leaderboard(items, chapters).collect()
+    assert made == [650, 560, 760] and [x["rank"] for x in board] == [1, 2, 3, 4, 5, 6] and board[0]["exact_citation_hit_rate"] == 1.0
