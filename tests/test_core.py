@@ -476,3 +476,12 @@ def test_leaderboard_cuts_chapters_once_for_each_size(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "eval_chunks", lambda c, config: made.append(config.size) or real(c, config))
     board = evaluation.leaderboard(items, chapters).collect()
     assert made == [650, 560, 760] and [x["rank"] for x in board] == [1, 2, 3, 4, 5, 6] and board[0]["exact_citation_hit_rate"] == 1.0
+
+
+def test_candidate_pairs_are_planned_in_parts(spark):
+    nodes = spark.createDataFrame([("a", "n1", 1, "细胞", "甲乙"), ("b", "n1", 1, "细胞", "丙丁"), ("b", "n2", 2, "细胞膜", "戊己")], "textbook_id string, node_id string, node_ord int, name string, definition string")
+    none = F.lit(None).cast("string")
+    nodes = nodes.select("*", F.array().cast("array<string>").alias("aliases"), F.lit("content").alias("level"), F.lit("concept").alias("node_type"), none.alias("category"))
+    pairs = integration.candidate_pairs(integration.prepared(nodes), merging=True)
+    assert sorted(map(tuple, pairs.collect())) == [("a:n1", "b:n1"), ("a:n1", "b:n2"), ("b:n1", "b:n2")]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
