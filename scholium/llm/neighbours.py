@@ -11,7 +11,7 @@ on rows they weren't fitted on if the table has more, so that what is left out c
 Scale: copies of one vector are collapsed before indexing. Through the shuffle go no vectors but their bytes of one a number (64
 for a visit, 72 for an entry) and 8-byte row hashes; a hash that two rows share costs a comparison, as the end is exact. A list
 that is longer than BLOCK is cut into blocks of at most BLOCK entries and BLOCK queries, so that no task holds more
-however hot it is. The index is a table in the shared checkpoint folder. Broadcast are the quantisers alone: at most COARSE +
+however hot it is. The index is a table in the shared checkpoint folder, without the exact vectors, which stay in the table of usable(). Broadcast are the quantisers alone: at most COARSE +
 TRAIN_ROWS / 4 + SUBSPACES * CODES vectors. Beyond COARSE * TRAIN_ROWS / 4 * ROWS_A_LIST rows lists grow with the table.
 
 Defined results: null, zero and cut-off vectors and vectors with a blank group never match; repeated rows count once;
@@ -73,10 +73,14 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def collapse(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Representatives (the smallest id of equal vectors) and the (grp, rep, id) membership of the copies."""
-    reps = vectors.groupBy("grp", "unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    copied = reps.where("copies > 1").select("grp", "unit", F.col("id").alias("rep"))
-    members = vectors.join(copied, ["grp", "unit"]).select("grp", "rep", "id")
+    """Representatives (the smallest id of equal vectors) and the (grp, rep, id) membership of the copies.
+
+    Copies find each other by the SHA-256 of their bytes: the vectors themselves are shuffled once, for the representatives.
+    """
+    reps = vectors.groupBy("grp", "unit").agg(F.min("id").alias("id"))
+    keyed = vectors.select("grp", F.unhex(F.sha2("unit", 256)).alias("_u"), "id")
+    copied = keyed.groupBy("grp", "_u").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    members = keyed.join(copied, ["grp", "_u"]).select("grp", "rep", "id")
     return reps.select("grp", "id", "unit"), members
 
 
@@ -256,7 +260,7 @@ def fit(base: DataFrame, rows: int, measure) -> Quantisers:
     return q
 
 
-INDEX = "grp string, h long, id string, unit binary, small binary, code binary, list int, lists array<int>"
+INDEX = "grp string, h long, id string, small binary, code binary, list int, lists array<int>"
 
 
 def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +282,7 @@ def build_index(vectors: DataFrame, measure) -> tuple[DataFrame, DataFrame, obje
                 q, x = quantisers.value, _matrix(batch["unit"])
                 own, (small, scale) = q.assign(x), _small(x)
                 packed = [v.tobytes() + s.tobytes() for v, s in zip(small, scale)]
-                yield batch.assign(small=packed, code=[c.tobytes() for c in q.encode(x, own)], list=own.astype(np.int32), lists=list(q.nearest(x)))
+                yield batch.drop(columns="unit").assign(small=packed, code=[c.tobytes() for c in q.encode(x, own)], list=own.astype(np.int32), lists=list(q.nearest(x)))
 
     hashed = reps.select("grp", F.xxhash64("grp", "id").alias("h"), "id", "unit")
     return stage(hashed.mapInPandas(encode, INDEX), "index"), members, quantisers
@@ -377,9 +381,9 @@ def _score_list(key: int, some: pd.DataFrame, entries: pd.DataFrame, q: Quantise
     return rows
 
 
-def _exact(index: DataFrame, found: DataFrame) -> DataFrame:
+def _exact(base: DataFrame, found: DataFrame) -> DataFrame:
     """(grp, query, id, similarity): pairs of hashes with their exact cosine, within one group."""
-    side = lambda h, name, unit: index.select(F.col("h").alias(h), F.col("grp").alias(f"_{h}"), F.col("id").alias(name), F.col("unit").alias(unit))
+    side = lambda h, name, unit: base.select(F.xxhash64("grp", "id").alias(h), F.col("grp").alias(f"_{h}"), F.col("id").alias(name), F.col("unit").alias(unit))
     both = found.join(side("q", "query", "u"), "q").join(side("e", "id", "v"), "e").where((F.col("_q") == F.col("_e")) & (F.col("query") != F.col("id")))
 
     def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,7 +395,7 @@ def _exact(index: DataFrame, found: DataFrame) -> DataFrame:
     return both.select(F.col("_q").alias("grp"), "query", "id", "u", "v").mapInPandas(cosine, "grp string, query string, id string, similarity double")
 
 
-def search(index: DataFrame, queries: DataFrame, quantisers: object, k: int) -> DataFrame:
+def search(base: DataFrame, index: DataFrame, queries: DataFrame, quantisers: object, k: int) -> DataFrame:
     """(grp, query, id, similarity): the k best other entries of each query row of the index, within its lists."""
     found = candidates(index, queries, quantisers, k)
     nearest = Window.partitionBy("q").orderBy(F.desc("near"), "e")
@@ -399,7 +403,7 @@ def search(index: DataFrame, queries: DataFrame, quantisers: object, k: int) ->
     least = F.max(F.when(F.col("_r") == k, F.col("near"))).over(Window.partitionBy("q"))
     some = ranked.withColumn("_k", least).where((F.col("_r") <= k) | (F.col("near") >= F.col("_k") - BYTE_ERROR)).select("q", "e")
     best = Window.partitionBy("grp", "query").orderBy(F.desc(F.round("similarity", DIGITS)), "id")
-    return _exact(index, some).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return _exact(base, some).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
 def similar_classes(vectors: DataFrame, min_similarity: float, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -411,7 +415,7 @@ def similar_classes(vectors: DataFrame, min_similarity: float, probes: int | Non
     index, members, quantisers = build_index(base, probes or pair_probes(min_similarity))
     found = candidates(index, index, quantisers, None, min_similarity)
     once = found.select(F.least("q", "e").alias("q"), F.greatest("q", "e").alias("e")).distinct()
-    exact = _exact(index, once).where(F.col("similarity") >= min_similarity)
+    exact = _exact(base, once).where(F.col("similarity") >= min_similarity)
     return exact.select("grp", F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct(), members
 
 
@@ -455,7 +459,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, probes: int | None = N
     members = stage(members, "members")
     # a class is searched if any of its rows is asked for
     asked = base.where(is_query).select("grp", "id").join(members, ["grp", "id"], "left").select("grp", F.coalesce("rep", "id").alias("id")).distinct()
-    found = search(index, index.join(asked, ["grp", "id"], "left_semi"), quantisers, k)
+    found = search(base, index, index.join(asked, ["grp", "id"], "left_semi"), quantisers, k)
     return _expanded(base, members, found.withColumn("similarity", F.round("similarity", DIGITS)), is_query, k)
 
 

@@ -231,6 +231,17 @@ def test_any_number_of_partners_is_found(spark):
         neighbours.BLOCK = block
 
 
+def test_exact_vectors_are_shuffled_and_stored_once(spark):
+    vectors, models, _ = _vectors(spark)
+    base = neighbours.stage(neighbours.usable(vectors, models), "vectors")
+    index, members, _ = neighbours.build_index(base, 4)
+    assert "unit" not in index.columns
+    # copies are told by a digest: no exchange of the membership carries vectors
+    plan = members._jdf.queryExecution().sparkPlan().toString()
+    assert "sha2" in plan and not [x for x in plan.splitlines() if "Join" in x and "unit" in x]
+    assert sorted(map(tuple, members.select("rep", "id").collect())) == [("copy", "copy"), ("copy", "v000")]
+
+
 def _across(r, x):
     z = r.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
