@@ -485,3 +485,43 @@ def test_candidate_pairs_are_planned_in_parts(spark):
     pairs = integration.candidate_pairs(integration.prepared(nodes), merging=True)
     assert sorted(map(tuple, pairs.collect())) == [("a:n1", "b:n1"), ("a:n1", "b:n2"), ("b:n1", "b:n2")]
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+
+
+def _joins(monkeypatch, *modules):
+    """The number of joins in the plan of each cut that these modules make from now on."""
+    counts = []
+    for module in modules:
+        whole = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, whole=whole: counts.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or whole(df))
+    return counts
+
+
+def test_stars_of_components_are_planned_one_by_one(spark, monkeypatch):
+    counts = _joins(monkeypatch, components)
+    chain = spark.range(40).selectExpr("format_string('%02d', id) u", "format_string('%02d', id + 1) v")
+    assert components.connected_components(chain).groupBy("component").count().collect() == [("00", 41)]
+    assert len(counts) > 5 and max(counts) == 1
+
+
+def test_parts_of_the_integration_are_planned_and_made_when_needed(spark, monkeypatch):
+    made = []
+    whole = integration.conflicts
+    monkeypatch.setattr(integration, "conflicts", lambda *a: made.append(1) or whole(*a))
+    counts = _joins(monkeypatch, integration)
+    rows = [(f"b{i % 2}", i, f"n{i}", n, f"{n} and its definition {i}", [], None, None, "concept", "content") for i, n in enumerate(["cell wall", "cell", "wall", "cell wall", "bone"])]
+    edges = spark.createDataFrame([("b0", "n0", "n4", "related", 1.0, ["e"])], "textbook_id string, source string, target string, relation string, weight double, evidence array<string>")
+    done = integration.integrate(spark.createDataFrame(rows, NODES), edges)
+    assert done.stats.count() == 1 and not made
+    assert done.conflicts.count() == done.conflicts.count() >= 0 and len(made) == 1
+    # no plan holds that of another part: names inside names were four joins under those of the nodes, the map of nodes was one of the edges' sides, twice
+    assert max(counts) <= 4
+
+
+def test_a_name_of_many_classes_is_compared_in_blocks(spark, monkeypatch):
+    rows = [(f"b{i % 3}", i, f"n{i:02d}", "Cell wall", f"w{i}a w{i}b w{i // 2}c w{i // 4}d and so on") for i in range(24)]
+    nodes = spark.createDataFrame(rows, "textbook_id string, node_ord int, node_id string, name string, definition string")
+    nodes = integration.cut(integration.prepared(nodes.selectExpr("*", "cast(null as array<string>) aliases", "'content' level", "'content' node_type")))
+    at = ["left_id", "right_id", "definition_jaccard"]
+    whole = sorted(map(tuple, integration.conflicts(nodes).select(at).collect()))
+    monkeypatch.setattr(integration, "COMPARED", 5)
+    assert sorted(map(tuple, integration.conflicts(nodes).select(at).collect())) == whole and len(whole) > 100
