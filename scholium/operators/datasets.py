@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..session import stage
-from .evaluation import candidate_sources, coverage, plans
+from .evaluation import _numbered_plans, candidate_sources, coverage, cross_pairs, plans, quotas
 
 # The wording of questions made without a model, by question type; %1$s and %3$s are books, %2$s a chapter.
 TEMPLATES = {
@@ -24,6 +27,22 @@ def planned_sources(planned: DataFrame, sources: DataFrame) -> DataFrame:
     return held.groupBy("plan_id", "question_type", "difficulty").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_c")).withColumn("cited", F.transform("_c", lambda c: c["s"])).drop("_c")
 
 
+def single_plans(sources: DataFrame, n: int) -> DataFrame:
+    """Question plans as the SQL of eval_dataset has them: other than evaluation.plans(), comparative ones are of single sources and none are made for what is missing."""
+    want = quotas(n)
+    order = Window.orderBy("textbook_id", "rank")
+    numbered = sources.withColumn("_i", F.row_number().over(order) - 1).select("_i", "source_id", "title")
+    count = numbered.agg(F.count("*").alias("_n"))
+    kinds = [(k, want[k]) for k in ("factual", "reasoning", "comparative")]
+    spark = sources.sparkSession
+    slots = spark.createDataFrame([(k, i, o) for o, (k, m) in enumerate(kinds) for i in range(m)], "question_type string, i int, o int").crossJoin(count)
+    single = slots.where("_n > 0").withColumn("_i", F.col("i") % F.col("_n")).join(numbered, "_i").select("question_type", "o", "i", F.array("source_id").alias("source_ids"))
+    best = Window.orderBy(F.desc("score"), "l", "r")
+    pairs = cross_pairs(sources, want["cross_textbook"]).withColumn("i", F.row_number().over(best) - 1).select(F.lit("cross_textbook").alias("question_type"), F.lit(3).alias("o"), "i", F.array("l", "r").alias("source_ids"))
+    every = single.unionByName(pairs)
+    return _numbered_plans(every)
+
+
 def templated(planned: DataFrame, sources: DataFrame) -> DataFrame:
     """Items of the plans by fixed wordings: what the sources' first sentences say is the expected answer."""
     rows = planned_sources(planned, sources)
@@ -37,15 +56,15 @@ def templated(planned: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def dataset(chapters: DataFrame, n: int, textbooks: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def dataset(chapters: DataFrame, n: int, textbooks: DataFrame, asked: DataFrame | None = None, planned: Callable[[DataFrame, int], DataFrame] = plans) -> tuple[DataFrame, DataFrame]:
     """(items, coverage) of n questions over the chapters.
 
     ``asked`` are replies of a model by plan (question_id, question, expected_answer); where a reply is missing or blank the
-    whole set falls back to fixed wordings, so that it is of one kind.
+    whole set falls back to fixed wordings, so that it is of one kind. ``planned`` makes the plans.
     """
     titles = textbooks.select("textbook_id", F.col("title").alias("textbook_title"))
     sources = stage(candidate_sources(chapters, n).join(titles, "textbook_id", "left"), "sources")
-    items = templated(plans(sources.drop("textbook_title"), n), sources)
+    items = templated(planned(sources.drop("textbook_title"), n), sources)
     if asked is not None:
         said = asked.where((F.trim("question") != "") & (F.trim("expected_answer") != "")).select("question_id", F.col("question").alias("_q"), F.col("expected_answer").alias("_a"))
         joined = items.join(said, "question_id", "left")

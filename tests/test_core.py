@@ -525,3 +525,22 @@ def test_a_name_of_many_classes_is_compared_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, integration.conflicts(nodes).select(at).collect()))
     monkeypatch.setattr(integration, "COMPARED", 5)
     assert sorted(map(tuple, integration.conflicts(nodes).select(at).collect())) == whole and len(whole) > 100
+
+
+@pytest.mark.parametrize(("names", "n"), [((40,), 24), ((40, 3), 24), ((8, 2, 6), 30), ((), 24), ((6, 6, 6, 6), 18)])
+def test_plans_against_a_loop(spark, names, n):
+    """One book has no pairs, so that factual plans take their place; ids are in another order than sources."""
+    rng = random.Random(n + len(names))
+    said = lambda k: " ".join(f"w{rng.randrange(9)}" for _ in range(k))
+    rows = [(f"b{b}:ch_{(i * 7) % size}:src_01", f"b{b}", f"{said(2)}", said(6), i + 1) for b, size in enumerate(names) for i in range(size)]
+    share = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+    met = [(round(share(x[2], y[2]) * 0.7 + share(x[3], y[3]) * 0.3, 4), x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1]]
+    met = [[x, y] for s, x, y in sorted((p for p in met if p[0] >= 0.16), key=lambda p: p[0], reverse=True)]
+    want, turn = evaluation.quotas(n), rows[1:] + rows[:1]
+    made = [("factual", [rows[i % len(rows)][0]]) for i in range(want["factual"]) if rows] + [("reasoning", [turn[i % len(rows)][0]]) for i in range(want["reasoning"]) if rows]
+    c, x = want["comparative"], want["cross_textbook"]
+    made += [("comparative", p) for p in met[:c]] + [("cross_textbook", p) for p in met[c : c + x]]
+    while rows and len(made) < n:
+        made.append(("factual", [rows[len(made) % len(rows)][0]]))
+    out = evaluation.plans(spark.createDataFrame(rows, "source_id string, textbook_id string, title string, excerpt string, rank int"), n).orderBy("plan_id").collect()
+    assert [(r["plan_id"], r["question_type"], r["source_ids"]) for r in out] == [(f"plan_{i:03d}", *p) for i, p in enumerate(made[:n], 1)]
