@@ -544,3 +544,21 @@ def test_plans_against_a_loop(spark, names, n):
         made.append(("factual", [rows[len(made) % len(rows)][0]]))
     out = evaluation.plans(spark.createDataFrame(rows, "source_id string, textbook_id string, title string, excerpt string, rank int"), n).orderBy("plan_id").collect()
     assert [(r["plan_id"], r["question_type"], r["source_ids"]) for r in out] == [(f"plan_{i:03d}", *p) for i, p in enumerate(made[:n], 1)]
+
+
+@pytest.mark.parametrize("block", [5, 65_536])
+def test_nearest_scores_are_found_without_pairs_as_rows(spark, monkeypatch, block):
+    """Names inside and equal to others, synonyms, no tokens at all; blocks of few nodes or of all."""
+    monkeypatch.setattr(integration, "NEAR", block)
+    rng = random.Random(block)
+    names = ["骨", "骨髓", "骨髓细胞", "cell wall", "cell wall", "wall", "白细胞", "炎症", "炎症反应", "-", "acid 骨", "LPK信号"]
+    words = ["骨的", "生长", "bone", "cell", "细胞", "the", "信号"]
+    rows = [(f"b{i % 3}", i, f"n{i}", rng.choice(names), " ".join(rng.choices(words, k=rng.randrange(6))), rng.choice([[], ["骨"]]), None, None, "concept", rng.choice(["content", "primary"])) for i in range(36)]
+    valid = integration.cut(integration.prepared(spark.createDataFrame(rows, NODES)))
+    merged = valid.select(F.col("qid").alias("component"), (1 + F.col("node_ord") % 4 / 3).cast("int").alias("source_count"))
+    pairs = valid.select(F.col("qid").alias("l")).crossJoin(valid.select(F.col("qid").alias("r"))).where("l <> r")
+    exact = integration.scored_pairs(valid, pairs).groupBy("l").agg(F.max("similarity.final_score").alias("near"))
+    want = dict(map(tuple, exact.join(merged.where("source_count = 1").select(F.col("component").alias("l")), "l").collect()))
+    monkeypatch.setattr(integration, "candidate_pairs", None)
+    monkeypatch.setattr(integration, "scored_pairs", None)
+    assert dict(map(tuple, integration.nearest(valid, merged).collect())) == want and len(want) > 20
