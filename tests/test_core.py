@@ -546,7 +546,7 @@ def test_plans_against_a_loop(spark, names, n):
     assert [(r["plan_id"], r["question_type"], r["source_ids"]) for r in out] == [(f"plan_{i:03d}", *p) for i, p in enumerate(made[:n], 1)]
 
 
-@pytest.mark.parametrize("block", [5, 65_536])
+@pytest.mark.parametrize("block", [5, 32_768])
 def test_nearest_scores_are_found_without_pairs_as_rows(spark, monkeypatch, block):
     """Names inside and equal to others, synonyms, no tokens at all; blocks of few nodes or of all."""
     monkeypatch.setattr(integration, "NEAR", block)
